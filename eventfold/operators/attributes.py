@@ -18,15 +18,17 @@ def attribute_records(records: DataFrame) -> DataFrame:
     return records.filter((F.col("type") == "attributes") & F.col("user_id").isNotNull())
 
 
-def attribute_assertions(records: DataFrame) -> DataFrame:
+def attribute_assertions(records: DataFrame, with_id: bool = False) -> DataFrame:
     """Long form (user_id, key, value, timestamp, position), one row per map entry.
 
     A missing timestamp counts as 0. A NULL value asserts nothing and is
-    dropped; an empty string is a value.
+    dropped; an empty string is a value. ``with_id`` keeps the record id
+    as ``_id`` (the tie-break of streams, which have no position).
     """
+    extra = [F.col("id").alias("_id")] if with_id else []
     return (attribute_records(records)
             .select("user_id", F.explode("data").alias("key", "value"),
-                    F.coalesce("timestamp", F.lit(0)).alias("timestamp"), "position")
+                    F.coalesce("timestamp", F.lit(0)).alias("timestamp"), "position", *extra)
             .filter(F.col("value").isNotNull()))
 
 

@@ -32,12 +32,14 @@ def changed(value: str = "value", old: str = "old_value"):
 
 
 def attribute_changes(records: DataFrame, order: str = "arrival",
-                      span: int | None = None) -> DataFrame:
+                      span: int | None = None, prior: DataFrame | None = None) -> DataFrame:
     """(user_id, name, old_value, value, timestamp, position), one row per change.
 
     ``order="arrival"`` follows input position (the reference's trigger
     fires in arrival order); ``order="event_time"`` follows (timestamp,
-    position). ``records`` should be deduplicated.
+    position). ``records`` should be deduplicated. ``prior`` (user_id,
+    key, value) holds the last logged value of each attribute from earlier
+    batches (see ``last_logged``); it precedes every row of this batch.
     """
     a = attribute_assertions(records)
     if order == "arrival":
@@ -55,9 +57,15 @@ def attribute_changes(records: DataFrame, order: str = "arrival",
          .withColumn("_next_pos", F.lead("position").over(w)))
     # Last value of each bucket, then carried to the next non-empty bucket.
     tails = a.filter(F.col("_next_pos").isNull()).select(*keys, F.col("value").alias("_tail"))
-    carry = (tails.withColumn("_carry", F.lag("_tail").over(
-        Window.partitionBy("user_id", "key").orderBy("_b")))
-        .select(*keys, "_carry"))
+    by_bucket = Window.partitionBy("user_id", "key").orderBy("_b")
+    carry = (tails.withColumn("_carry", F.lag("_tail").over(by_bucket))
+             .withColumn("_first", F.lag("_b").over(by_bucket).isNull()))
+    if prior is not None:
+        p = prior.select("user_id", "key", F.col("value").alias("_prior"))
+        carry = (carry.join(p, ["user_id", "key"], "left")
+                 .withColumn("_carry", F.when(F.col("_first"), F.col("_prior"))
+                             .otherwise(F.col("_carry"))))
+    carry = carry.select(*keys, "_carry")
     heads = (a.filter(F.col("_prev").isNull()).drop("_prev")
              .join(carry, keys, "left")
              .withColumnRenamed("_carry", "_prev"))
@@ -68,6 +76,15 @@ def attribute_changes(records: DataFrame, order: str = "arrival",
     return both.filter(changed())
 
 
+def last_logged(records: DataFrame) -> DataFrame:
+    """(user_id, key, value): the last asserted value of each attribute by
+    arrival, which is also the last logged one (an unchanged value logs
+    nothing). Input for ``attribute_changes(prior=...)``."""
+    a = attribute_assertions(records)
+    return (a.groupBy("user_id", "key")
+            .agg(F.max_by("value", "position").alias("value")))
+
+
 def latest_change(changes: DataFrame) -> DataFrame:
     """Newest logged change per (user_id, name), by position."""
     row = F.struct("old_value", "value", "timestamp", "position")

@@ -25,30 +25,31 @@ def _parts(records: DataFrame, customers: DataFrame | None, customer_key: str):
     """(id, attr entries, event entries, n_events, last_updated) per customer.
 
     Without ``customers``, a customer exists once an attributes record
-    names it (events alone create none).
+    names it (events alone create none). ``last_updated`` is the newest
+    timestamp among the customer's attributes records (A10).
     """
     latest = latest_attributes(records)
     attrs = (latest.groupBy("user_id")
-             .agg(_entries("key", "value").alias("_attrs"),
-                  F.max("timestamp").alias("_attr_ts")))
+             .agg(_entries("key", "value").alias("_attrs"))
+             .withColumnRenamed("user_id", "id"))
     counts = (event_counts(records)
               .withColumn("name", F.coalesce("name", F.lit("")))
               .groupBy("user_id")
-              .agg(_entries("name", "n").alias("_events"), F.sum("n").alias("n_events")))
+              .agg(_entries("name", "n").alias("_events"), F.sum("n").alias("n_events"))
+              .withColumnRenamed("user_id", "id"))
+    lu = last_updated(records).withColumnRenamed("user_id", "id")
     if customers is None:
-        base = last_updated(records).withColumnRenamed("user_id", "id")
+        out = lu
     else:
-        base = customers.select(F.col(customer_key).cast("bigint").alias("id"))
-    out = (base
-           .join(attrs.withColumnRenamed("user_id", "id"), "id", "left")
-           .join(counts.withColumnRenamed("user_id", "id"), "id", "left"))
-    lu = F.col("last_updated") if customers is None else F.col("_attr_ts")
+        out = (customers.select(F.col(customer_key).cast("bigint").alias("id"))
+               .join(lu, "id", "left"))
+    out = out.join(attrs, "id", "left").join(counts, "id", "left")
     return out.select(
         "id",
         F.coalesce("_attrs", F.array().cast("array<struct<key:string,value:string>>")).alias("_attrs"),
         F.coalesce("_events", F.array().cast("array<struct<key:string,value:bigint>>")).alias("_events"),
         F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"),
-        lu.cast("bigint").alias("last_updated"))
+        F.col("last_updated").cast("bigint").alias("last_updated"))
 
 
 def profiles(records: DataFrame, customers: DataFrame | None = None,

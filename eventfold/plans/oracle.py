@@ -3,7 +3,8 @@
 Each string starts from the pre-registered driver views (``events``,
 ``customer``). ``RECORDS`` is the SQL form of the records adapter
 (eventfold.sources.tables.records_from_events), in long form: attribute
-records carry their one (key, value) pair as ``akey`` / ``aval``.
+records carry their one (key, value) pair as ``akey`` / ``aval``, event
+records their data pair ('k', k).
 """
 
 RECORDS = """
@@ -47,6 +48,35 @@ counts AS (
   SELECT user_id, name, count(*) AS n
   FROM dedup WHERE type = 'event' AND user_id IS NOT NULL
   GROUP BY user_id, name
+),
+lu AS (
+  SELECT user_id, max(COALESCE(timestamp, 0)) AS last_updated
+  FROM dedup WHERE type = 'attributes' AND user_id IS NOT NULL
+  GROUP BY user_id
+),
+attr_text AS (
+  SELECT user_id, string_agg(key || '=' || value, ',' ORDER BY key) AS attributes
+  FROM latest GROUP BY user_id
+),
+event_text AS (
+  SELECT user_id,
+         string_agg(COALESCE(name, '') || '=' || CAST(n AS VARCHAR), ',' ORDER BY COALESCE(name, '')) AS events,
+         CAST(sum(n) AS BIGINT) AS n_events
+  FROM counts GROUP BY user_id
+),
+r5 AS (
+  SELECT lu.user_id AS id, COALESCE(a.attributes, '') AS attributes,
+         COALESCE(e.events, '') AS events, COALESCE(e.n_events, 0) AS n_events,
+         lu.last_updated AS last_updated
+  FROM lu
+  LEFT JOIN attr_text a ON a.user_id = lu.user_id
+  LEFT JOIN event_text e ON e.user_id = lu.user_id
+),
+changes AS (
+  SELECT user_id, key AS name, old_value, value, timestamp, position FROM (
+    SELECT *, lag(value) OVER (PARTITION BY user_id, key ORDER BY position) AS old_value
+    FROM assertions)
+  WHERE old_value IS NULL OR old_value <> value
 )
 """
 
@@ -64,14 +94,232 @@ SELECT c.c_custkey AS id,
        COALESCE(a.attributes, '') AS attributes,
        COALESCE(e.events, '') AS events,
        COALESCE(e.n_events, 0) AS n_events,
-       a.last_updated AS last_updated
+       lu.last_updated AS last_updated
+FROM customer c
+LEFT JOIN lu ON lu.user_id = c.c_custkey
+LEFT JOIN attr_text a ON a.user_id = c.c_custkey
+LEFT JOIN event_text e ON e.user_id = c.c_custkey
+""")
+
+ORACLE["record_profiles"] = with_records("SELECT * FROM r5")
+
+DATA_JSON = """CASE WHEN akey IS NULL THEN '{}'
+            WHEN aval IS NULL THEN '{"' || akey || '":null}'
+            ELSE '{"' || akey || '":"' || aval || '"}' END"""
+
+ORACLE["dedup_events"] = with_records(f"""
+SELECT id, type, name, user_id, timestamp, position, {DATA_JSON} AS data_json FROM dedup
+""")
+
+ORACLE["event_counts"] = with_records("SELECT user_id, name, n FROM counts")
+
+ORACLE["anonymous_events"] = with_records("""
+SELECT name, count(*) AS n FROM dedup
+WHERE type = 'event' AND user_id IS NULL GROUP BY name
+""")
+
+ORACLE["latest_attributes"] = with_records(
+    "SELECT user_id, key, value, timestamp, position FROM latest")
+ORACLE["latest_attributes_ranked"] = ORACLE["latest_attributes"]
+
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+ORACLE["row_last_arrival"] = with_records(
+    "SELECT user_id, "
+    + ", ".join(f"COALESCE(CASE WHEN akey = '{t}' THEN aval END, '') AS {t}" for t in EVENT_TYPES)
+    + """
+FROM dedup WHERE type = 'attributes' AND user_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY position DESC) = 1
+""")
+
+ORACLE["profile_wide"] = with_records(
+    "SELECT c.c_custkey AS id, "
+    + ", ".join(f"COALESCE(w.{t}, '') AS {t}" for t in EVENT_TYPES)
+    + """, COALESCE(e.n_events, 0) AS n_events
 FROM customer c
-LEFT JOIN (SELECT user_id,
-                  string_agg(key || '=' || value, ',' ORDER BY key) AS attributes,
-                  max(timestamp) AS last_updated
-           FROM latest GROUP BY user_id) a ON a.user_id = c.c_custkey
-LEFT JOIN (SELECT user_id,
-                  string_agg(COALESCE(name, '') || '=' || CAST(n AS VARCHAR), ',' ORDER BY COALESCE(name, '')) AS events,
-                  sum(n) AS n_events
-           FROM counts GROUP BY user_id) e ON e.user_id = c.c_custkey
+LEFT JOIN (SELECT user_id, """
+    + ", ".join(f"max(CASE WHEN key = '{t}' THEN value END) AS {t}" for t in EVENT_TYPES)
+    + """ FROM latest GROUP BY user_id) w ON w.user_id = c.c_custkey
+LEFT JOIN event_text e ON e.user_id = c.c_custkey
+""")
+
+ORACLE["attribute_changes"] = with_records("SELECT * FROM changes")
+
+ORACLE["attribute_changes_event_time"] = with_records("""
+SELECT user_id, key AS name, old_value, value, timestamp, position FROM (
+  SELECT *, lag(value) OVER (PARTITION BY user_id, key ORDER BY timestamp, position) AS old_value
+  FROM assertions)
+WHERE old_value IS NULL OR old_value <> value
+""")
+
+ORACLE["latest_change"] = with_records("""
+SELECT user_id, name, old_value, value, timestamp, position FROM changes
+QUALIFY row_number() OVER (PARTITION BY user_id, name ORDER BY position DESC) = 1
+""")
+
+ORACLE["profile_page"] = with_records("""
+SELECT id, attributes, events, n_events FROM r5 ORDER BY id LIMIT 25 OFFSET 50
+""")
+
+ORACLE["profile_page_meta"] = with_records("""
+SELECT CASE WHEN count(*) <= 50 THEN 1 ELSE 3 END AS page, 25 AS per_page, count(*) AS total
+FROM r5
+""")
+
+ORACLE["profile_page_after"] = with_records("""
+SELECT id, attributes, events, n_events FROM r5 WHERE id > 50 ORDER BY id LIMIT 25
+""")
+
+ORACLE["totals"] = with_records("""
+SELECT 'customers' AS metric, CAST(count(*) AS BIGINT) AS value FROM r5
+UNION ALL SELECT 'customer_events', CAST(COALESCE(sum(n_events), 0) AS BIGINT) FROM r5
+UNION ALL SELECT 'records', CAST(count(*) AS BIGINT) FROM recs
+UNION ALL SELECT 'unique_records', CAST(count(*) AS BIGINT) FROM dedup
+UNION ALL SELECT 'anonymous_events', CAST(count(*) AS BIGINT) FROM dedup
+          WHERE type = 'event' AND user_id IS NULL
+""")
+
+ORACLE["last_updated"] = with_records("SELECT user_id, last_updated FROM lu")
+
+ORACLE["orphan_events"] = with_records("""
+SELECT id, user_id, name FROM dedup d
+WHERE type = 'event' AND user_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = d.user_id)
+""")
+
+ORACLE["key_uniqueness"] = with_records("""
+SELECT 'records' AS tbl, id AS key, count(*) AS n FROM recs GROUP BY id HAVING count(*) > 1
+UNION ALL
+SELECT 'customer', CAST(c_custkey AS VARCHAR), count(*) FROM customer
+GROUP BY c_custkey HAVING count(*) > 1
+""")
+
+ORACLE["valid_customers"] = """
+WITH req AS (
+  SELECT c_custkey AS id,
+         CASE WHEN c_acctbal >= 0
+              THEN lower(replace(c_name, '#', '.')) || '@example.com' ELSE '' END AS email,
+         CAST(c_custkey * 100003 AS VARCHAR) AS created
+  FROM customer
+), chk AS (
+  SELECT *, email IS NOT NULL AND email <> '' AS ok,
+         regexp_matches(created, '^[+-]?[0-9]+$')
+           AND TRY_CAST(created AS BIGINT) > 99999999
+           AND TRY_CAST(created AS BIGINT) < 10000000000 AS is_ts
+  FROM req
+)
+SELECT id,
+       CASE WHEN ok THEN 'valid' ELSE 'rejected' END AS status,
+       CASE WHEN ok THEN NULL ELSE 'email attribute is required' END AS reason,
+       CASE WHEN ok THEN email END AS email,
+       CASE WHEN ok THEN (CASE WHEN is_ts THEN created ELSE '1700000000' END) END AS created_at
+FROM chk
+"""
+
+ORACLE["erase"] = with_records("""
+SELECT user_id, name, n FROM counts k
+WHERE NOT EXISTS (SELECT 1 FROM customer c
+                  WHERE c.c_mktsegment = 'AUTOMOBILE' AND c.c_custkey = k.user_id)
+""")
+
+ORACLE["summary_lines"] = with_records("""
+SELECT CAST(id AS VARCHAR) AS id_text,
+       CAST(id AS VARCHAR) || ',' || attributes || ',' || events AS line
+FROM r5
+""")
+
+ORACLE["profile_json"] = with_records("""
+SELECT l.user_id AS id,
+       '{"id":' || CAST(l.user_id AS VARCHAR)
+       || ',"attributes":{' || COALESCE(a.j, '') || '}'
+       || ',"events":{' || COALESCE(e.j, '') || '}'
+       || ',"last_updated":' || CAST(COALESCE(l.last_updated, 0) AS VARCHAR) || '}' AS json
+FROM lu l
+LEFT JOIN (SELECT user_id, string_agg('"' || key || '":"' || value || '"', ',' ORDER BY key) AS j
+           FROM latest GROUP BY user_id) a ON a.user_id = l.user_id
+LEFT JOIN (SELECT user_id, string_agg('"' || COALESCE(name, '') || '":' || CAST(n AS VARCHAR), ','
+                                      ORDER BY COALESCE(name, '')) AS j
+           FROM counts GROUP BY user_id) e ON e.user_id = l.user_id
+""")
+
+ORACLE["customer_lookup"] = with_records("""
+SELECT * FROM r5 WHERE id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)
+""")
+
+ORACLE["event_lookup"] = with_records("""
+SELECT id, type, name, user_id, timestamp FROM dedup
+WHERE id IN (SELECT id FROM recs GROUP BY id HAVING count(*) > 1)
+""")
+
+ORACLE["summary_roundtrip"] = with_records("""
+SELECT user_id AS id,
+       CASE WHEN key = 'created_at' THEN 'attribute'
+            WHEN regexp_matches(value, '^[+-]?[0-9]+$') THEN 'event'
+            ELSE 'attribute' END AS kind,
+       key, value
+FROM latest WHERE user_id IN (SELECT user_id FROM lu)
+UNION ALL
+SELECT user_id, 'event', COALESCE(name, ''), CAST(n AS VARCHAR) FROM counts
+WHERE user_id IN (SELECT user_id FROM lu)
 """)
+
+ORACLE["reconcile_observed"] = with_records("""
+SELECT COALESCE(x.id, y.id) AS id, COALESCE(x.kind, y.kind) AS kind, COALESCE(x.key, y.key) AS key,
+       x.value AS expected, y.value AS actual,
+       CASE WHEN y.value IS NULL THEN 'missing_key'
+            WHEN x.value IS NULL THEN 'extra_key' ELSE 'mismatch' END AS status
+FROM exp_long x FULL OUTER JOIN act_long y
+  ON x.id = y.id AND x.kind = y.kind AND x.key = y.key
+WHERE x.value IS DISTINCT FROM y.value
+  AND COALESCE(x.id, y.id) IN (SELECT id FROM exp_ids INTERSECT SELECT id FROM act_ids)
+UNION ALL
+SELECT COALESCE(e.id, a.id), 'customer', NULL, NULL, NULL,
+       CASE WHEN a.id IS NULL THEN 'missing_customer' ELSE 'extra_customer' END
+FROM exp_ids e FULL OUTER JOIN act_ids a ON e.id = a.id
+WHERE e.id IS NULL OR a.id IS NULL
+""", ctes="""
+obs_attr AS (
+  SELECT user_id, akey AS key, aval AS value FROM recs
+  WHERE type = 'attributes' AND user_id IS NOT NULL AND akey IS NOT NULL AND aval IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY user_id, akey ORDER BY position DESC) = 1
+),
+act_ids AS (SELECT DISTINCT user_id AS id FROM obs_attr),
+obs_events AS (
+  SELECT COALESCE(user_id, 0) AS user_id, COALESCE(name, '') AS key, count(*) AS n
+  FROM recs WHERE type = 'event' GROUP BY 1, 2
+),
+act_long AS (
+  SELECT user_id AS id, 'attribute' AS kind, key, value FROM obs_attr
+  UNION ALL
+  SELECT user_id, 'event', key, CAST(n AS VARCHAR) FROM obs_events
+  WHERE user_id IN (SELECT id FROM act_ids)
+),
+exp_ids AS (SELECT user_id AS id FROM lu),
+exp_long AS (
+  SELECT user_id AS id, 'attribute' AS kind, key, value FROM latest
+  WHERE user_id IN (SELECT id FROM exp_ids)
+  UNION ALL
+  SELECT user_id, 'event', COALESCE(name, ''), CAST(n AS VARCHAR) FROM counts
+  WHERE user_id IN (SELECT id FROM exp_ids)
+)
+""")
+
+ORACLE["merged_attributes"] = ORACLE["latest_attributes"]
+ORACLE["merged_event_counts"] = ORACLE["event_counts"]
+ORACLE["merged_changes"] = ORACLE["attribute_changes"]
+
+BAD_LINE = "type = 'event' AND name = 'error' AND TRY_CAST(aval AS INTEGER) >= 90"
+
+ORACLE["ndjson_records"] = with_records(f"""
+SELECT id, type, name, user_id, timestamp, {DATA_JSON} AS data_json
+FROM recs WHERE NOT COALESCE({BAD_LINE}, false)
+""")
+
+ORACLE["ndjson_quarantine"] = with_records(f"""
+SELECT id, 'user_id is not a string' AS reason FROM recs WHERE COALESCE({BAD_LINE}, false)
+""")
+
+ORACLE["stream_event_counts"] = ORACLE["event_counts"]
+ORACLE["stream_latest_attributes"] = ORACLE["latest_attributes"]
+ORACLE["stream_attribute_changes"] = ORACLE["attribute_changes"]
+ORACLE["stream_dedup"] = with_records("SELECT id, type, name, user_id, timestamp FROM dedup")

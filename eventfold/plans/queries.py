@@ -10,14 +10,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from eventfold.functions.expr import sorted_json
+from eventfold.operators import checks, paging
+from eventfold.operators.attributes import last_updated as last_updated_op
+from eventfold.operators.attributes import latest_attributes as latest_op
+from eventfold.operators.attributes import row_last_arrival as row_last_arrival_op
+from eventfold.operators.changes import attribute_changes as changes_op
+from eventfold.operators.changes import latest_change as latest_change_op
 from eventfold.operators.dedup import dedup_records
-from eventfold.operators.profiles import profile_text
+from eventfold.operators.events import anonymous_counts, event_counts as counts_op
+from eventfold.operators.merge import fold, load_state, merge_state, save_state
+from eventfold.operators.observed import observed_profiles
+from eventfold.operators.profiles import (
+    customer_lookup as customer_lookup_op,
+    event_lookup as event_lookup_op,
+    profile_json as profile_json_op,
+    profile_text,
+    profile_wide as profile_wide_op,
+    profiles,
+)
+from eventfold.operators.reconcile import reconcile
+from eventfold.session import shared_dir
+from eventfold.sources.records import read_records, records_to_ndjson
+from eventfold.sources.summary import read_summary, summary_lines as summary_lines_op, write_summary
 from eventfold.sources.tables import records, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# Fixed values of the test tables: the event types, which the records
+# adapter also uses as attribute keys.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+# Query parameters.
+PAGE, PER_PAGE = 3, 25
+AS_OF = 1_700_000_000
+LOOKUP_NATION = 7
+ERASE_SEGMENT = "AUTOMOBILE"
+
 
 def register(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -28,8 +59,293 @@ def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_records(records(spark, sf_dir))
 
 
+def _text_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers per R5 (named by an attributes record), maps as text."""
+    return profile_text(deduped(spark, sf_dir))
+
+
 @register
 def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every customer of the customer table with its newest
     attributes and event counts (dedup -> fold + count -> left join)."""
     return profile_text(deduped(spark, sf_dir), table(spark, sf_dir, "customer"))
+
+
+@register
+def record_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R5 profiles: customers are those named by an attributes record."""
+    return _text_profiles(spark, sf_dir)
+
+
+@register
+def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + S7 rows: one record per id, data as JSON text with sorted keys."""
+    d = deduped(spark, sf_dir)
+    return d.select("id", "type", "name", "user_id", "timestamp", "position",
+                    sorted_json(F.col("data")).alias("data_json"))
+
+
+@register
+def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts_op(deduped(spark, sf_dir))
+
+
+@register
+def anonymous_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymous_counts(deduped(spark, sf_dir))
+
+
+@register
+def latest_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_op(deduped(spark, sf_dir))
+
+
+@register
+def latest_attributes_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same winners through row_number top-1."""
+    return latest_op(deduped(spark, sf_dir), method="rank")
+
+
+@register
+def row_last_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_last_arrival_op(deduped(spark, sf_dir), fields=EVENT_TYPES)
+
+
+@register
+def profile_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = profiles(deduped(spark, sf_dir), table(spark, sf_dir, "customer"))
+    return profile_wide_op(p, fields=EVENT_TYPES)
+
+
+@register
+def attribute_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes_op(deduped(spark, sf_dir))
+
+
+@register
+def attribute_changes_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time order, hour buckets: the carry between buckets is exercised."""
+    return changes_op(deduped(spark, sf_dir), order="event_time")
+
+
+@register
+def latest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_change_op(changes_op(deduped(spark, sf_dir)))
+
+
+@register
+def profile_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = paging.list_profiles(_text_profiles(spark, sf_dir), PAGE, PER_PAGE)
+    return rows.select("id", "attributes", "events", "n_events")
+
+
+@register
+def profile_page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, meta = paging.list_profiles(_text_profiles(spark, sf_dir), PAGE, PER_PAGE)
+    return meta
+
+
+@register
+def profile_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyset page: the 25 customers after id 50."""
+    return (paging.page_after(_text_profiles(spark, sf_dir), 50, PER_PAGE)
+            .select("id", "attributes", "events", "n_events"))
+
+
+@register
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9/A11 and ingest totals as (metric, value) rows."""
+    raw = records(spark, sf_dir)
+    d = dedup_records(raw)
+    p = paging.totals(profile_text(d))
+    parts = [
+        p.select(F.lit("customers").alias("metric"), F.col("customers").alias("value")),
+        p.select(F.lit("customer_events").alias("metric"), F.col("events").alias("value")),
+        raw.agg(F.count(F.lit(1)).alias("value")).select(F.lit("records").alias("metric"), "value"),
+        d.agg(F.count(F.lit(1)).alias("value")).select(F.lit("unique_records").alias("metric"), "value"),
+        anonymous_counts(d).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("value"))
+        .select(F.lit("anonymous_events").alias("metric"), "value"),
+    ]
+    out = parts[0]
+    for q in parts[1:]:
+        out = out.unionByName(q)
+    return out
+
+
+@register
+def last_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_updated_op(deduped(spark, sf_dir))
+
+
+@register
+def orphan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer events whose user is not in the customer table."""
+    ev = deduped(spark, sf_dir).filter(F.col("type") == "event")
+    return (checks.orphans(ev, "user_id", table(spark, sf_dir, "customer"), "c_custkey")
+            .select("id", "user_id", "name"))
+
+
+@register
+def key_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 over raw record ids and customer keys."""
+    r = checks.duplicate_keys(records(spark, sf_dir), "id", "records")
+    c = checks.duplicate_keys(table(spark, sf_dir, "customer"), "c_custkey", "customer")
+    return r.unionByName(c)
+
+
+def _new_customer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create requests derived from the customer table: an email for
+    customers with a non-negative balance, created_at from the key."""
+    c = table(spark, sf_dir, "customer")
+    email = F.when(F.col("c_acctbal") >= 0,
+                   F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com"))
+                   ).otherwise(F.lit(""))
+    created = (F.col("c_custkey") * 100003).cast("string")
+    return c.select(F.col("c_custkey").alias("id"),
+                    F.create_map(F.lit("email"), email, F.lit("created_at"), created).alias("attributes"))
+
+
+@register
+def valid_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = checks.validate_new_customers(_new_customer_requests(spark, sf_dir), AS_OF)
+    return v.select("id", "status", "reason",
+                    F.try_element_at("accepted_attributes", F.lit("email")).alias("email"),
+                    F.try_element_at("accepted_attributes", F.lit("created_at")).alias("created_at"))
+
+
+@register
+def erase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: event counts left after erasing one market segment's customers."""
+    c = table(spark, sf_dir, "customer")
+    gone = c.filter(F.col("c_mktsegment") == ERASE_SEGMENT).select(F.col("c_custkey").alias("id"))
+    return checks.erase(counts_op(deduped(spark, sf_dir)), gone, "user_id").select("user_id", "name", "n")
+
+
+@register
+def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary_lines_op(profiles(deduped(spark, sf_dir)))
+
+
+@register
+def profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile_json_op(profiles(deduped(spark, sf_dir)))
+
+
+@register
+def customer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 for every customer of one nation (semi join, no id list on the driver)."""
+    ids = (table(spark, sf_dir, "customer").filter(F.col("c_nationkey") == LOOKUP_NATION)
+           .select(F.col("c_custkey").alias("id")))
+    return customer_lookup_op(_text_profiles(spark, sf_dir), ids)
+
+
+@register
+def event_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored record of every id that was written twice."""
+    raw = records(spark, sf_dir)
+    twice = checks.duplicate_keys(raw, "id", "records").select(F.col("key").alias("id"))
+    return (event_lookup_op(dedup_records(raw), twice)
+            .select("id", "type", "name", "user_id", "timestamp"))
+
+
+@register
+def summary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 then S5: write the summary file, read it back in long form."""
+    path = shared_dir(spark, "summary")
+    write_summary(profiles(deduped(spark, sf_dir)), path)
+    _, long, _ = read_summary(spark, path)
+    return long
+
+
+@register
+def reconcile_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed reference fold (no dedup, anonymous as user 0,
+    arrival order) against the intended profiles; every difference a row."""
+    raw = records(spark, sf_dir)
+    expected = profiles(dedup_records(raw)).select("id", "attributes", "events")
+    return reconcile(observed_profiles(raw), expected)
+
+
+def _two_batches(spark: SparkSession, sf_dir: str):
+    raw = records(spark, sf_dir)
+    cut = raw.agg(F.max("position")).first()[0] // 2
+    return raw.filter(F.col("position") <= cut), raw.filter(F.col("position") > cut)
+
+
+def _merged(spark: SparkSession, sf_dir: str):
+    """Fold batch 1, store it, merge batch 2 into the stored state."""
+    b1, b2 = _two_batches(spark, sf_dir)
+    s1 = fold(b1)
+    path = shared_dir(spark, "state")
+    save_state(s1, path)
+    from eventfold.operators.changes import attribute_changes as ch
+    c1 = ch(dedup_records(b1))
+    s2, c2 = merge_state(load_state(spark, path), b2)
+    return s2, c1.unionByName(c2)
+
+
+@register
+def merged_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[0].latest
+
+
+@register
+def merged_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[0].counts
+
+
+@register
+def merged_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[1]
+
+
+def _ndjson_path(spark: SparkSession, sf_dir: str) -> str:
+    """Write the adapter's records as NDJSON lines (the reader's input).
+    Error events with k >= 90 are written with a numeric user_id, which
+    the strict reader must set aside."""
+    raw = records(spark, sf_dir)
+    bad = ((F.col("type") == "event") & (F.col("name") == "error")
+           & (F.try_element_at("data", F.lit("k")).try_cast("int") >= 90))
+    good_line = records_to_ndjson(raw.filter(~F.coalesce(bad, F.lit(False))))
+    bad_line = raw.filter(F.coalesce(bad, F.lit(False))).select(
+        F.to_json(F.struct("id", "type", "name", "user_id", "data", "timestamp")).alias("value"))
+    path = shared_dir(spark, "ndjson")
+    good_line.unionByName(bad_line).write.text(path)
+    return path
+
+
+@register
+def ndjson_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1-S3 + P2: read the written lines back; valid records only."""
+    valid, _ = read_records(spark, _ndjson_path(spark, sf_dir))
+    return valid.select("id", "type", "name", "user_id", "timestamp",
+                        sorted_json(F.col("data")).alias("data_json"))
+
+
+@register
+def ndjson_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, bad = read_records(spark, _ndjson_path(spark, sf_dir))
+    return bad.select(F.get_json_object("value", "$.id").alias("id"), "reason")
+
+
+def _stream(name: str, mode: str, build):
+    from eventfold.streaming.stream import events_stream, run_available_now
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        result, _ = run_available_now(build(events_stream(spark, sf_dir)), mode, name)
+        return result
+    run.__name__ = name
+    return run
+
+
+def _register_streams() -> None:
+    from eventfold.streaming import stream as st
+    register(_stream("stream_event_counts", "complete", st.stream_event_counts))
+    register(_stream("stream_latest_attributes", "complete", st.stream_latest_attributes))
+    register(_stream("stream_attribute_changes", "append", st.stream_attribute_changes))
+    register(_stream("stream_dedup", "append",
+                     lambda r: st.stream_dedup(r).select("id", "type", "name", "user_id",
+                                                         "timestamp")))
+
+
+_register_streams()
