@@ -53,13 +53,17 @@ def is_epoch_seconds(c: Column | str) -> Column:
 
 
 def epoch_seconds(c: Column | str, dtype: T.DataType | None = None) -> Column:
-    """Whole epoch seconds of a timestamp column, independent of session time zone
-    for TIMESTAMP_NTZ input."""
+    """Whole epoch seconds of a timestamp column.
+
+    TIMESTAMP_NTZ is a wall-clock value: it is read field by field (days
+    since 1970-01-01, then hour, minute, second), so the session time zone
+    plays no part. TIMESTAMP (with zone) is an instant: ``unix_seconds``.
+    """
     c = _c(c)
     if isinstance(dtype, T.TimestampType):
-        return F.floor(F.unix_micros(c) / 1_000_000).cast("bigint")
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
-    return F.floor(micros / 1_000_000).cast("bigint")
+        return F.unix_seconds(c)
+    days = F.unix_date(F.to_date(c)).cast("bigint")
+    return (days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("bigint")
 
 
 def normalise_event_name(c: Column | str) -> Column:

@@ -23,9 +23,9 @@ def attribute_assertions(records: DataFrame, with_id: bool = False) -> DataFrame
 
     A missing timestamp counts as 0. A NULL value asserts nothing and is
     dropped; an empty string is a value. ``with_id`` keeps the record id
-    as ``_id`` (the tie-break of streams, which have no position).
+    as ``record_id`` (the tie-break of streams, which have no position).
     """
-    extra = [F.col("id").alias("_id")] if with_id else []
+    extra = [F.col("id").alias("record_id")] if with_id else []
     return (attribute_records(records)
             .select("user_id", F.explode("data").alias("key", "value"),
                     F.coalesce("timestamp", F.lit(0)).alias("timestamp"), "position", *extra)

@@ -74,7 +74,7 @@ def stream_latest_attributes(records: DataFrame) -> DataFrame:
     """ST5: running R3 winners per (user_id, key); ``id`` breaks ties when
     there is no position."""
     a = attribute_assertions(stream_dedup(records), with_id=True)
-    order = F.struct("timestamp", F.coalesce("position", F.lit(0)).alias("p"), "_id")
+    order = F.struct("timestamp", F.coalesce("position", F.lit(0)).alias("p"), "record_id")
     return (a.groupBy("user_id", "key")
             .agg(F.max_by(F.struct("value", "timestamp", "position"), order).alias("_w"))
             .select("user_id", "key", "_w.value", "_w.timestamp", "_w.position"))
@@ -90,7 +90,7 @@ class ChangeLogger(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.sort_values(["position", "_id"], na_position="first", kind="stable")
+        pdf = pdf.sort_values(["position", "record_id"], na_position="first", kind="stable")
         prev = self.last.get()[0] if self.last.exists() else None
         out = []
         for value, ts, pos in zip(pdf["value"], pdf["timestamp"], pdf["position"]):
