@@ -18,13 +18,12 @@ per split, computed from per-split byte totals (one row per split).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventfold.functions.expr import atoi, canonical_uuid, is_uuid
-from eventfold.schema import RAW_RECORD, RECORD_COLUMNS
+from eventfold.schema import RECORD_COLUMNS
 
 # Splits below this count have their bases broadcast; above it the join
 # shuffles. About 24 bytes per split row.
@@ -32,51 +31,86 @@ BROADCAST_SPLITS = 2_000_000
 
 _STRINGY = ("STRING", "VOID")
 _INTEGER = ("TINYINT", "SMALLINT", "INT", "BIGINT")
-
-
-def _kind(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.variant_get(v, path, "variant"))
+_FIELDS = ("id", "type", "name", "user_id", "timestamp", "data")
 
 
 def _optional(kind: Column, allowed) -> Column:
     return kind.isNull() | kind.isin(*allowed)
 
 
-def strict_check(value: Column) -> Column:
-    """NULL when the line is a well-typed record, else a short reason."""
-    wrapped_text = F.concat(F.lit('{"r":'), value, F.lit(',"__end__":1}'))
-    w = F.try_parse_json(wrapped_text)
-    r = F.variant_get(w, "$.r", "variant")
-    r_kind = F.schema_of_variant(r)
-    data_kind = _kind(r, "$.data")
-    data_map = F.try_variant_get(r, "$.data", "map<string,variant>")
-    data_ok = (data_kind.isNull() | (data_kind == "VOID")
-               | (data_kind.startswith("OBJECT")
-                  & F.forall(F.map_values(data_map),
-                             lambda x: F.schema_of_variant(x).isin(*_STRINGY))))
-    return (F.when(w.isNull(), F.lit("not one JSON object"))
-            .when(F.size(F.json_object_keys(wrapped_text)) != 2, F.lit("not one JSON object"))
-            .when(~r_kind.startswith("OBJECT"), F.lit("not a JSON object"))
-            .when(F.coalesce(_kind(r, "$.id"), F.lit("")) != "STRING", F.lit("id missing or not a string"))
-            .when(~_optional(_kind(r, "$.type"), _STRINGY), F.lit("type is not a string"))
-            .when(~_optional(_kind(r, "$.name"), _STRINGY), F.lit("name is not a string"))
-            .when(~_optional(_kind(r, "$.user_id"), _STRINGY), F.lit("user_id is not a string"))
-            .when(~_optional(_kind(r, "$.timestamp"), _INTEGER + ("VOID",)),
-                  F.lit("timestamp is not an integer"))
-            .when(~data_ok, F.lit("data is not an object of strings")))
-
-
-def _carry_totals(batches):
-    """Running totals carried across Arrow batches of one partition."""
-    carried: dict = {}
-    for pdf in batches:
-        key = list(zip(pdf["_file"], pdf["_block"]))
-        base = pd.Series([carried.get(k, 0) for k in key], index=pdf.index, dtype="int64")
-        out = pdf.groupby(["_file", "_block"], sort=False)["_nbytes"].cumsum() + base
-        pdf["_in_split"] = out
-        last = pdf.assign(_v=out).groupby(["_file", "_block"], sort=False)["_v"].last()
-        carried.update(last.to_dict())
-        yield pdf
+def checked_lines(lines: DataFrame) -> DataFrame:
+    """Adds the record fields read from one variant parse, and ``reason``
+    (NULL when the line is a well-typed record).
+
+    The steps are separate projections over materialised columns: each
+    line is parsed once, and no CASE branch re-parses it.
+    """
+    wrapped = F.concat(F.lit('{"r":'), F.col("value"), F.lit(',"__end__":1}'))
+    step1 = lines.withColumn("w_", F.try_parse_json(wrapped))
+    step2 = step1.select(
+        "*",
+        F.size(F.try_variant_get("w_", "$", "map<string,variant>")).alias("nkeys_"),
+        F.try_variant_get("w_", "$.__end__", "int").alias("end_"),
+        F.variant_get("w_", "$.r", "variant").alias("r_"))
+    kinds = [F.schema_of_variant(F.variant_get("r_", f"$.{f}", "variant")).alias(f"k_{f}")
+             for f in _FIELDS]
+    step3 = step2.select("*", F.schema_of_variant("r_").alias("k_r"), *kinds,
+                         F.try_variant_get("r_", "$.data", "map<string,variant>").alias("m_"))
+    data_ok = (F.col("k_data").isNull() | (F.col("k_data") == "VOID")
+               | (F.col("k_data").startswith("OBJECT")
+                  & F.forall(F.map_values("m_"), lambda x: F.schema_of_variant(x).isin(*_STRINGY))))
+    reason = (F.when(F.col("w_").isNull() | (F.col("nkeys_") != 2) | ~F.col("end_").eqNullSafe(F.lit(1)),
+                     F.lit("not one JSON object"))
+              .when(~F.col("k_r").startswith("OBJECT"), F.lit("not a JSON object"))
+              .when(F.coalesce(F.col("k_id"), F.lit("")) != "STRING", F.lit("id missing or not a string"))
+              .when(~_optional(F.col("k_type"), _STRINGY), F.lit("type is not a string"))
+              .when(~_optional(F.col("k_name"), _STRINGY), F.lit("name is not a string"))
+              .when(~_optional(F.col("k_user_id"), _STRINGY), F.lit("user_id is not a string"))
+              .when(~_optional(F.col("k_timestamp"), _INTEGER + ("VOID",)),
+                    F.lit("timestamp is not an integer"))
+              .when(~data_ok, F.lit("data is not an object of strings")))
+    step4 = step3.select(
+        "*", reason.alias("reason"),
+        F.try_variant_get("r_", "$.id", "string").alias("f_id"),
+        F.try_variant_get("r_", "$.type", "string").alias("f_type"),
+        F.try_variant_get("r_", "$.name", "string").alias("f_name"),
+        F.try_variant_get("r_", "$.user_id", "string").alias("f_user_id"),
+        F.try_variant_get("r_", "$.timestamp", "bigint").alias("f_timestamp"),
+        F.try_variant_get("r_", "$.data", "map<string,string>").alias("f_data"))
+    keep = [c for c in lines.columns] + ["reason"] + [f"f_{f}" for f in _FIELDS]
+    return step4.select(*keep)
+
+
+def _prefix_bytes(batches):
+    """Per partition, running byte count inside each (file, split) in read
+    order, carried across Arrow batches. Works on Arrow arrays and numpy:
+    the line text passes through without becoming Python objects."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    carry_key, carry = None, 0
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            yield batch.append_column("_in_split", pa.array([], pa.int64()))
+            continue
+        nb = batch.column("_nbytes").to_numpy(zero_copy_only=False).astype(np.int64)
+        blk = batch.column("_block").to_numpy(zero_copy_only=False)
+        files = batch.column("_file")
+        change = np.zeros(n, dtype=bool)
+        change[0] = True
+        if n > 1:
+            same_file = pc.equal(files.slice(1), files.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            change[1:] = (blk[1:] != blk[:-1]) | ~same_file
+        cs = np.cumsum(nb)
+        run = np.cumsum(change) - 1
+        out = cs - (cs - nb)[change][run]
+        first_key = (files[0].as_py(), int(blk[0]))
+        if first_key == carry_key:
+            out[run == 0] += carry
+        carry_key, carry = (files[n - 1].as_py(), int(blk[n - 1])), int(out[-1])
+        yield batch.append_column("_in_split", pa.array(out, pa.int64()))
 
 
 def lines_with_positions(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -88,9 +122,12 @@ def lines_with_positions(spark: SparkSession, path: str | list[str]) -> DataFram
                    F.col("_metadata.file_size").alias("_fsize"),
                    (F.octet_length("value") + 1).cast("bigint").alias("_nbytes")))
     schema = T.StructType(raw.schema.fields + [T.StructField("_in_split", T.LongType())])
-    local = raw.mapInPandas(_carry_totals, schema)
+    local = raw.mapInArrow(_prefix_bytes, schema)
+    # One row per split: cached so the two base computations below and the
+    # size check share one scan.
     splits = (raw.groupBy("_file", "_block")
-              .agg(F.sum("_nbytes").alias("_split_bytes"), F.max("_fsize").alias("_fsize")))
+              .agg(F.sum("_nbytes").alias("_split_bytes"), F.max("_fsize").alias("_fsize"))
+              .cache())
     # Base of a split = bytes of every earlier split of the same file;
     # file base = sizes of every earlier file in path order. One row per
     # split, so this small table is the only thing ordered as a whole.
@@ -117,23 +154,21 @@ def parse_lines(lines: DataFrame, require_uuid: bool = False,
                 canonical_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """lines(value, [source], [position]) -> (records, quarantine(value, ..., reason))."""
     extra = [c for c in ("source", "position") if c in lines.columns]
-    checked = lines.withColumn("reason", strict_check(F.col("value")))
-    rec = F.from_json("value", RAW_RECORD)
-    parsed = checked.withColumn("_r", F.when(F.col("reason").isNull(), rec))
-    uid = F.col("_r.user_id")
+    checked = checked_lines(lines)
+    uid = F.col("f_user_id")
     uid_num = atoi(uid)
     reason = (F.when(F.col("reason").isNotNull(), F.col("reason"))
               .when(uid.isNotNull() & (uid != "") & uid_num.isNull(),
                     F.lit("user_id is not an integer")))
     if require_uuid:
-        reason = reason.when(~is_uuid(F.col("_r.id")), F.lit("id is not a UUID"))
-    parsed = parsed.withColumn("reason", reason)
+        reason = reason.when(~is_uuid(F.col("f_id")), F.lit("id is not a UUID"))
+    parsed = checked.withColumn("reason", reason)
     quarantine = parsed.filter(F.col("reason").isNotNull()).select("value", *extra, "reason")
-    rid = canonical_uuid(F.col("_r.id")) if canonical_ids else F.col("_r.id")
+    rid = canonical_uuid(F.col("f_id")) if canonical_ids else F.col("f_id")
     valid = parsed.filter(F.col("reason").isNull()).select(
-        rid.alias("id"), F.col("_r.type").alias("type"), F.col("_r.name").alias("name"),
-        uid_num.alias("user_id"), F.col("_r.data").alias("data"),
-        F.col("_r.timestamp").alias("timestamp"),
+        rid.alias("id"), F.col("f_type").alias("type"), F.col("f_name").alias("name"),
+        uid_num.alias("user_id"), F.col("f_data").alias("data"),
+        F.col("f_timestamp").alias("timestamp"),
         *([F.col("position")] if "position" in extra else [F.lit(None).cast("bigint").alias("position")]),
         *([F.col("source")] if "source" in extra else []))
     return valid, quarantine
