@@ -1,8 +1,9 @@
 """J6 upsert of stored state with a new batch (D1 insert / D2 update), J5 against history.
 
-State is a set of DataFrames, each keyed and small next to the records:
+State is a set of DataFrames; all but the first are keyed and small next
+to the records:
 
-- ``ids``      every stored record id (J5 history)
+- ``records``  stored deduplicated records (S7 fact table, J5 history)
 - ``latest``   (user_id, key, value, timestamp, position), R3 winners
 - ``counts``   (user_id, name, n)
 - ``customers`` (user_id, last_updated)
@@ -17,6 +18,7 @@ across batches.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,36 +28,51 @@ from eventfold.operators.attributes import last_updated, latest_attributes
 from eventfold.operators.changes import attribute_changes, last_logged
 from eventfold.operators.dedup import dedup_records
 from eventfold.operators.events import event_counts
+from eventfold.schema import RECORD_COLUMNS
+from eventfold.sources.sinks import store_records
 
-PARTS = ("ids", "latest", "counts", "customers", "logged")
+PARTS = ("latest", "counts", "customers", "logged")
 
 
 @dataclass
 class State:
-    ids: DataFrame
+    records: DataFrame   # stored deduplicated records (the J5 history)
     latest: DataFrame
     counts: DataFrame
     customers: DataFrame
     logged: DataFrame
 
 
-def fold(records: DataFrame) -> State:
-    """State of one batch of raw records (deduplicated first)."""
+def _parts(d: DataFrame) -> dict:
+    return dict(latest=latest_attributes(d), counts=event_counts(d),
+                customers=last_updated(d), logged=last_logged(d))
+
+
+def fold(records: DataFrame, path: str | None = None) -> State:
+    """State of one batch of raw records.
+
+    With ``path`` (a shared folder) the deduplicated records are written
+    there first (S7) and every part is derived from the written copy, so
+    the dedup shuffle runs once and later plans start from Parquet.
+    """
     d = dedup_records(records)
-    return State(ids=d.select("id"), latest=latest_attributes(d), counts=event_counts(d),
-                 customers=last_updated(d), logged=last_logged(d))
+    if path is not None:
+        d = store_records(d, f"{path}/records", load=uuid.uuid4().hex, mode="overwrite")
+    return State(records=d, **_parts(d))
 
 
-def merge_state(state: State, batch: DataFrame) -> tuple[State, DataFrame]:
+def merge_state(state: State, batch: DataFrame, path: str | None = None) -> tuple[State, DataFrame]:
     """(new state, changes logged by this batch).
 
     Records already stored (by id) are dropped first (J5), so a resent
-    record neither counts twice nor logs a change.
+    record neither counts twice nor logs a change. With ``path`` the new
+    records are appended to the stored records there.
     """
-    new = dedup_records(batch, history=state.ids)
+    new = dedup_records(batch, history=state.records)
+    if path is not None:
+        new = store_records(new, f"{path}/records", load=uuid.uuid4().hex, mode="append")
     changes = attribute_changes(new, prior=state.logged)
-    n = State(ids=new.select("id"), latest=latest_attributes(new), counts=event_counts(new),
-              customers=last_updated(new), logged=last_logged(new))
+    n = State(records=new, **_parts(new))
     order = F.struct("timestamp", "position")
     latest = (state.latest.unionByName(n.latest).groupBy("user_id", "key")
               .agg(F.max_by(F.struct("value", "timestamp", "position"), order).alias("_w"))
@@ -68,16 +85,20 @@ def merge_state(state: State, batch: DataFrame) -> tuple[State, DataFrame]:
     logged = (state.logged.withColumn("_o", F.lit(0))
               .unionByName(n.logged.withColumn("_o", F.lit(1)))
               .groupBy("user_id", "key").agg(F.max_by("value", "_o").alias("value")))
-    ids = state.ids.unionByName(n.ids)
-    return State(ids=ids, latest=latest, counts=counts, customers=customers, logged=logged), changes
+    stored = state.records.unionByName(new)
+    return State(records=stored, latest=latest, counts=counts, customers=customers,
+                 logged=logged), changes
 
 
 def save_state(state: State, path: str) -> None:
-    """Write every part as Parquet under ``path`` (a shared folder), which
-    cuts the lineage of the next merge."""
+    """Write the aggregate parts as Parquet under ``path`` (a shared folder),
+    which cuts the lineage of the next merge. Records are stored by
+    ``fold`` / ``merge_state`` with a path (or ``store_records``)."""
     for part in PARTS:
         getattr(state, part).write.mode("overwrite").parquet(f"{path}/{part}")
 
 
 def load_state(spark: SparkSession, path: str) -> State:
-    return State(**{part: spark.read.parquet(f"{path}/{part}") for part in PARTS})
+    parts = {part: spark.read.parquet(f"{path}/{part}") for part in PARTS}
+    records = spark.read.parquet(f"{path}/records").select(*RECORD_COLUMNS)
+    return State(records=records, **parts)

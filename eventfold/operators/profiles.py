@@ -8,17 +8,43 @@ the customer id (sort-merge joins without re-shuffling the aggregates).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventfold.functions.expr import kv_join, sorted_map
-from eventfold.operators.attributes import last_updated, latest_attributes
-from eventfold.operators.events import event_counts
 from eventfold.schema import REFERENCE_FIELDS
 
 
-def _entries(key: str, value: str) -> Column:
-    return F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value")))
+def profile_facts(records: DataFrame) -> DataFrame:
+    """One keyed aggregation for the whole profile: (user_id, kind, key, ...).
+
+    Attribute assertions (kind 'a') and events (kind 'e') share one long
+    form, so the deduplicated records are read once and shuffled once, on
+    (user_id, kind, key). Per key: the R3 winner (NULL values never win),
+    the event count and the newest attributes timestamp. An attributes
+    record with no entries still yields a row (key NULL): it makes its
+    user a customer and counts for ``last_updated``. Partial aggregation
+    runs before the shuffle, so a hot customer or key costs one row per
+    map task.
+    """
+    ts = F.coalesce("timestamp", F.lit(0))
+    attr_rows = F.transform(
+        F.map_entries(F.coalesce("data", F.create_map().cast("map<string,string>"))),
+        lambda e: F.struct(F.lit("a").alias("kind"), e["key"].alias("key"), e["value"].alias("value")))
+    rows = (F.when(F.col("type") == "attributes",
+                   F.when(F.size(attr_rows) > 0, attr_rows)
+                   .otherwise(F.array(F.struct(F.lit("a").alias("kind"), F.lit(None).cast("string").alias("key"),
+                                               F.lit(None).cast("string").alias("value")))))
+            .when(F.col("type") == "event",
+                  F.array(F.struct(F.lit("e").alias("kind"), F.coalesce("name", F.lit("")).alias("key"),
+                                   F.lit(None).cast("string").alias("value")))))
+    long = (records.filter(F.col("user_id").isNotNull())
+            .select("user_id", ts.alias("timestamp"), "position", F.inline(rows)))
+    winner_order = F.when(F.col("value").isNotNull(), F.struct("timestamp", "position"))
+    return (long.groupBy("user_id", "kind", "key")
+            .agg(F.max_by(F.struct("value", "timestamp"), winner_order).alias("win"),
+                 F.count(F.lit(1)).alias("n"),
+                 F.max("timestamp").alias("max_ts")))
 
 
 def _parts(records: DataFrame, customers: DataFrame | None, customer_key: str):
@@ -28,22 +54,20 @@ def _parts(records: DataFrame, customers: DataFrame | None, customer_key: str):
     names it (events alone create none). ``last_updated`` is the newest
     timestamp among the customer's attributes records (A10).
     """
-    latest = latest_attributes(records)
-    attrs = (latest.groupBy("user_id")
-             .agg(_entries("key", "value").alias("_attrs"))
-             .withColumnRenamed("user_id", "id"))
-    counts = (event_counts(records)
-              .withColumn("name", F.coalesce("name", F.lit("")))
-              .groupBy("user_id")
-              .agg(_entries("name", "n").alias("_events"), F.sum("n").alias("n_events"))
-              .withColumnRenamed("user_id", "id"))
-    lu = last_updated(records).withColumnRenamed("user_id", "id")
+    is_a, is_e = F.col("kind") == "a", F.col("kind") == "e"
+    per_user = (profile_facts(records).groupBy("user_id").agg(
+        F.collect_list(F.when(is_a & F.col("win.value").isNotNull(),
+                              F.struct(F.col("key"), F.col("win.value").alias("value")))).alias("_attrs"),
+        F.collect_list(F.when(is_e, F.struct(F.col("key"), F.col("n").alias("value")))).alias("_events"),
+        F.sum(F.when(is_e, F.col("n"))).alias("n_events"),
+        F.max(F.when(is_a, F.col("max_ts"))).alias("last_updated"),
+        F.max(is_a.cast("int")).alias("_customer"))
+        .withColumnRenamed("user_id", "id"))
     if customers is None:
-        out = lu
+        out = per_user.filter(F.col("_customer") == 1)
     else:
         out = (customers.select(F.col(customer_key).cast("bigint").alias("id"))
-               .join(lu, "id", "left"))
-    out = out.join(attrs, "id", "left").join(counts, "id", "left")
+               .join(per_user, "id", "left"))
     return out.select(
         "id",
         F.coalesce("_attrs", F.array().cast("array<struct<key:string,value:string>>")).alias("_attrs"),

@@ -275,12 +275,11 @@ def _two_batches(spark: SparkSession, sf_dir: str):
 def _merged(spark: SparkSession, sf_dir: str):
     """Fold batch 1, store it, merge batch 2 into the stored state."""
     b1, b2 = _two_batches(spark, sf_dir)
-    s1 = fold(b1)
     path = shared_dir(spark, "state")
+    s1 = fold(b1, path)
     save_state(s1, path)
-    from eventfold.operators.changes import attribute_changes as ch
-    c1 = ch(dedup_records(b1))
-    s2, c2 = merge_state(load_state(spark, path), b2)
+    c1 = changes_op(s1.records)
+    s2, c2 = merge_state(load_state(spark, path), b2, path)
     return s2, c1.unionByName(c2)
 
 

@@ -50,14 +50,15 @@ def test_merge_two_batches_equals_one(spark, tmpdir_fresh):
     whole = recs(spark, rows)
     b1, b2 = recs(spark, rows[:4]), recs(spark, rows[4:])
     path = f"{tmpdir_fresh}/state"
-    save_state(fold(b1), path)
-    s2, ch2 = merge_state(load_state(spark, path), b2)
+    save_state(fold(b1, path), path)
+    s2, ch2 = merge_state(load_state(spark, path), b2, path)
     d = dedup_records(whole)
     assert rows_set(s2.latest) == rows_set(latest_attributes(d))
     assert rows_set(s2.counts) == rows_set(event_counts(d))
     ch_all = rows_set(attribute_changes(dedup_records(b1)).unionByName(ch2))
     assert ch_all == rows_set(attribute_changes(d))
-    assert s2.ids.count() == d.count()
+    assert s2.records.count() == d.count()
+    assert spark.read.parquet(f"{path}/records").count() == d.count()
 
 
 def test_duplicate_keys_hot_key(spark):
