@@ -67,3 +67,29 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     except Exception:  # noqa: BLE001 - no SparkContext under Spark Connect
         pass
     return os.path.join(base.rstrip("/"), f"{purpose}-{uuid.uuid4().hex[:12]}")
+
+
+def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024,
+               max_shuffle_partitions: int = 100_000) -> dict[str, str]:
+    """Settings sized from the input volume, for spark-submit or the builder.
+
+    Shuffle partitions start at input / 256 MiB (capped) and AQE coalesces
+    them after each stage from measured sizes; scans split files into
+    256 MiB; a shuffle partition five times the median and over 1 GiB is
+    split by the skew-join rule. Broadcast stays on the size check AQE
+    applies at run time (the threshold below).
+    """
+    n = max(200, min(max_shuffle_partitions, -(-input_bytes // partition_bytes)))
+    mib = f"{partition_bytes // (1024 * 1024)}m"
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": mib,
+        "spark.sql.files.maxPartitionBytes": mib,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    }
