@@ -51,12 +51,13 @@ def attribute_changes(records: DataFrame, order: str = "arrival",
     else:
         raise ValueError(f"order must be 'arrival' or 'event_time', not {order!r}")
     keys = ["user_id", "key", "_b"]
-    w = Window.partitionBy(*keys).orderBy(*ordering)
-    a = (a.withColumn("_b", bucket.cast("bigint"))
-         .withColumn("_prev", F.lag("value").over(w))
-         .withColumn("_next_pos", F.lead("position").over(w)))
-    # Last value of each bucket, then carried to the next non-empty bucket.
-    tails = a.filter(F.col("_next_pos").isNull()).select(*keys, F.col("value").alias("_tail"))
+    order_struct = F.struct(*ordering)
+    a = a.withColumn("_b", bucket.cast("bigint"))
+    # Previous value inside the bucket. All assertions are shuffled once,
+    # on (user_id, key, bucket).
+    w = a.withColumn("_prev", F.lag("value").over(Window.partitionBy(*keys).orderBy(*ordering)))
+    # Last value of each bucket: partial aggregation, one row per bucket.
+    tails = a.groupBy(*keys).agg(F.max_by("value", order_struct).alias("_tail"))
     by_bucket = Window.partitionBy("user_id", "key").orderBy("_b")
     carry = (tails.withColumn("_carry", F.lag("_tail").over(by_bucket))
              .withColumn("_first", F.lag("_b").over(by_bucket).isNull()))
@@ -65,15 +66,13 @@ def attribute_changes(records: DataFrame, order: str = "arrival",
         carry = (carry.join(p, ["user_id", "key"], "left")
                  .withColumn("_carry", F.when(F.col("_first"), F.col("_prior"))
                              .otherwise(F.col("_carry"))))
-    carry = carry.select(*keys, "_carry")
-    heads = (a.filter(F.col("_prev").isNull()).drop("_prev")
-             .join(carry, keys, "left")
-             .withColumnRenamed("_carry", "_prev"))
-    rest = a.filter(F.col("_prev").isNotNull())
-    cols = ["user_id", F.col("key").alias("name"), F.col("_prev").alias("old_value"),
-            "value", "timestamp", "position"]
-    both = heads.select(*cols).unionByName(rest.select(*cols))
-    return both.filter(changed())
+    # The windowed rows are already partitioned on the join keys, so only
+    # the carry table (one row per bucket) moves.
+    joined = w.join(carry.select(*keys, "_carry"), keys, "left")
+    old = F.when(F.col("_prev").isNull(), F.col("_carry")).otherwise(F.col("_prev"))
+    return (joined.select("user_id", F.col("key").alias("name"), old.alias("old_value"),
+                          "value", "timestamp", "position")
+            .filter(changed()))
 
 
 def last_logged(records: DataFrame) -> DataFrame:
