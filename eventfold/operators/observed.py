@@ -14,6 +14,28 @@ from eventfold.functions.expr import sorted_map
 from eventfold.operators.attributes import attribute_assertions
 
 
+def observed_long(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids(id), long(id, kind, key, value)) of the observed fold; one
+    aggregation on (user_id, kind, key), no maps."""
+    a = (attribute_assertions(records)
+         .select("user_id", F.lit("attribute").alias("kind"), "key", "value", "position"))
+    e = (records.filter(F.col("type") == "event")
+         .select(F.coalesce("user_id", F.lit(0).cast("bigint")).alias("user_id"),
+                 F.lit("event").alias("kind"), F.coalesce("name", F.lit("")).alias("key"),
+                 F.lit(None).cast("string").alias("value"), "position"))
+    facts = (a.unionByName(e).groupBy("user_id", "kind", "key")
+             .agg(F.max_by("value", "position").alias("last"), F.count(F.lit(1)).alias("n")))
+    ids = (records.filter((F.col("type") == "attributes") & F.col("user_id").isNotNull())
+           .groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+           .select(F.col("user_id").alias("id")))
+    long = facts.select(F.col("user_id").alias("id"), "kind", "key",
+                        F.when(F.col("kind") == "attribute", F.col("last"))
+                        .otherwise(F.col("n").cast("string")).alias("value"))
+    # ``long`` may hold event rows of users who are not customers; pair it
+    # with ``ids`` (reconcile_long compares entries of common ids only).
+    return ids, long
+
+
 def observed_profiles(records: DataFrame) -> DataFrame:
     """(id, attributes map, events map) as the reference would serve them."""
     a = attribute_assertions(records)

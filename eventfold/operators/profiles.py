@@ -47,6 +47,26 @@ def profile_facts(records: DataFrame) -> DataFrame:
                  F.max("timestamp").alias("max_ts")))
 
 
+def profile_long(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """R5 profiles in long form, straight from ``profile_facts``:
+    (ids(id), long(id, kind, key, value)) with kind 'attribute' / 'event'
+    and counts as text; no map is built. For reconcile at scale."""
+
+    facts = profile_facts(records)
+    ids = (facts.filter(F.col("kind") == "a").groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+           .select(F.col("user_id").alias("id")))
+    long = (facts.filter(((F.col("kind") == "a") & F.col("win.value").isNotNull())
+                         | (F.col("kind") == "e"))
+            .select(F.col("user_id").alias("id"),
+                    F.when(F.col("kind") == "a", F.lit("attribute")).otherwise(F.lit("event")).alias("kind"),
+                    "key",
+                    F.when(F.col("kind") == "a", F.col("win.value"))
+                    .otherwise(F.col("n").cast("string")).alias("value")))
+    # ``long`` may hold event rows of users who are not customers; pair it
+    # with ``ids`` (reconcile_long compares entries of common ids only).
+    return ids, long
+
+
 def _parts(records: DataFrame, customers: DataFrame | None, customer_key: str):
     """(id, attr entries, event entries, n_events, last_updated) per customer.
 

@@ -25,27 +25,38 @@ def reconcile_long(actual_ids: DataFrame, actual: DataFrame,
     """Differences between two long forms plus their id lists.
 
     status: missing_customer / extra_customer (id level, U1/U2), or for
-    customers on both sides missing_key / extra_key / mismatch.
+    customers on both sides missing_key / extra_key / mismatch. Both sides
+    meet in one aggregation keyed on (id, kind, key) (no join multiplies
+    rows, and a customer with many keys spreads over many tasks); only the
+    differences are then matched to the id-level presence.
     """
-    ea = (expected_ids.select("id").distinct().withColumn("_e", F.lit(True))
-          .join(actual_ids.select("id").distinct().withColumn("_a", F.lit(True)), "id", "full_outer"))
-    id_rows = (ea.filter(F.col("_e").isNull() | F.col("_a").isNull())
+    ids = (expected_ids.select("id", F.lit(1).alias("_e"), F.lit(0).alias("_a"))
+           .unionByName(actual_ids.select("id", F.lit(0).alias("_e"), F.lit(1).alias("_a")))
+           .groupBy("id").agg(F.max("_e").alias("_e"), F.max("_a").alias("_a")))
+    id_rows = (ids.filter((F.col("_e") == 0) | (F.col("_a") == 0))
                .select("id", F.lit("customer").alias("kind"), F.lit(None).cast("string").alias("key"),
                        F.lit(None).cast("string").alias("expected"),
                        F.lit(None).cast("string").alias("actual"),
-                       F.when(F.col("_a").isNull(), F.lit("missing_customer"))
+                       F.when(F.col("_a") == 0, F.lit("missing_customer"))
                        .otherwise(F.lit("extra_customer")).alias("status")))
-    common = ea.filter(F.col("_e") & F.col("_a")).select("id")
-    x = expected.select("id", "kind", "key", F.col("value").alias("expected"))
-    y = actual.select("id", "kind", "key", F.col("value").alias("actual"))
-    entries = (x.join(y, ["id", "kind", "key"], "full_outer")
-               .filter(~F.col("expected").eqNullSafe(F.col("actual")))
-               .join(common, "id", "left_semi")
-               .select("id", "kind", "key", "expected", "actual",
-                       F.when(F.col("actual").isNull(), F.lit("missing_key"))
-                       .when(F.col("expected").isNull(), F.lit("extra_key"))
-                       .otherwise(F.lit("mismatch")).alias("status")))
-    return id_rows.unionByName(entries)
+    common = ids.filter((F.col("_e") == 1) & (F.col("_a") == 1)).select("id")
+    sides = (expected.select("id", "kind", "key", F.col("value").alias("_x"),
+                             F.lit(None).cast("string").alias("_y"), F.lit(1).alias("_in_x"),
+                             F.lit(0).alias("_in_y"))
+             .unionByName(actual.select("id", "kind", "key", F.lit(None).cast("string").alias("_x"),
+                                        F.col("value").alias("_y"), F.lit(0).alias("_in_x"),
+                                        F.lit(1).alias("_in_y"))))
+    met = (sides.groupBy("id", "kind", "key")
+           .agg(F.max("_x").alias("expected"), F.max("_y").alias("actual"),
+                F.max("_in_x").alias("_in_x"), F.max("_in_y").alias("_in_y")))
+    status = (F.when(F.col("_in_y") == 0, F.lit("missing_key"))
+              .when(F.col("_in_x") == 0, F.lit("extra_key"))
+              .otherwise(F.lit("mismatch")))
+    diffs = (met.filter((F.col("_in_x") != F.col("_in_y"))
+                        | ~F.col("expected").eqNullSafe(F.col("actual")))
+             .join(common, "id", "left_semi")
+             .select("id", "kind", "key", "expected", "actual", status.alias("status")))
+    return id_rows.unionByName(diffs)
 
 
 def reconcile(actual: DataFrame, expected: DataFrame) -> DataFrame:

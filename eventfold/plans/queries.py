@@ -22,16 +22,17 @@ from eventfold.operators.changes import latest_change as latest_change_op
 from eventfold.operators.dedup import dedup_records
 from eventfold.operators.events import anonymous_counts, event_counts as counts_op
 from eventfold.operators.merge import fold, load_state, merge_state, save_state
-from eventfold.operators.observed import observed_profiles
+from eventfold.operators.observed import observed_long
 from eventfold.operators.profiles import (
     customer_lookup as customer_lookup_op,
     event_lookup as event_lookup_op,
     profile_json as profile_json_op,
+    profile_long,
     profile_text,
     profile_wide as profile_wide_op,
     profiles,
 )
-from eventfold.operators.reconcile import reconcile
+from eventfold.operators.reconcile import reconcile_long
 from eventfold.session import shared_dir
 from eventfold.sources.records import read_records, records_to_ndjson
 from eventfold.sources.summary import read_summary, summary_lines as summary_lines_op, write_summary
@@ -262,8 +263,9 @@ def reconcile_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed reference fold (no dedup, anonymous as user 0,
     arrival order) against the intended profiles; every difference a row."""
     raw = records(spark, sf_dir)
-    expected = profiles(dedup_records(raw)).select("id", "attributes", "events")
-    return reconcile(observed_profiles(raw), expected)
+    exp_ids, exp_long = profile_long(dedup_records(raw))
+    act_ids, act_long = observed_long(raw)
+    return reconcile_long(act_ids, act_long, exp_ids, exp_long)
 
 
 def _two_batches(spark: SparkSession, sf_dir: str):
