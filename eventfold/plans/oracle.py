@@ -308,7 +308,8 @@ ORACLE["merged_attributes"] = ORACLE["latest_attributes"]
 ORACLE["merged_event_counts"] = ORACLE["event_counts"]
 ORACLE["merged_changes"] = ORACLE["attribute_changes"]
 
-BAD_LINE = "type = 'event' AND name = 'error' AND TRY_CAST(aval AS INTEGER) >= 90"
+BAD_LINE = ("type = 'event' AND name = 'error' AND user_id IS NOT NULL "
+            "AND TRY_CAST(aval AS INTEGER) >= 90")
 
 ORACLE["ndjson_records"] = with_records(f"""
 SELECT id, type, name, user_id, timestamp, {DATA_JSON} AS data_json

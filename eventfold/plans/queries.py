@@ -302,10 +302,11 @@ def merged_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ndjson_path(spark: SparkSession, sf_dir: str) -> str:
     """Write the adapter's records as NDJSON lines (the reader's input).
-    Error events with k >= 90 are written with a numeric user_id, which
-    the strict reader must set aside."""
+    Error events of a known user with k >= 90 are written with a numeric
+    user_id, which the strict reader must set aside (an anonymous record
+    has no user_id field at all)."""
     raw = records(spark, sf_dir)
-    bad = ((F.col("type") == "event") & (F.col("name") == "error")
+    bad = ((F.col("type") == "event") & (F.col("name") == "error") & F.col("user_id").isNotNull()
            & (F.try_element_at("data", F.lit("k")).try_cast("int") >= 90))
     good_line = records_to_ndjson(raw.filter(~F.coalesce(bad, F.lit(False))))
     bad_line = raw.filter(F.coalesce(bad, F.lit(False))).select(
