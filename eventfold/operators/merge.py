@@ -48,29 +48,35 @@ def _parts(d: DataFrame) -> dict:
                 customers=last_updated(d), logged=last_logged(d))
 
 
-def fold(records: DataFrame, path: str | None = None) -> State:
+def fold(records: DataFrame, path: str | None = None, table: str | None = None) -> State:
     """State of one batch of raw records.
 
     With ``path`` (a shared folder) the deduplicated records are written
     there first (S7) and every part is derived from the written copy, so
-    the dedup shuffle runs once and later plans start from Parquet.
+    the dedup shuffle runs once and later plans start from Parquet. With
+    ``table`` as well, they form a catalog table bucketed by id (see
+    ``store_records``), which later merges join without shuffling it.
     """
     d = dedup_records(records)
     if path is not None:
-        d = store_records(d, f"{path}/records", load=uuid.uuid4().hex, mode="overwrite")
+        d = store_records(d, f"{path}/records", load=uuid.uuid4().hex, mode="overwrite",
+                          table=table)
     return State(records=d, **_parts(d))
 
 
-def merge_state(state: State, batch: DataFrame, path: str | None = None) -> tuple[State, DataFrame]:
+def merge_state(state: State, batch: DataFrame, path: str | None = None,
+                table: str | None = None) -> tuple[State, DataFrame]:
     """(new state, changes logged by this batch).
 
     Records already stored (by id) are dropped first (J5), so a resent
     record neither counts twice nor logs a change. With ``path`` the new
-    records are appended to the stored records there.
+    records are appended to the stored records there (to the bucketed
+    ``table`` if given, whose history side of the J5 join is not shuffled).
     """
     new = dedup_records(batch, history=state.records)
     if path is not None:
-        new = store_records(new, f"{path}/records", load=uuid.uuid4().hex, mode="append")
+        new = store_records(new, f"{path}/records", load=uuid.uuid4().hex, mode="append",
+                            table=table)
     changes = attribute_changes(new, prior=state.logged)
     n = State(records=new, **_parts(new))
     order = F.struct("timestamp", "position")
@@ -98,7 +104,9 @@ def save_state(state: State, path: str) -> None:
         getattr(state, part).write.mode("overwrite").parquet(f"{path}/{part}")
 
 
-def load_state(spark: SparkSession, path: str) -> State:
+def load_state(spark: SparkSession, path: str, table: str | None = None) -> State:
+    """State written by ``save_state``; records from the bucketed ``table``
+    when given (keeps its bucketing), else from ``path``."""
     parts = {part: spark.read.parquet(f"{path}/{part}") for part in PARTS}
-    records = spark.read.parquet(f"{path}/records").select(*RECORD_COLUMNS)
-    return State(records=records, **parts)
+    src = spark.table(table) if table else spark.read.parquet(f"{path}/records")
+    return State(records=src.select(*RECORD_COLUMNS), **parts)

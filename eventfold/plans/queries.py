@@ -278,10 +278,11 @@ def _merged(spark: SparkSession, sf_dir: str):
     """Fold batch 1, store it, merge batch 2 into the stored state."""
     b1, b2 = _two_batches(spark, sf_dir)
     path = shared_dir(spark, "state")
-    s1 = fold(b1, path)
+    table = "eventfold_records_" + path.rstrip("/").rsplit("-", 1)[-1]
+    s1 = fold(b1, path, table=table)
     save_state(s1, path)
     c1 = changes_op(s1.records)
-    s2, c2 = merge_state(load_state(spark, path), b2, path)
+    s2, c2 = merge_state(load_state(spark, path, table=table), b2, path, table=table)
     return s2, c1.unionByName(c2)
 
 
