@@ -65,3 +65,31 @@ def test_duplicate_keys_hot_key(spark):
     df = spark.range(0, 5000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
     got = rows_set(checks.duplicate_keys(df, "k", "t"))
     assert got == [("t", "7", 1667 + 1)]   # every third id, plus id 7 itself
+
+
+def test_merge_with_bucketed_history_table(spark, tmpdir_fresh):
+    rows = [attr("a1", 1, {"k": "x"}, 10, 1), event("e1", 1, "click", 10, 2),
+            event("e1", 1, "click", 10, 3), attr("a2", 1, {"k": "y"}, 20, 4),
+            event("e2", 1, "click", 11, 5)]
+    b1, b2 = recs(spark, rows[:2]), recs(spark, rows[2:])
+    path, table = f"{tmpdir_fresh}/state", "eventfold_test_records"
+    save_state(fold(b1, path, table=table), path)
+    s2, _ = merge_state(load_state(spark, path, table=table), b2, path, table=table)
+    assert rows_set(s2.counts) == [(1, "click", 2)]
+    assert rows_set(s2.latest, ["key", "value"]) == [("k", "y")]
+    assert spark.table(table).count() == 4
+    probe = spark.createDataFrame([("e1",), ("zz",)], "id string")
+    old = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = probe.join(spark.table(table).select("id"), "id", "left_anti")
+        assert [r.id for r in joined.collect()] == ["zz"]
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        if old is not None:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old)
+        else:
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan
