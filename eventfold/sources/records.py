@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventfold.functions.expr import atoi, canonical_uuid, is_uuid
+from eventfold.functions.expr import atoi, canonical_uuid, is_uuid, normalise_event_name
 from eventfold.schema import RECORD_COLUMNS
 
 # Splits below this count have their bases broadcast; above it the join
@@ -151,8 +151,12 @@ def lines_with_positions(spark: SparkSession, path: str | list[str]) -> DataFram
 
 
 def parse_lines(lines: DataFrame, require_uuid: bool = False,
-                canonical_ids: bool = False) -> tuple[DataFrame, DataFrame]:
-    """lines(value, [source], [position]) -> (records, quarantine(value, ..., reason))."""
+                canonical_ids: bool = False, normalise_names: bool = False
+                ) -> tuple[DataFrame, DataFrame]:
+    """lines(value, [source], [position]) -> (records, quarantine(value, ..., reason)).
+
+    ``normalise_names`` lower-cases event names and removes spaces (F17).
+    """
     extra = [c for c in ("source", "position") if c in lines.columns]
     checked = checked_lines(lines)
     uid = F.col("f_user_id")
@@ -166,7 +170,8 @@ def parse_lines(lines: DataFrame, require_uuid: bool = False,
     quarantine = parsed.filter(F.col("reason").isNotNull()).select("value", *extra, "reason")
     rid = canonical_uuid(F.col("f_id")) if canonical_ids else F.col("f_id")
     valid = parsed.filter(F.col("reason").isNull()).select(
-        rid.alias("id"), F.col("f_type").alias("type"), F.col("f_name").alias("name"),
+        rid.alias("id"), F.col("f_type").alias("type"),
+        (normalise_event_name("f_name") if normalise_names else F.col("f_name")).alias("name"),
         uid_num.alias("user_id"), F.col("f_data").alias("data"),
         F.col("f_timestamp").alias("timestamp"),
         *([F.col("position")] if "position" in extra else [F.lit(None).cast("bigint").alias("position")]),
@@ -175,8 +180,8 @@ def parse_lines(lines: DataFrame, require_uuid: bool = False,
 
 
 def read_records(spark: SparkSession, path: str | list[str], start: int = 0,
-                 require_uuid: bool = False, canonical_ids: bool = False
-                 ) -> tuple[DataFrame, DataFrame]:
+                 require_uuid: bool = False, canonical_ids: bool = False,
+                 normalise_names: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid records, quarantine) from NDJSON files.
 
     ``start`` resumes after a byte offset (S4): lines whose end offset is
@@ -185,7 +190,7 @@ def read_records(spark: SparkSession, path: str | list[str], start: int = 0,
     lines = lines_with_positions(spark, path)
     if start:
         lines = lines.filter(F.col("position") > F.lit(start))
-    valid, quarantine = parse_lines(lines, require_uuid, canonical_ids)
+    valid, quarantine = parse_lines(lines, require_uuid, canonical_ids, normalise_names)
     return valid.select(*RECORD_COLUMNS, "source"), quarantine
 
 

@@ -2,6 +2,7 @@
 
 from eventfold.streaming.stream import (
     ChangeLogger,
+    ProgressLog,
     events_stream,
     ndjson_stream,
     run_available_now,
@@ -13,6 +14,7 @@ from eventfold.streaming.stream import (
 
 __all__ = [
     "ChangeLogger",
+    "ProgressLog",
     "events_stream",
     "ndjson_stream",
     "run_available_now",

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from eventfold.operators.attributes import attribute_assertions
@@ -142,3 +143,30 @@ def run_available_now(df: DataFrame, mode: str, name: str) -> tuple[DataFrame, l
     if "batch" in result.columns:
         result = result.drop("batch")
     return result, progress
+
+
+class ProgressLog(StreamingQueryListener):
+    """ST6: report input progress every ``every`` rows (driver-side; it
+    sees one progress event per micro-batch, never the rows)."""
+
+    def __init__(self, every: int = 1000, sink=print):
+        self.every, self.sink = every, sink
+        self.rows, self._next = 0, every
+        self.batches: list[dict] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows += p.numInputRows
+        self.batches.append({"batch": p.batchId, "rows": p.numInputRows})
+        while self.rows >= self._next:
+            self.sink(f"{self._next} records read")
+            self._next += self.every
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

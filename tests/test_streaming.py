@@ -67,3 +67,35 @@ def test_stream_equals_batch(spark, tmpdir_fresh):
     changes, _ = run_available_now(stream_attribute_changes(valid), "append", "t-changes")
     cols = ["user_id", "name", "old_value", "value", "timestamp"]
     assert rows_set(changes, cols) == rows_set(attribute_changes(d), cols)
+
+
+def test_watermark_dedup_and_progress_log(spark, tmpdir_fresh):
+    from pyspark.sql import functions as F
+
+    from eventfold.streaming import ProgressLog, stream_dedup
+    folder = f"{tmpdir_fresh}/in"
+    _write_files(folder, _files())
+    seen = []
+    listener = ProgressLog(every=3, sink=seen.append)
+    spark.streams.addListener(listener)
+    try:
+        valid, _ = ndjson_stream(spark, folder, max_files_per_trigger=1)
+        out, _ = run_available_now(stream_dedup(valid, watermark="1 hour").select("id"), "append", "t-wm")
+        import time
+        deadline = time.time() + 30   # listener events are delivered asynchronously
+        while sum(b["rows"] for b in listener.batches) < 10 and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    # r0002 is sent twice, in two batches within the watermark: kept once.
+    assert sorted(r.id for r in out.collect()) == [f"r{i:04d}" for i in range(1, 9)]
+    assert seen and seen[0] == "3 records read"
+    assert sum(b["rows"] for b in listener.batches) == 10
+    assert out.filter(F.col("id") == "r0002").count() == 1
+
+
+def test_normalised_event_names(spark):
+    from eventfold.sources.records import parse_lines
+    df = spark.createDataFrame([('{"id":"x","type":"event","name":"Sign Up Now"}',)], "value string")
+    valid, _ = parse_lines(df, normalise_names=True)
+    assert valid.first().name == "signupnow"
