@@ -252,15 +252,20 @@ WHERE id IN (SELECT id FROM recs GROUP BY id HAVING count(*) > 1)
 """)
 
 ORACLE["summary_roundtrip"] = with_records("""
-SELECT user_id AS id,
-       CASE WHEN key = 'created_at' THEN 'attribute'
-            WHEN regexp_matches(value, '^[+-]?[0-9]+$') THEN 'event'
-            ELSE 'attribute' END AS kind,
-       key, value
-FROM latest WHERE user_id IN (SELECT user_id FROM lu)
-UNION ALL
-SELECT user_id, 'event', COALESCE(name, ''), CAST(n AS VARCHAR) FROM counts
-WHERE user_id IN (SELECT user_id FROM lu)
+SELECT id, kind, key, value FROM (
+  SELECT user_id AS id,
+         CASE WHEN key = 'created_at' THEN 'attribute'
+              WHEN regexp_matches(value, '^[+-]?[0-9]+$') THEN 'event'
+              ELSE 'attribute' END AS kind,
+         key, value, 1 AS field_group
+  FROM latest WHERE user_id IN (SELECT user_id FROM lu)
+  UNION ALL
+  SELECT user_id, 'event', COALESCE(name, ''), CAST(n AS VARCHAR), 2 FROM counts
+  WHERE user_id IN (SELECT user_id FROM lu)
+)
+-- attributes are written before events on a line; a later field with the
+-- same kind and key overwrites an earlier one
+QUALIFY row_number() OVER (PARTITION BY id, kind, key ORDER BY field_group DESC) = 1
 """)
 
 ORACLE["reconcile_observed"] = with_records("""

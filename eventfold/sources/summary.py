@@ -5,7 +5,9 @@ byte order inside each group; a customer without events ends in a comma.
 Reading routes a field to the events when its value is an integer, except
 ``created_at``, which is always an attribute: the format cannot tell an
 integer-valued attribute from a count, so such attributes read back as
-events (documented limit).
+events (documented limit). A key met twice for one customer and kind keeps
+the later field, so an integer-valued attribute named like an event is
+overwritten by that event's count.
 """
 
 from __future__ import annotations
@@ -53,14 +55,24 @@ def parse_summary(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     quarantine = flagged.filter(F.col("reason").isNotNull()).select("value", "reason")
     good = flagged.filter(F.col("reason").isNull())
     ids = good.select("id")
-    kv = (good.select("id", F.posexplode(fields).alias("_pos", "_f"))
-          .filter((F.col("_pos") > 0) & (F.col("_f") != ""))
-          .select("id", F.split("_f", "=", -1).alias("_kv"))
-          .select("id", F.col("_kv")[0].alias("key"), F.col("_kv")[1].alias("value")))
-    kind = (F.when(F.col("key") == INTEGER_ATTRIBUTE, F.lit("attribute"))
-            .when(is_integer_text("value"), F.lit("event"))
-            .otherwise(F.lit("attribute")))
-    long = kv.select("id", kind.alias("kind"), "key", "value")
+    kind = lambda k, v: (F.when(k == INTEGER_ATTRIBUTE, F.lit("attribute"))
+                         .when(is_integer_text(v), F.lit("event"))
+                         .otherwise(F.lit("attribute")))
+    def part(f, i):
+        return F.try_element_at(F.split(f, "=", -1), F.lit(i))
+
+    pairs = F.transform(
+        F.filter(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))), lambda f: f != ""),
+        lambda f: F.struct(kind(part(f, 1), part(f, 2)).alias("kind"),
+                           part(f, 1).alias("key"), part(f, 2).alias("value")))
+    # A key given twice on one line keeps its last value (later fields
+    # overwrite earlier ones); the line is a whole customer, so this
+    # needs no shuffle.
+    last = (good.select("id", pairs.alias("_p"))
+            .select("id", F.filter("_p", lambda e, i: ~F.exists(
+                F.slice("_p", i + 2, F.greatest(F.size("_p"), F.lit(1))),
+                lambda o: (o["kind"] == e["kind"]) & (o["key"] == e["key"]))).alias("_p")))
+    long = last.select("id", F.inline("_p")).select("id", "kind", "key", "value")
     return ids, long, quarantine
 
 
@@ -69,12 +81,14 @@ def read_summary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 
 def summary_profiles(ids: DataFrame, long: DataFrame) -> DataFrame:
-    """(id, attributes map, events map) from parsed summary parts; a key
-    repeated on one line keeps its last value."""
-    attrs = (long.filter(F.col("kind") == "attribute").groupBy("id")
+    """(id, attributes map, events map) from parsed summary parts. An id on
+    several lines has their entries merged; a key present on more than one
+    of them keeps the greatest value (line order is not kept)."""
+    merged = long.groupBy("id", "kind", "key").agg(F.max("value").alias("value"))
+    attrs = (merged.filter(F.col("kind") == "attribute").groupBy("id")
              .agg(F.map_from_entries(F.array_sort(F.collect_list(
                  F.struct("key", "value")))).alias("attributes")))
-    events = (long.filter(F.col("kind") == "event").groupBy("id")
+    events = (merged.filter(F.col("kind") == "event").groupBy("id")
               .agg(F.map_from_entries(F.array_sort(F.collect_list(
                   F.struct("key", atoi("value").alias("value"))))).alias("events")))
     return (ids.distinct().join(attrs, "id", "left").join(events, "id", "left")

@@ -80,3 +80,12 @@ def test_reconcile_reports_every_status(spark):
         (4, "customer", None, None, None, "extra_customer"),
     ]
     assert reconcile(expected, expected).count() == 0
+
+
+def test_summary_repeated_keys(spark):
+    lines = spark.createDataFrame([("1,a=x,a=y,click=1,click=2",), ("2,b=p",), ("2,b=q,c=r",)], "value string")
+    ids, long, bad = parse_summary(lines)
+    assert rows_set(long.filter("id = 1")) == [(1, "attribute", "a", "y"), (1, "event", "click", "2")]
+    p = {r.id: r for r in summary_profiles(ids, long).collect()}
+    assert p[1].attributes == {"a": "y"} and p[1].events == {"click": 2}
+    assert p[2].attributes == {"b": "q", "c": "r"}
