@@ -18,6 +18,9 @@ per split, computed from per-split byte totals (one row per split).
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +28,10 @@ from pyspark.sql import types as T
 from eventfold.functions.expr import atoi, canonical_uuid, is_uuid, normalise_event_name
 from eventfold.schema import RECORD_COLUMNS
 
+# Functions of this module run inside Python workers (Arrow / state API);
+# pickle them by value so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Splits below this count have their bases broadcast; above it the join
 # shuffles. About 24 bytes per split row.
 BROADCAST_SPLITS = 2_000_000

@@ -17,9 +17,12 @@ Streams carry no byte position for NDJSON input; there ``id`` breaks ties.
 
 from __future__ import annotations
 
+import sys
+
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -32,6 +35,10 @@ from eventfold.session import shared_dir
 from eventfold.sources.records import parse_lines
 from eventfold.sources.tables import records_from_events
 
+# Functions of this module run inside Python workers (Arrow / state API);
+# pickle them by value so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
