@@ -32,9 +32,9 @@ from eventfold.schema import RECORD_COLUMNS
 # pickle them by value so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Splits below this count have their bases broadcast; above it the join
-# shuffles. About 24 bytes per split row.
-BROADCAST_SPLITS = 2_000_000
+# The split-base table is broadcast only when its estimated size (paths plus
+# three longs per split) is at most this; beyond it the join shuffles.
+BROADCAST_BYTES = 128 * 1024 * 1024
 
 _STRINGY = ("STRING", "VOID")
 _INTEGER = ("TINYINT", "SMALLINT", "INT", "BIGINT")
@@ -131,13 +131,14 @@ def lines_with_positions(spark: SparkSession, path: str | list[str]) -> DataFram
     schema = T.StructType(raw.schema.fields + [T.StructField("_in_split", T.LongType())])
     local = raw.mapInArrow(_prefix_bytes, schema)
     # One row per split: cached so the two base computations below and the
-    # size check share one scan.
+    # size estimate share one scan.
     splits = (raw.groupBy("_file", "_block")
               .agg(F.sum("_nbytes").alias("_split_bytes"), F.max("_fsize").alias("_fsize"))
               .cache())
     # Base of a split = bytes of every earlier split of the same file;
-    # file base = sizes of every earlier file in path order. One row per
-    # split, so this small table is the only thing ordered as a whole.
+    # file base = sizes of every earlier file in path order. The file list
+    # is ordered in one window: it is one row per input file, the same
+    # list the driver already holds to plan the scan, not the data.
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     files = splits.groupBy("_file").agg(F.max("_fsize").alias("_fsize"))
     file_base = files.withColumn(
@@ -146,8 +147,8 @@ def lines_with_positions(spark: SparkSession, path: str | list[str]) -> DataFram
     bases = (splits.withColumn("_split_base", F.coalesce(F.sum("_split_bytes").over(in_file), F.lit(0)))
              .join(file_base.select("_file", "_file_base"), "_file")
              .select("_file", "_block", "_split_base", "_file_base", splits["_fsize"]))
-    n_splits = splits.count()
-    if n_splits <= BROADCAST_SPLITS:
+    est = splits.agg(F.sum(F.octet_length("_file") + 32).alias("b")).first()["b"] or 0
+    if est <= BROADCAST_BYTES:
         bases = F.broadcast(bases)
     out = local.drop("_fsize").join(bases, ["_file", "_block"])
     # A last line without a newline is one byte shorter than counted.
