@@ -84,6 +84,15 @@ def last_logged(records: DataFrame) -> DataFrame:
             .agg(F.max_by("value", "position").alias("value")))
 
 
+def changes_for(changes: DataFrame, users: DataFrame | None = None,
+                user_col: str = "user_id") -> DataFrame:
+    """P7 changelog reads: all changes, or those of the customers in
+    ``users`` (left semi join: no id list on the driver)."""
+    if users is None:
+        return changes
+    return changes.join(users.select(F.col(user_col).alias("user_id")).distinct(), "user_id", "left_semi")
+
+
 def latest_change(changes: DataFrame) -> DataFrame:
     """Newest logged change per (user_id, name), by position."""
     row = F.struct("old_value", "value", "timestamp", "position")

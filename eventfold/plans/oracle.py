@@ -152,6 +152,10 @@ SELECT user_id, key AS name, old_value, value, timestamp, position FROM (
 WHERE old_value IS NULL OR old_value <> value
 """)
 
+ORACLE["customer_changes"] = with_records("""
+SELECT * FROM changes WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)
+""")
+
 ORACLE["latest_change"] = with_records("""
 SELECT user_id, name, old_value, value, timestamp, position FROM changes
 QUALIFY row_number() OVER (PARTITION BY user_id, name ORDER BY position DESC) = 1
@@ -329,3 +333,5 @@ ORACLE["stream_event_counts"] = ORACLE["event_counts"]
 ORACLE["stream_latest_attributes"] = ORACLE["latest_attributes"]
 ORACLE["stream_attribute_changes"] = ORACLE["attribute_changes"]
 ORACLE["stream_dedup"] = with_records("SELECT id, type, name, user_id, timestamp FROM dedup")
+# Copies carry the same timestamp, so a one-hour watermark drops every copy.
+ORACLE["stream_dedup_watermark"] = ORACLE["stream_dedup"]

@@ -18,6 +18,7 @@ from eventfold.operators.attributes import last_updated as last_updated_op
 from eventfold.operators.attributes import latest_attributes as latest_op
 from eventfold.operators.attributes import row_last_arrival as row_last_arrival_op
 from eventfold.operators.changes import attribute_changes as changes_op
+from eventfold.operators.changes import changes_for
 from eventfold.operators.changes import latest_change as latest_change_op
 from eventfold.operators.dedup import dedup_records
 from eventfold.operators.events import anonymous_counts, event_counts as counts_op
@@ -129,6 +130,14 @@ def attribute_changes_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes_op(deduped(spark, sf_dir), order="event_time")
 
 
+@register
+def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changelog of every customer of one nation."""
+    users = (table(spark, sf_dir, "customer").filter(F.col("c_nationkey") == LOOKUP_NATION)
+             .select(F.col("c_custkey").alias("user_id")))
+    return changes_for(changes_op(deduped(spark, sf_dir)), users)
+
+
 @register
 def latest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_change_op(changes_op(deduped(spark, sf_dir)))
@@ -349,6 +358,9 @@ def _register_streams() -> None:
     register(_stream("stream_dedup", "append",
                      lambda r: st.stream_dedup(r).select("id", "type", "name", "user_id",
                                                          "timestamp")))
+    register(_stream("stream_dedup_watermark", "append",
+                     lambda r: st.stream_dedup(r, watermark="1 hour")
+                     .select("id", "type", "name", "user_id", "timestamp")))
 
 
 _register_streams()
