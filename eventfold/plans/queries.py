@@ -322,7 +322,10 @@ def _ndjson_path(spark: SparkSession, sf_dir: str) -> str:
     bad_line = raw.filter(F.coalesce(bad, F.lit(False))).select(
         F.to_json(F.struct("id", "type", "name", "user_id", "data", "timestamp")).alias("value"))
     path = shared_dir(spark, "ndjson")
-    good_line.unionByName(bad_line).write.text(path)
+    # One file per task slot, as a distributed writer of the input would
+    # leave it; the reader then works on as many splits.
+    slots = spark.sparkContext.defaultParallelism
+    good_line.unionByName(bad_line).repartition(slots).write.text(path)
     return path
 
 
