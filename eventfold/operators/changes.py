@@ -31,8 +31,23 @@ def changed(value: str = "value", old: str = "old_value"):
     return F.col(value).isNotNull() & ~F.col(value).eqNullSafe(F.col(old))
 
 
+def _range_buckets(a: DataFrame, ordering: list, n: int | None) -> DataFrame:
+    """Bucket = range partition of (user_id, key, ordering): Spark samples the
+    data and cuts it into ``n`` ranges of about equal size, so a hot key's
+    rows spread over many buckets in order. The partition index is frozen
+    with a reliable checkpoint (range bounds come from sampling and would
+    differ between recomputations)."""
+    from eventfold.session import shared_dir
+    spark = a.sparkSession
+    shared_dir(spark, "range-buckets")           # makes sure a checkpoint dir is set
+    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = a.repartitionByRange(n, "user_id", "key", *ordering)
+    return ranged.withColumn("_b", F.spark_partition_id().cast("bigint")).checkpoint(eager=True)
+
+
 def attribute_changes(records: DataFrame, order: str = "arrival",
-                      span: int | None = None, prior: DataFrame | None = None) -> DataFrame:
+                      span: int | None = None, prior: DataFrame | None = None,
+                      balance: str = "span", buckets: int | None = None) -> DataFrame:
     """(user_id, name, old_value, value, timestamp, position), one row per change.
 
     ``order="arrival"`` follows input position (the reference's trigger
@@ -40,6 +55,13 @@ def attribute_changes(records: DataFrame, order: str = "arrival",
     position). ``records`` should be deduplicated. ``prior`` (user_id,
     key, value) holds the last logged value of each attribute from earlier
     batches (see ``last_logged``); it precedes every row of this batch.
+
+    ``balance="span"`` buckets by a fixed span of the ordering column (one
+    shuffle; a bucket holds at most span bytes of input in arrival order,
+    but any number of rows of one event-time span). ``balance="range"``
+    buckets by sampled ranges (``buckets`` of them): every bucket has about
+    the same size whatever the skew, at the cost of a range shuffle and a
+    checkpoint.
     """
     a = attribute_assertions(records)
     if order == "arrival":
@@ -52,7 +74,12 @@ def attribute_changes(records: DataFrame, order: str = "arrival",
         raise ValueError(f"order must be 'arrival' or 'event_time', not {order!r}")
     keys = ["user_id", "key", "_b"]
     order_struct = F.struct(*ordering)
-    a = a.withColumn("_b", bucket.cast("bigint"))
+    if balance == "range":
+        a = _range_buckets(a, ordering, buckets)
+    elif balance == "span":
+        a = a.withColumn("_b", bucket.cast("bigint"))
+    else:
+        raise ValueError(f"balance must be 'span' or 'range', not {balance!r}")
     # Previous value inside the bucket. All assertions are shuffled once,
     # on (user_id, key, bucket).
     w = a.withColumn("_prev", F.lag("value").over(Window.partitionBy(*keys).orderBy(*ordering)))

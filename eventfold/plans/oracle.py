@@ -156,6 +156,8 @@ ORACLE["customer_changes"] = with_records("""
 SELECT * FROM changes WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)
 """)
 
+ORACLE["attribute_changes_balanced"] = ORACLE["attribute_changes_event_time"]
+
 ORACLE["latest_change"] = with_records("""
 SELECT user_id, name, old_value, value, timestamp, position FROM changes
 QUALIFY row_number() OVER (PARTITION BY user_id, name ORDER BY position DESC) = 1

@@ -130,6 +130,13 @@ def attribute_changes_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes_op(deduped(spark, sf_dir), order="event_time")
 
 
+@register
+def attribute_changes_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time order with sampled range buckets: equal-size buckets
+    whatever the skew of one customer attribute."""
+    return changes_op(deduped(spark, sf_dir), order="event_time", balance="range")
+
+
 @register
 def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changelog of every customer of one nation."""

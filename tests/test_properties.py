@@ -18,10 +18,11 @@ assertion = st.tuples(st.integers(1, 3), st.sampled_from("kjx"), st.sampled_from
 
 @SETTINGS
 @given(rows=st.lists(assertion, min_size=1, max_size=40), span=st.integers(1, 50),
-       order=st.sampled_from(["arrival", "event_time"]))
-def test_changelog_matches_brute_force(spark, rows, span, order):
+       order=st.sampled_from(["arrival", "event_time"]), balance=st.sampled_from(["span", "range"]))
+def test_changelog_matches_brute_force(spark, rows, span, order, balance):
     data = [attr(f"r{i}", u, {k: v}, ts, i + 1) for i, (u, k, v, ts) in enumerate(rows)]
-    got = rows_set(attribute_changes(recs(spark, data), order=order, span=span),
+    got = rows_set(attribute_changes(recs(spark, data), order=order, span=span, balance=balance,
+                                     buckets=span % 7 + 1),
                    ["user_id", "name", "old_value", "value", "position"])
     seq = sorted(((u, k, v, ts, i + 1) for i, (u, k, v, ts) in enumerate(rows)),
                  key=(lambda r: r[4]) if order == "arrival" else (lambda r: (r[3], r[4])))

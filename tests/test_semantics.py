@@ -128,3 +128,16 @@ def test_profile_invariant_to_order_partitions_and_duplicates(spark):
         df = recs(spark, shuffled).repartition(seed + 2)
         got = profiles(dedup_records(df))
         assert rows_set(got.select("id", F.to_json("attributes"), F.to_json("events"))) == want
+
+
+def test_changelog_range_buckets_split_a_hot_key(spark):
+    rows = [attr(f"r{i}", 1, {"k": "ab"[(i // 3) % 2]}, i % 17, i) for i in range(300)]
+    df = recs(spark, rows)
+    want = rows_set(attribute_changes(df, order="event_time"))
+    got = attribute_changes(df, order="event_time", balance="range", buckets=6)
+    assert rows_set(got) == want
+    # the one hot (user, key) was spread over several buckets
+    from eventfold.operators.attributes import attribute_assertions
+    from eventfold.operators.changes import _range_buckets
+    b = _range_buckets(attribute_assertions(df), [F.col("timestamp"), F.col("position")], 6)
+    assert b.select("_b").distinct().count() >= 4
