@@ -11,6 +11,8 @@ column (input bytes for arrival order). A bucket's size is bounded by the
 span, whatever the key. The first row of each bucket takes its previous
 value from the last row of the nearest earlier non-empty bucket: that
 carry table has one row per non-empty bucket, small next to the input.
+Event time has no such byte bound; ``balance="range"`` then cuts sampled,
+equal-size ranges of (user_id, key, timestamp, position) instead.
 """
 
 from __future__ import annotations
