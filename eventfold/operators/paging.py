@@ -57,3 +57,24 @@ def totals(profile: DataFrame) -> DataFrame:
     """Number of customers and of their events, one row."""
     return profile.agg(F.count(F.lit(1)).alias("customers"),
                        F.coalesce(F.sum("n_events"), F.lit(0)).cast("bigint").alias("events"))
+
+
+def list_reply_json(profile_json: DataFrame, page=None, per_page=None) -> DataFrame:
+    """S8 list reply as one JSON text row:
+    ``{"customers":[<profile>,...],"meta":{"page":..,"per_page":..,"total":..}}``.
+
+    ``profile_json`` is (id, json) per customer (``profile_json``). The
+    page's rows (at most ``per_page``) and the one-row meta are unioned and
+    folded by one tiny aggregation, so no join pairs them up.
+    """
+    rows, meta = list_profiles(profile_json, page, per_page)
+    parts = (rows.select(F.col("id"), F.col("json"), F.lit(None).cast("string").alias("meta"))
+             .unionByName(meta.select(F.lit(None).cast("bigint").alias("id"),
+                                      F.lit(None).cast("string").alias("json"),
+                                      F.to_json(F.struct("page", "per_page", "total")).alias("meta"))))
+    folded = parts.agg(
+        F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "json")))).alias("_c"),
+        F.max("meta").alias("_m"))
+    customers = F.array_join(F.transform("_c", lambda c: c["json"]), ",")
+    return folded.select(F.concat(F.lit('{"customers":['), customers, F.lit('],"meta":'),
+                                  F.col("_m"), F.lit("}")).alias("json"))

@@ -234,19 +234,30 @@ SELECT CAST(id AS VARCHAR) AS id_text,
 FROM r5
 """)
 
-ORACLE["profile_json"] = with_records("""
-SELECT l.user_id AS id,
-       '{"id":' || CAST(l.user_id AS VARCHAR)
-       || ',"attributes":{' || COALESCE(a.j, '') || '}'
-       || ',"events":{' || COALESCE(e.j, '') || '}'
-       || ',"last_updated":' || CAST(COALESCE(l.last_updated, 0) AS VARCHAR) || '}' AS json
-FROM lu l
-LEFT JOIN (SELECT user_id, string_agg('"' || key || '":"' || value || '"', ',' ORDER BY key) AS j
-           FROM latest GROUP BY user_id) a ON a.user_id = l.user_id
-LEFT JOIN (SELECT user_id, string_agg('"' || COALESCE(name, '') || '":' || CAST(n AS VARCHAR), ','
-                                      ORDER BY COALESCE(name, '')) AS j
-           FROM counts GROUP BY user_id) e ON e.user_id = l.user_id
-""")
+PROFILE_JSON = """
+pj AS (
+  SELECT l.user_id AS id,
+         '{"id":' || CAST(l.user_id AS VARCHAR)
+         || ',"attributes":{' || COALESCE(a.j, '') || '}'
+         || ',"events":{' || COALESCE(e.j, '') || '}'
+         || ',"last_updated":' || CAST(COALESCE(l.last_updated, 0) AS VARCHAR) || '}' AS json
+  FROM lu l
+  LEFT JOIN (SELECT user_id, string_agg('"' || key || '":"' || value || '"', ',' ORDER BY key) AS j
+             FROM latest GROUP BY user_id) a ON a.user_id = l.user_id
+  LEFT JOIN (SELECT user_id, string_agg('"' || COALESCE(name, '') || '":' || CAST(n AS VARCHAR), ','
+                                        ORDER BY COALESCE(name, '')) AS j
+             FROM counts GROUP BY user_id) e ON e.user_id = l.user_id
+)
+"""
+
+ORACLE["profile_json"] = with_records("SELECT id, json FROM pj", ctes=PROFILE_JSON)
+
+ORACLE["profile_page_json"] = with_records("""
+SELECT '{"customers":[' || COALESCE(string_agg(json, ',' ORDER BY id), '') || '],"meta":'
+       || '{"page":' || CASE WHEN (SELECT count(*) FROM pj) <= 50 THEN 1 ELSE 3 END
+       || ',"per_page":25,"total":' || CAST((SELECT count(*) FROM pj) AS VARCHAR) || '}}' AS json
+FROM (SELECT * FROM pj ORDER BY id LIMIT 25 OFFSET 50) page
+""", ctes=PROFILE_JSON)
 
 ORACLE["customer_lookup"] = with_records("""
 SELECT * FROM r5 WHERE id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)

@@ -162,6 +162,12 @@ def profile_page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta
 
 
+@register
+def profile_page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 list reply for page 3 (25 per page): customers and meta as JSON."""
+    return paging.list_reply_json(profile_json_op(profiles(deduped(spark, sf_dir))), PAGE, PER_PAGE)
+
+
 @register
 def profile_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyset page: the 25 customers after id 50."""
