@@ -141,3 +141,13 @@ def test_changelog_range_buckets_split_a_hot_key(spark):
     from eventfold.operators.changes import _range_buckets
     b = _range_buckets(attribute_assertions(df), [F.col("timestamp"), F.col("position")], 6)
     assert b.select("_b").distinct().count() >= 4
+
+
+def test_profile_ignores_null_values_and_counts_empty_records(spark):
+    df = recs(spark, [attr("a1", 1, {"k": "v", "j": "x"}, 1, 1),
+                      attr("a2", 1, {"k": None}, 9, 2),      # newer NULL asserts nothing
+                      attr("a3", 2, {}, 7, 3)])              # no entries: still a customer
+    p = {r.id: r for r in profiles(df).collect()}
+    assert p[1].attributes == {"j": "x", "k": "v"}
+    assert p[1].last_updated == 9                            # newest attributes record
+    assert p[2].attributes == {} and p[2].last_updated == 7
