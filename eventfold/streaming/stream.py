@@ -99,16 +99,22 @@ class ChangeLogger(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
         pdf = pdf.sort_values(["position", "record_id"], na_position="first", kind="stable")
-        prev = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for value, ts, pos in zip(pdf["value"], pdf["timestamp"], pdf["position"]):
-            if value is not None and value != prev:
-                out.append((key[0], key[1], prev, value, ts, pos))
-                prev = value
-        if prev is not None:
-            self.last.update((prev,))
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in CHANGE.fields])
+        values = pdf["value"].astype(object).reset_index(drop=True)
+        # The previous assertion's value is the last logged one (an
+        # unchanged value logs nothing); the first row compares with state.
+        prev = values.shift(1)
+        prev.iloc[0] = self.last.get()[0] if self.last.exists() else None
+        changed = prev.isna() | (values != prev)
+        if len(values):
+            self.last.update((values.iloc[-1],))
+        out = pd.DataFrame({
+            "user_id": key[0], "name": key[1],
+            "old_value": prev[changed].to_numpy(), "value": values[changed].to_numpy(),
+            "timestamp": pdf["timestamp"].to_numpy()[changed.to_numpy()],
+            "position": pdf["position"].to_numpy()[changed.to_numpy()],
+        })
+        if len(out):
+            yield out[[f.name for f in CHANGE.fields]]
 
     def close(self) -> None:
         pass
