@@ -76,3 +76,14 @@ def row_last_arrival(records: DataFrame, fields=REFERENCE_FIELDS) -> DataFrame:
             .groupBy("user_id")
             .agg(F.max_by(row, "position").alias("_r"))
             .select("user_id", *[F.col(f"_r.{f}").alias(f) for f in fields]))
+
+
+def attribute_state(records: DataFrame, mode: str = "latest", fields=REFERENCE_FIELDS) -> DataFrame:
+    """Attribute state per customer: ``mode="latest"`` is R3 (long form,
+    one row per attribute); ``mode="row_last_arrival"`` is the reference's
+    observed whole-row overwrite on ``fields`` (one row per customer)."""
+    if mode == "latest":
+        return latest_attributes(records)
+    if mode == "row_last_arrival":
+        return row_last_arrival(records, fields)
+    raise ValueError(f"mode must be 'latest' or 'row_last_arrival', not {mode!r}")

@@ -151,3 +151,10 @@ def test_profile_ignores_null_values_and_counts_empty_records(spark):
     assert p[1].attributes == {"j": "x", "k": "v"}
     assert p[1].last_updated == 9                            # newest attributes record
     assert p[2].attributes == {} and p[2].last_updated == 7
+
+
+def test_attribute_state_modes(spark):
+    from eventfold import attribute_state
+    df = recs(spark, [attr("a1", 1, {"email": "new"}, 9, 1), attr("a2", 1, {"email": "old"}, 1, 2)])
+    assert attribute_state(df).first().value == "new"
+    assert attribute_state(df, mode="row_last_arrival").first().email == "old"
