@@ -18,10 +18,20 @@ def duplicate_keys(df: DataFrame, key: str, table_name: str) -> DataFrame:
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Child rows whose non-NULL key has no parent row (left anti join)."""
-    p = parent.select(F.col(parent_key).alias("_pk")).distinct()
-    return (child.filter(F.col(child_key).isNotNull())
-            .join(p, F.col(child_key) == F.col("_pk"), "left_anti"))
+    """Child rows whose non-NULL key has no parent row.
+
+    The keys are checked first: the child's distinct keys (combined
+    map-side, so a hot key is one row per task) are anti-joined with the
+    parent's keys; only then are child rows matched to the orphan keys,
+    a set that is usually small enough for AQE to broadcast. The large
+    child table is then never shuffled by key.
+    """
+    keys = (child.filter(F.col(child_key).isNotNull())
+            .groupBy(F.col(child_key).alias("_ck")).agg(F.count(F.lit(1)).alias("_n")))
+    parent_keys = parent.select(F.col(parent_key).alias("_pk")).distinct()
+    orphan_keys = (keys.join(parent_keys, F.col("_ck") == F.col("_pk"), "left_anti")
+                   .select(F.col("_ck").alias("_ok")))
+    return child.join(orphan_keys, F.col(child_key) == F.col("_ok"), "left_semi")
 
 
 def integrity(events: DataFrame, customers: DataFrame, changes: DataFrame | None = None,
