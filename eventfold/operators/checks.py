@@ -84,3 +84,18 @@ def erase(df: DataFrame, ids: DataFrame, key: str, id_col: str = "id") -> DataFr
     """
     return df.join(ids.select(F.col(id_col).alias("_erase")).distinct(),
                    F.col(key) == F.col("_erase"), "left_anti")
+
+
+def requests_to_records(validated: DataFrame, as_of: int, id_col: str = "id") -> DataFrame:
+    """Accepted create/update requests as attributes records stamped
+    ``as_of``, ready for ``merge_state`` (a customer missing from the state
+    is inserted, a present one updated; the newest timestamp still wins
+    per attribute). The request id is kept as ``position`` (tie-break)."""
+    ok = validated.filter(F.col("status") == "valid")
+    return ok.select(
+        F.concat(F.lit("request-"), F.col(id_col).cast("string")).alias("id"),
+        F.lit("attributes").alias("type"), F.lit(None).cast("string").alias("name"),
+        F.col(id_col).cast("bigint").alias("user_id"),
+        F.col("accepted_attributes").alias("data"),
+        F.lit(as_of).cast("bigint").alias("timestamp"),
+        F.col(id_col).cast("bigint").alias("position"))

@@ -222,6 +222,33 @@ SELECT id,
 FROM chk
 """
 
+ORACLE["customer_upserts"] = with_records("""
+SELECT user_id, key, value, timestamp FROM (
+  SELECT user_id, key, value, timestamp, position FROM assertions
+  UNION ALL
+  SELECT id, 'email', email, 1700000000, id FROM req WHERE ok
+  UNION ALL
+  SELECT id, 'created_at', CASE WHEN is_ts THEN created ELSE '1700000000' END, 1700000000, id
+  FROM req WHERE ok
+)
+QUALIFY row_number() OVER (PARTITION BY user_id, key ORDER BY timestamp DESC, position DESC) = 1
+""", ctes="""
+req0 AS (
+  SELECT c_custkey AS id,
+         CASE WHEN c_acctbal >= 0
+              THEN lower(replace(c_name, '#', '.')) || '@example.com' ELSE '' END AS email,
+         CAST(c_custkey * 100003 AS VARCHAR) AS created
+  FROM customer
+),
+req AS (
+  SELECT *, email IS NOT NULL AND email <> '' AS ok,
+         regexp_matches(created, '^[+-]?[0-9]+$')
+           AND TRY_CAST(created AS BIGINT) > 99999999
+           AND TRY_CAST(created AS BIGINT) < 10000000000 AS is_ts
+  FROM req0
+)
+""")
+
 ORACLE["erase"] = with_records("""
 SELECT user_id, name, n FROM counts k
 WHERE NOT EXISTS (SELECT 1 FROM customer c

@@ -236,6 +236,15 @@ def valid_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.try_element_at("accepted_attributes", F.lit("created_at")).alias("created_at"))
 
 
+@register
+def customer_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1/D2 via J6: validated create requests merged into the state folded
+    from the records; per attribute the newest timestamp wins."""
+    v = checks.validate_new_customers(_new_customer_requests(spark, sf_dir), AS_OF)
+    state, _ = merge_state(fold(records(spark, sf_dir)), checks.requests_to_records(v, AS_OF))
+    return state.latest.select("user_id", "key", "value", "timestamp")
+
+
 @register
 def erase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: event counts left after erasing one market segment's customers."""
