@@ -5,7 +5,9 @@ from eventfold.streaming.stream import (
     ProgressLog,
     events_stream,
     ndjson_stream,
+    read_sink,
     run_available_now,
+    start_stream,
     stream_attribute_changes,
     stream_dedup,
     stream_event_counts,
@@ -17,7 +19,9 @@ __all__ = [
     "ProgressLog",
     "events_stream",
     "ndjson_stream",
+    "read_sink",
     "run_available_now",
+    "start_stream",
     "stream_attribute_changes",
     "stream_dedup",
     "stream_event_counts",

@@ -130,32 +130,47 @@ def stream_attribute_changes(records: DataFrame) -> DataFrame:
             .transformWithStateInPandas(ChangeLogger(), CHANGE, "append", "None"))
 
 
+def _parquet_sink(out: str, mode: str):
+    """foreachBatch writer: ``complete`` overwrites the table each batch,
+    ``append`` writes one sub-folder per batch id, so a replayed batch
+    rewrites the same folder (idempotent)."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(f"{out}/table")
+        else:
+            batch.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
+    return sink
+
+
+def start_stream(df: DataFrame, mode: str, out: str, checkpoint: str,
+                 processing_time: str = "10 seconds"):
+    """ST1 long-running form: start the query on a processing-time trigger
+    and return its handle; ``query.stop()`` ends it early, and a restart
+    with the same checkpoint resumes where it stopped."""
+    return (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+            .foreachBatch(_parquet_sink(out, mode)).trigger(processingTime=processing_time).start())
+
+
+def read_sink(spark: SparkSession, out: str) -> DataFrame:
+    result = spark.read.parquet(f"{out}/table")
+    return result.drop("batch") if "batch" in result.columns else result
+
+
 def run_available_now(df: DataFrame, mode: str, name: str) -> tuple[DataFrame, list]:
     """Run a streaming DataFrame over all available input and return its
     result as a static DataFrame plus the progress reports (ST6).
 
-    The sink is ``foreachBatch`` writing Parquet under the shared folder:
-    ``complete`` overwrites the table each batch, ``append`` writes one
-    sub-folder per batch id, so a replayed batch rewrites the same folder.
+    The sink is ``foreachBatch`` writing Parquet under the shared folder
+    (see ``_parquet_sink``).
     """
     spark = df.sparkSession
     out = shared_dir(spark, f"stream-{name}")
     ckpt = shared_dir(spark, f"stream-{name}-checkpoint")
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(f"{out}/table")
-        else:
-            batch.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
-
     q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-         .foreachBatch(sink).trigger(availableNow=True).start())
+         .foreachBatch(_parquet_sink(out, mode)).trigger(availableNow=True).start())
     q.awaitTermination()
     progress = [p for p in q.recentProgress]
-    result = spark.read.parquet(f"{out}/table")
-    if "batch" in result.columns:
-        result = result.drop("batch")
-    return result, progress
+    return read_sink(spark, out), progress
 
 
 class ProgressLog(StreamingQueryListener):

@@ -99,3 +99,23 @@ def test_normalised_event_names(spark):
     df = spark.createDataFrame([('{"id":"x","type":"event","name":"Sign Up Now"}',)], "value string")
     valid, _ = parse_lines(df, normalise_names=True)
     assert valid.first().name == "signupnow"
+
+
+def test_long_running_stream_stops_and_resumes(spark, tmpdir_fresh):
+    from eventfold.streaming import read_sink, start_stream
+    folder, out, ckpt = f"{tmpdir_fresh}/in", f"{tmpdir_fresh}/out", f"{tmpdir_fresh}/ckpt"
+    files = _files()
+    _write_files(folder, files[:2])
+    valid, _ = ndjson_stream(spark, folder)
+    q = start_stream(stream_event_counts(valid), "complete", out, ckpt, "1 second")
+    q.processAllAvailable()
+    q.stop()
+    first = rows_set(read_sink(spark, out))
+    assert first == [(1, "click", 1), (2, "view", 1)]
+    _write_files(f"{folder}-more", [files[2]])          # new input arrives
+    os.replace(f"{folder}-more/part-0.ndjson", f"{folder}/part-2.ndjson")
+    valid, _ = ndjson_stream(spark, folder)
+    q = start_stream(stream_event_counts(valid), "complete", out, ckpt, "1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert rows_set(read_sink(spark, out)) == [(1, "click", 2), (2, "view", 1)]
