@@ -28,18 +28,22 @@ def profile_facts(records: DataFrame) -> DataFrame:
     map task.
     """
     ts = F.coalesce("timestamp", F.lit(0))
-    attr_rows = F.transform(
-        F.map_entries(F.coalesce("data", F.create_map().cast("map<string,string>"))),
-        lambda e: F.struct(F.lit("a").alias("kind"), e["key"].alias("key"), e["value"].alias("value")))
-    rows = (F.when(F.col("type") == "attributes",
-                   F.when(F.size(attr_rows) > 0, attr_rows)
-                   .otherwise(F.array(F.struct(F.lit("a").alias("kind"), F.lit(None).cast("string").alias("key"),
-                                               F.lit(None).cast("string").alias("value")))))
+    entry = "array<struct<key:string,value:string>>"
+    none = F.array(F.struct(F.lit(None).cast("string").alias("key"),
+                            F.lit(None).cast("string").alias("value")))
+    # Built-in array functions only (no lambda), so the stage stays in
+    # generated code; the kind comes from the record type after inline.
+    rows = (F.when((F.col("type") == "attributes") & (F.size("data") > 0),
+                   F.map_entries("data").cast(entry))
+            .when(F.col("type") == "attributes", none)
             .when(F.col("type") == "event",
-                  F.array(F.struct(F.lit("e").alias("kind"), F.coalesce("name", F.lit("")).alias("key"),
+                  F.array(F.struct(F.coalesce("name", F.lit("")).alias("key"),
                                    F.lit(None).cast("string").alias("value")))))
     long = (records.filter(F.col("user_id").isNotNull())
-            .select("user_id", ts.alias("timestamp"), "position", F.inline(rows)))
+            .select("user_id", "type", ts.alias("timestamp"), "position", F.inline(rows))
+            .select("user_id",
+                    F.when(F.col("type") == "attributes", F.lit("a")).otherwise(F.lit("e")).alias("kind"),
+                    "key", "value", "timestamp", "position"))
     winner_order = F.when(F.col("value").isNotNull(), F.struct("timestamp", "position"))
     return (long.groupBy("user_id", "kind", "key")
             .agg(F.max_by(F.struct("value", "timestamp"), winner_order).alias("win"),
