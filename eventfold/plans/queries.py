@@ -346,7 +346,10 @@ def _ndjson_path(spark: SparkSession, sf_dir: str) -> str:
     path = shared_dir(spark, "ndjson")
     # One file per task slot, as a distributed writer of the input would
     # leave it; the reader then works on as many splits.
-    slots = spark.sparkContext.defaultParallelism
+    try:
+        slots = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext under Spark Connect
+        slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     good_line.unionByName(bad_line).repartition(slots).write.text(path)
     return path
 
