@@ -42,3 +42,19 @@ def test_ingest_then_verify(spark, tmpdir_fresh):
         f.write("1,city=paris,email=new@x,click=2\n3,\n")
     assert verify(spark, out, expected) == 4   # city, click, missing 3, extra 10
     assert spark.read.parquet(f"{out}/changes").count() == 4
+
+
+def test_cli_entry_points(spark, tmpdir_fresh):
+    from eventfold.jobs import main
+    src = os.path.join(tmpdir_fresh, "in.ndjson")
+    with open(src, "w") as f:
+        f.write("\n".join(_lines()) + "\n")
+    out = os.path.join(tmpdir_fresh, "out")
+    assert main(["ingest", src, out]) == 0
+    expected = os.path.join(tmpdir_fresh, "expected.txt")
+    with open(expected, "w") as f:
+        f.write("1,city=rome,email=new@x,click=1\n10,first_name=ann,\n")
+    assert main(["verify", out, expected]) == 0
+    with open(expected, "w") as f:
+        f.write("1,city=rome,email=new@x,click=7\n10,first_name=ann,\n")
+    assert main(["verify", out, expected]) == 1
