@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -39,47 +43,48 @@ def get_spark(master: str | None = None, app: str = "eventfold",
 
 
 def _configured_dir(spark: SparkSession) -> str | None:
-    for getter in (lambda: spark.conf.get("spark.checkpoint.dir", None),
-                   lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir")):
-        try:
-            d = getter()
-        except Exception:  # noqa: BLE001 - conf access differs between modes
-            d = None
-        if d:
-            return d
-    return None
+    """``spark.checkpoint.dir`` of the session; it is a core setting, so the
+    session shows it although it cannot be changed at run time."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
+    """A path for new data under the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only when it is unset (local
-    tests) is a folder created and registered, so a cluster run never
-    writes to a machine-local path.
+    The setting is read from the session and never changed. Where it is unset,
+    a local session gets a temporary folder of this process (all its tasks run
+    on this machine); any other session gets a clear error, as a
+    machine-local folder could not be read by the other machines.
     """
     base = _configured_dir(spark)
     if not base:
-        base = tempfile.mkdtemp(prefix="eventfold-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(base)
-    except Exception:  # noqa: BLE001 - no SparkContext under Spark Connect
-        pass
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_dir()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
     return os.path.join(base.rstrip("/"), f"{purpose}-{uuid.uuid4().hex[:12]}")
 
 
-def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024,
-               max_shuffle_partitions: int = 100_000) -> dict[str, str]:
+@functools.cache
+def _local_dir() -> str:
+    """One folder a process, removed at its end."""
+    path = tempfile.mkdtemp(prefix="eventfold-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Settings sized from the input volume, for spark-submit or the builder.
 
-    Shuffle partitions start at input / 256 MiB (capped) and AQE coalesces
+    Shuffle partitions start at input / 256 MiB and AQE coalesces
     them after each stage from measured sizes; scans split files into
     256 MiB; a shuffle partition five times the median and over 1 GiB is
     split by the skew-join rule. Broadcast stays on the size check AQE
     applies at run time (the threshold below).
     """
-    n = max(200, min(max_shuffle_partitions, -(-input_bytes // partition_bytes)))
+    n = max(200, -(-input_bytes // partition_bytes))
     mib = f"{partition_bytes // (1024 * 1024)}m"
     return {
         "spark.sql.shuffle.partitions": str(n),
