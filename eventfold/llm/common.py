@@ -88,3 +88,73 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text_col: str = "text",
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that no other column can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+#: Odd multiplier of the prefix hashes, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and INVERSE**i for i < n at least, kept by the worker."""
+    held = worker_state("powers", dict)
+    if len(held.get("up", ())) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for name, x in (("up", BASE), ("down", INVERSE)):
+            out = np.empty(size, dtype=np.uint64)
+            out[0] = 1
+            done = 1
+            while done < size:
+                out[done:2 * done] = out[:done] * np.uint64(pow(x, done, 1 << 64))
+                done *= 2
+            held[name] = out
+    return held["up"], held["down"]
+
+
+def byte_values(lower: bool) -> np.ndarray:
+    """A fixed random 64-bit value for each byte; with ``lower`` A-Z count as a-z."""
+    values = np.random.Generator(np.random.Philox(key=20)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    if lower:
+        values[65:91] = values[97:123]
+    return values
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spreads a 64-bit hash over all its bits."""
+    h = h ^ (h >> np.uint64(32))
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def prefix_hashes(values: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each prefix; the hash of [s, e) is
+    ``(p[e] - p[s]) * INVERSE**s``, equal for equal content anywhere."""
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers(len(values) + 1)[0][:len(values)], out=out[1:])
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of bytes for which ``is_word``) of the
+    rows, and each row's first word's number (one more entry than rows)."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    inside = is_word[data]
+    first = np.empty(n, dtype=bool)  # a word's first byte; words end with their row
+    first[0] = True
+    np.logical_not(inside[:-1], out=first[1:])
+    first[offsets[:-1][offsets[:-1] < n]] = True
+    first &= inside
+    last = np.empty(n, dtype=bool)
+    last[-1] = True
+    np.logical_not(inside[1:], out=last[:-1])
+    ends = offsets[1:][offsets[1:] > 0] - 1
+    last[ends] = True
+    last &= inside
+    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    p = prefix_hashes(byte_values(lower)[data])
+    return mix((p[e] - p[s]) * powers(n + 1)[1][s]), np.searchsorted(s, offsets)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm import bpe, langid, quality, resharding, token_counts, urls
+from eventfold.llm import bpe, decontamination, langid, pii, quality, resharding, setjoin, token_counts, urls
 from eventfold.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard(documents(spark, sf_dir), old, 40)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,6 +40,15 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_resharding, op4_token_counts, op6_quality, op7_langid, op8_urls)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_join(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_bpe, op2_resharding, op3_pii, op4_token_counts, op6_quality, op7_langid, op8_urls, op9_decontamination, op10_setjoin)}
 
 ORACLE = {"op6_quality": quality.oracle(), "op8_urls": urls.oracle()}
