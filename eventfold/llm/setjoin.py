@@ -234,16 +234,24 @@ def linked_classes(classes: DataFrame) -> DataFrame | None:
             now = staged(now.join(open_, "h"), "join-open")
             lists = now.drop("root")
         a = now.select("h", "block", F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("root").alias("xr"))
-        near = a.withColumn("at", F.explode(F.array(F.col("block"), F.col("block") - 1))).drop("block")
+        near = a.withColumn("at", F.explode(F.array(F.col("block"), F.col("block") - 1))).withColumnRenamed("block", "xb")
         b = now.select("h", F.col("block").alias("at"), F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("root").alias("yr"))
         if turn < ROUNDS:
             leader = F.struct(F.xxhash64("y", F.lit(turn)).alias("z"), "y", "yn", "yp", "yr")
             b = b.groupBy("h", "at").agg(F.min(leader).alias("l")).select("h", "at", "l.*")
-        found = near.join(b, ["h", "at"]).where("x <> y AND xr <> yr")
-        # sizes and positions: the larger set's share, and what is left behind the common shingle
+        found = near.join(b, ["h", "at"]).where("xr <> yr")
+        # sizes and positions: the larger set's share, and what is left from the common shingle on
         found = found.where(f"100 * least(xn, yn) >= {LEAST} * greatest(xn, yn)") \
-            .where(f"(100 + {LEAST}) * (1 + least(xn - xp, yn - yp) - 1) >= {LEAST} * (xn + yn)")
-        pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            .where(f"{100 + LEAST} * least(xn - xp, yn - yp) >= {LEAST} * (xn + yn)")
+        if turn < ROUNDS:
+            pairs = found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        else:
+            # all common shingles of the two prefixes are here: their number and what is left
+            # behind the last of them bound the intersection
+            pairs = found.where("xb > at OR x < y").groupBy("x", "y", "xn", "yn").agg(
+                F.count(F.lit(1)).alias("c"), F.min(F.least(F.expr("xn - xp - 1"), F.expr("yn - yp - 1"))).alias("rest")) \
+                .where(f"{100 + LEAST} * (c + rest) >= {LEAST} * (xn + yn)") \
+                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         checked = staged(verified(pairs, classes), "join-checked")
