@@ -10,6 +10,7 @@ import sys
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -17,12 +18,14 @@ MASK = np.uint64((1 << 48) - 1)
 
 
 def buckets(df: DataFrame, each: int = 8 << 20) -> int:
-    """Buckets by the input's size (from the plan's statistics, no job), so that
-    one holds about ``each`` bytes of input; at least the session's partitions."""
+    """Buckets by the input's size, so that one holds about ``each`` bytes of
+    input; at least the session's partitions. The size is from the plan's
+    statistics, without a job; where a plan has none, the texts are measured."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(-(-size // each), 1 << 20))
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def planes(a: np.ndarray) -> bytes:

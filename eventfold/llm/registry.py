@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm import bpe, decontamination, langid, pii, quality, resharding, setjoin, token_counts, urls
+from eventfold.llm import bpe, decontamination, langid, pii, quality, resharding, setjoin, suffixes, token_counts, urls
 from eventfold.llm.common import documents
 
 
@@ -28,6 +29,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -48,7 +53,11 @@ def op10_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_join(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op2_resharding, op3_pii, op4_token_counts, op6_quality, op7_langid, op8_urls, op9_decontamination, op10_setjoin)}
+    op1_bpe, op2_resharding, op3_pii, op4_token_counts, op5_suffixes, op6_quality, op7_langid, op8_urls, op9_decontamination, op10_setjoin, pipeline)}
 
 ORACLE = {"op6_quality": quality.oracle(), "op8_urls": urls.oracle()}

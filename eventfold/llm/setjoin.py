@@ -284,3 +284,29 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     least = full.groupBy("cid").agg(F.min("doc_id").alias("component_id"))
     return full.join(least, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(
         rows.where("n = 0").select("doc_id", "n", "doc_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component: that of the smallest id (a null id last);
+    of its rows alike in id, one with the smallest class. Documents with an
+    empty set, which link with nothing, all stay."""
+    rows, roots = join_classes(docs)
+    full = rows.where("n > 0").withColumn("class", F.col("cid"))
+    if roots is not None:
+        full = full.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("cid", F.coalesce("root", "cid")).drop("root")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "class")
+    chosen = staged(full.groupBy("cid").agg(F.min(order).alias("o")).select("o.doc_id", F.col("o.class").alias("class")), "join-chosen")
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            sets = shingle_sets(batch.column(2))
+            cid = np.array([class_id(s) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cid), pa.array([not len(s) for s in sets], pa.bool_())],
+                                             ["row", "id", "class", "empty"])
+
+    known = named.mapInArrow(run, named.select("row", "id").schema.add("class", "long").add("empty", "boolean"))
+    full = known.where("NOT empty").alias("k").join(chosen.alias("c"), F.expr("k.id <=> c.doc_id AND k.class = c.class")).select("k.*")
+    # rows alike in id and set come down to one
+    one = full.groupBy("id", "class").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return one.select("row.*").union(known.where("empty").select("row.*"))
