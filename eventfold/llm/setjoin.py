@@ -13,11 +13,12 @@ sets are one class from the start. The join is exact: classes link where
    position.
 3. Skipping. Lists are cut into blocks by set size; a set probes only blocks
    whose sizes can reach the threshold, and a position bound skips pairs whose
-   rest is too short. In each round every set is compared with one leader a
-   block, and links merge answers: sets in one component need no comparison
-   any more, as the answer of one follows from its similar set's answer. After
-   the rounds, the pairs that still cross components are compared one by one,
-   so no link is lost.
+   rest is too short. Each set is first compared with one hub, the leader of
+   its lists. Sets that link with a hub are one component and need no
+   comparison among them. What a set near to the hub can still link with
+   follows from the two sets' differences from the hub (see ``derived``), so a
+   large group of near copies costs its differences, not its pairs. Pairs of
+   different hubs and components are compared one by one, so no link is lost.
 
 Linked answers are component numbers, so a group of copies of any size costs
 its size, not the pairs in it. Rows are only shuffled by hash, and joins that
@@ -38,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventfold.llm.common import by_bytes, id_text, mix, staged, text_buffers, word_hashes
@@ -50,8 +51,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORDS = 5
 #: Percent of the union that the intersection must reach.
 LEAST = 75
-#: Rounds of comparing with leaders, before the rest is compared in pairs.
-ROUNDS = 3
 PARTS = "part int, kind int, h binary, i binary, c binary, n binary"
 
 
@@ -197,22 +196,62 @@ def ordered(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, ok) by the intersection of the two sets."""
-    sets = classes.select("cid", "n", "shared")
-    both = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+def compared(pairs: DataFrame, classes: DataFrame, differences: bool = False) -> DataFrame:
+    """(a, b, ok) by the intersection of the two sets. With ``differences`` also
+    na, nb, own (of a), away (elements in one of a and b's shared part only) and
+    the shared ones of these: an element of b's times 2, one of a's times 2 plus 1."""
+    sets = classes.select("cid", "n", "own", "shared")
+    both = pairs.join(sets.toDF("a", "na", "own", "sa"), "a").join(sets.drop("own").toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "own", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for na, nb, x, y in zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True):
+            ok, away, rest = [], [], []
+            for na, nb, x, y in zip(*[batch.column(k).to_pylist() for k in (2, 3, 5, 6)], strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                in_y = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                common = int(in_y.sum())
                 ok.append(100 * common >= LEAST * (na + nb - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    return both.mapInArrow(run, "a long, b long, ok boolean")
+                if differences:
+                    away.append(na + len(y) - 2 * common)
+                    in_x = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                    near = ok[-1] or 10 * away[-1] <= 3 * (na + nb)
+                    rest.append(np.concatenate((x[~in_y] * np.uint64(2) + np.uint64(1), y[~in_x] * np.uint64(2))).astype(np.int64) if near else None)
+            cols, names = [batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"]
+            if differences:
+                cols += [*batch.columns[2:5], pa.array(away, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
+                names += ["na", "nb", "own", "away", "rest"]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    more = ", na long, nb long, own int, away long, rest array<long>" if differences else ""
+    return both.mapInArrow(run, "a long, b long, ok boolean" + more)
+
+
+def derived(family: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a family that can still link, from the answers about its hub.
+
+    With D the difference of a set from the hub's, |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|,
+    and sets link if |x ^ y| is at most a seventh of |x| + |y|. Sets that link
+    with the hub are one component, so one of a pair does not. As its D is
+    large, the other's D must be largely a part of it: the two D share an
+    element in prefixes that are short for a set near to the hub.
+    """
+    bounds = family.groupBy("b").agg(F.max("na").alias("nmax"), F.min("away").alias("least"),
+                                     F.min(F.when(~F.col("ok"), F.col("away"))).alias("far")).where("far IS NOT NULL")
+    sets = family.join(bounds, "b")
+    # the least overlap of two D that a link needs, for the set as a partner and as one that misses the hub
+    need = "CAST(ceil((7 * (away + {}) - na - nmax) / 14.0D) AS BIGINT)"
+    sets = sets.withColumn("as_y", F.expr(need.format("far"))).withColumn("as_x", F.expr(need.format("least")))
+    flat = sets.select("b", "a", "ok", "na", "away", "own", "as_x", "as_y", F.explode("rest").alias("e"))
+    often = flat.groupBy("b", "e").agg(F.count(F.lit(1)).alias("df"))
+    ranked = flat.join(often, ["b", "e"]).groupBy("b", "a", "ok", "na", "away", "own", "as_x", "as_y").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("df", "e"))), lambda z: F.struct(z["e"].alias("e"), (z["df"] > 1).alias("some"))).alias("d"))
+    # element 0 stands for needing no common element; no element is alone in a list
+    def prefix(length: str):
+        return F.when(F.col(length) <= 0, F.concat(F.transform("d", lambda z: z["e"]), F.array(F.lit(0).cast("long")))).otherwise(
+            F.transform(F.filter(F.slice("d", 1, F.greatest(F.lit(0), F.col("away") - F.col(length) + 1 - F.col("own")).cast("int")), lambda z: z["some"]), lambda z: z["e"]))
+    y = ranked.select("b", F.col("a").alias("y"), F.col("na").alias("yn"), F.col("away").alias("yd"), F.explode(prefix("as_y")).alias("e"))
+    x = ranked.where("NOT ok").select("b", F.col("a").alias("x"), F.col("na").alias("xn"), F.col("away").alias("xd"), F.explode(prefix("as_x")).alias("e"))
+    return x.join(y, ["b", "e"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def linked_classes(classes: DataFrame) -> DataFrame | None:
@@ -221,48 +260,46 @@ def linked_classes(classes: DataFrame) -> DataFrame | None:
     entries = classes.select("cid", "n", "own", F.posexplode("prefix").alias("k", "h")).select(
         "h", "cid", "n", (F.col("own") + F.col("k")).alias("pos"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int").alias("block"))
     lists = staged(entries.join(entries.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "h").drop("many"), "join-lists")
-    spark = classes.sparkSession
-    roots = None
-    tried = None
-    turn = 0
-    while turn <= ROUNDS:
-        if roots is None:
-            now = lists.withColumn("root", F.col("cid"))
-        else:
-            now = lists.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-            open_ = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-            now = staged(now.join(open_, "h"), "join-open")
-            lists = now.drop("root")
-        a = now.select("h", "block", F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("root").alias("xr"))
-        near = a.withColumn("at", F.explode(F.array(F.col("block"), F.col("block") - 1))).withColumnRenamed("block", "xb")
-        b = now.select("h", F.col("block").alias("at"), F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("root").alias("yr"))
-        if turn < ROUNDS:
-            leader = F.struct(F.xxhash64("y", F.lit(turn)).alias("z"), "y", "yn", "yp", "yr")
-            b = b.groupBy("h", "at").agg(F.min(leader).alias("l")).select("h", "at", "l.*")
-        found = near.join(b, ["h", "at"]).where("xr <> yr")
-        # sizes and positions: the larger set's share, and what is left from the common shingle on
-        found = found.where(f"100 * least(xn, yn) >= {LEAST} * greatest(xn, yn)") \
-            .where(f"{100 + LEAST} * least(xn - xp, yn - yp) >= {LEAST} * (xn + yn)")
-        if turn < ROUNDS:
-            pairs = found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        else:
-            # all common shingles of the two prefixes are here: their number and what is left
-            # behind the last of them bound the intersection
-            pairs = found.where("xb > at OR x < y").groupBy("x", "y", "xn", "yn").agg(
-                F.count(F.lit(1)).alias("c"), F.min(F.least(F.expr("xn - xp - 1"), F.expr("yn - yp - 1"))).alias("rest")) \
-                .where(f"{100 + LEAST} * (c + rest) >= {LEAST} * (xn + yn)") \
-                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = staged(verified(pairs, classes), "join-checked")
-        good = checked.where("ok").select("a", "b")
-        some = checked.agg(F.count(F.lit(1)), F.sum(F.col("ok").cast("int"))).first()
-        tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
-        if some[1]:
-            roots = stars(good if roots is None else good.union(roots.toDF("a", "b")))
-        # leaders that bring no link any more leave the rest to the last turn
-        turn = turn + 1 if some[1] or turn == ROUNDS else ROUNDS
-    return roots
+    links = None
+
+    def add(pairs: DataFrame) -> DataFrame | None:
+        """The components with the new links in."""
+        if pairs.isEmpty():
+            return links
+        return stars(pairs if links is None else pairs.union(links.toDF("a", "b")))
+
+    # each class and its hub: of the leaders of its lists' blocks the one with the least hash
+    leader = F.min(F.struct(F.xxhash64("cid").alias("z"), F.col("cid").alias("hub")))
+    hubs = lists.join(lists.groupBy("h", "block").agg(leader.alias("l")), ["h", "block"]).groupBy("cid").agg(F.min("l").alias("l"))
+    first = staged(compared(hubs.where("cid <> l.hub").select(F.col("cid").alias("a"), F.col("l.hub").alias("b")), classes, True), "join-hubs")
+    links = add(first.where("ok").select("a", "b"))
+    family = first.where("rest IS NOT NULL")
+    second = staged(compared(derived(family), classes), "join-derived")
+    links = add(second.where("ok").select("a", "b"))
+
+    # what is left: pairs of different families and components
+    now = lists.join(family.select(F.col("a").alias("cid"), F.col("b").alias("fam")), "cid", "left").withColumn("fam", F.coalesce("fam", "cid"))
+    if links is None:
+        now = now.withColumn("root", F.col("cid"))
+    else:
+        now = now.join(links.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    open_ = now.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("fam").alias("f0"), F.max("fam").alias("f1")) \
+        .where("r0 < r1 AND f0 < f1").select("h")
+    now = staged(now.join(open_, "h"), "join-open")
+    x = now.select("h", F.col("block").alias("xb"), F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("root").alias("xr"), F.col("fam").alias("xf"),
+                   F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("at"))
+    y = now.select("h", F.col("block").alias("at"), F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("root").alias("yr"), F.col("fam").alias("yf"))
+    # sizes and positions: the larger set's share, and what is left from the common shingle on
+    found = x.join(y, ["h", "at"]).where("xr <> yr AND xf <> yf AND (xb > at OR x < y)") \
+        .where(f"100 * least(xn, yn) >= {LEAST} * greatest(xn, yn)") \
+        .where(f"{100 + LEAST} * least(xn - xp, yn - yp) >= {LEAST} * (xn + yn)")
+    # all common shingles of the two prefixes are here: their number and what is left
+    # behind the last of them bound the intersection
+    pairs = found.groupBy("x", "y", "xn", "yn").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.least(F.expr("xn - xp - 1"), F.expr("yn - yp - 1"))).alias("rest")) \
+        .where(f"{100 + LEAST} * (c + rest) >= {LEAST} * (xn + yn)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    last = staged(compared(pairs, classes), "join-rest")
+    return add(last.where("ok").select("a", "b"))
 
 
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
