@@ -16,7 +16,7 @@ sets are one class from the start. The join is exact: classes link where
    rest is too short. Each set is first compared with one hub, the leader of
    its lists. Sets that link with a hub are one component and need no
    comparison among them. What a set near to the hub can still link with
-   follows from the two sets' differences from the hub (see ``derived``), so a
+   follows from the sets' differences from their family (see ``derived``), so a
    large group of near copies costs its differences, not its pairs. Pairs of
    different hubs and components are compared one by one, so no link is lost.
 
@@ -196,62 +196,84 @@ def ordered(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def compared(pairs: DataFrame, classes: DataFrame, differences: bool = False) -> DataFrame:
-    """(a, b, ok) by the intersection of the two sets. With ``differences`` also
-    na, nb, own (of a), away (elements in one of a and b's shared part only) and
-    the shared ones of these: an element of b's times 2, one of a's times 2 plus 1."""
-    sets = classes.select("cid", "n", "own", "shared")
-    both = pairs.join(sets.toDF("a", "na", "own", "sa"), "a").join(sets.drop("own").toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "own", "sa", "sb")
+def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, ok, near) by the intersection of the two sets; near: they differ
+    in at most three tenths of their sizes' sum."""
+    sets = classes.select("cid", "n", "shared")
+    both = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok, away, rest = [], [], []
-            for na, nb, x, y in zip(*[batch.column(k).to_pylist() for k in (2, 3, 5, 6)], strict=True):
+            ok, near = [], []
+            for na, nb, x, y in zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                in_y = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-                common = int(in_y.sum())
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 ok.append(100 * common >= LEAST * (na + nb - common))
-                if differences:
-                    away.append(na + len(y) - 2 * common)
-                    in_x = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
-                    near = ok[-1] or 10 * away[-1] <= 3 * (na + nb)
-                    rest.append(np.concatenate((x[~in_y] * np.uint64(2) + np.uint64(1), y[~in_x] * np.uint64(2))).astype(np.int64) if near else None)
-            cols, names = [batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"]
-            if differences:
-                cols += [*batch.columns[2:5], pa.array(away, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
-                names += ["na", "nb", "own", "away", "rest"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                near.append(10 * (na + nb - 2 * common) <= 3 * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_()), pa.array(near, pa.bool_())], ["a", "b", "ok", "near"])
 
-    more = ", na long, nb long, own int, away long, rest array<long>" if differences else ""
-    return both.mapInArrow(run, "a long, b long, ok boolean" + more)
+    return both.mapInArrow(run, "a long, b long, ok boolean, near boolean")
 
 
-def derived(family: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a family that can still link, from the answers about its hub.
+def families(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (a, b, ok, root) of hubs' families with na, own, away (the size of
+    the difference from the family's consensus: the shingles of more than half
+    of its members) and rest, the difference's shared elements: one of the
+    consensus times 2, one of the member's times 2 plus 1."""
+    sets = members.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), "own", "shared"), "a")
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(x, "<i8") for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["b", "es"])
+
+    size = members.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
+    consensus = sets.select("b", "shared").mapInArrow(elements, "b long, es array<long>").select("b", F.explode("es").alias("e")) \
+        .groupBy("b", "e").agg(F.count(F.lit(1)).alias("c")).join(size, "b").where("2 * c > size") \
+        .groupBy("b").agg(F.sort_array(F.collect_list("e")).alias("base"))
+    both = sets.join(consensus, "b", "left").select("a", "b", "ok", "root", "na", "own", "shared", "base")
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away, rest = [], []
+            for na, x, y in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.array(y or [], dtype="<u8")
+                mine, theirs = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                away.append(na - len(x) + len(mine) + len(theirs))
+                rest.append(np.concatenate((mine * np.uint64(2) + np.uint64(1), theirs * np.uint64(2))).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(away, pa.int64()), pa.array(rest, pa.list_(pa.int64()))],
+                                             ["a", "b", "ok", "root", "na", "own", "away", "rest"])
+
+    return both.mapInArrow(differences, "a long, b long, ok boolean, root long, na long, own int, away long, rest array<long>")
+
 
-    With D the difference of a set from the hub's, |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|,
-    and sets link if |x ^ y| is at most a seventh of |x| + |y|. Sets that link
-    with the hub are one component, so one of a pair does not. As its D is
-    large, the other's D must be largely a part of it: the two D share an
-    element in prefixes that are short for a set near to the hub.
+def derived(family: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a family that can still link, from what is known of each
+    member's difference D from the family's consensus.
+
+    |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, and sets link if |x ^ y| is at most a
+    seventh of |x| + |y|. Members in the hub's component (ok) need no
+    comparison among them, so one of a pair is outside. As its D is large, the
+    other's D must be largely a part of it: the two D share an element in
+    prefixes that are short for a set near to the consensus.
     """
     bounds = family.groupBy("b").agg(F.max("na").alias("nmax"), F.min("away").alias("least"),
-                                     F.min(F.when(~F.col("ok"), F.col("away"))).alias("far")).where("far IS NOT NULL")
+                                     F.min(F.when(~F.col("ok"), F.col("away"))).alias("far"))
     sets = family.join(bounds, "b")
     # the least overlap of two D that a link needs, for the set as a partner and as one that misses the hub
     need = "CAST(ceil((7 * (away + {}) - na - nmax) / 14.0D) AS BIGINT)"
     sets = sets.withColumn("as_y", F.expr(need.format("far"))).withColumn("as_x", F.expr(need.format("least")))
-    flat = sets.select("b", "a", "ok", "na", "away", "own", "as_x", "as_y", F.explode("rest").alias("e"))
-    often = flat.groupBy("b", "e").agg(F.count(F.lit(1)).alias("df"))
-    ranked = flat.join(often, ["b", "e"]).groupBy("b", "a", "ok", "na", "away", "own", "as_x", "as_y").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("df", "e"))), lambda z: F.struct(z["e"].alias("e"), (z["df"] > 1).alias("some"))).alias("d"))
+    flat = sets.select("b", "a", "ok", "root", "na", "away", "own", "as_x", "as_y", F.explode_outer("rest").alias("e"))
+    often = flat.groupBy(F.col("b").alias("often_b"), F.col("e").alias("often_e")).agg(F.count(F.lit(1)).alias("df"))
+    ranked = flat.join(often, F.expr("b = often_b AND e <=> often_e")).groupBy("b", "a", "ok", "root", "na", "away", "own", "as_x", "as_y").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), F.struct("df", "e")))), lambda z: F.struct(z["e"].alias("e"), (z["df"] > 1).alias("some"))).alias("d"))
     # element 0 stands for needing no common element; no element is alone in a list
     def prefix(length: str):
         return F.when(F.col(length) <= 0, F.concat(F.transform("d", lambda z: z["e"]), F.array(F.lit(0).cast("long")))).otherwise(
             F.transform(F.filter(F.slice("d", 1, F.greatest(F.lit(0), F.col("away") - F.col(length) + 1 - F.col("own")).cast("int")), lambda z: z["some"]), lambda z: z["e"]))
-    y = ranked.select("b", F.col("a").alias("y"), F.col("na").alias("yn"), F.col("away").alias("yd"), F.explode(prefix("as_y")).alias("e"))
-    x = ranked.where("NOT ok").select("b", F.col("a").alias("x"), F.col("na").alias("xn"), F.col("away").alias("xd"), F.explode(prefix("as_x")).alias("e"))
-    return x.join(y, ["b", "e"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    y = ranked.select("b", F.col("a").alias("y"), F.col("root").alias("yr"), F.explode(prefix("as_y")).alias("e"))
+    x = ranked.where("NOT ok").select("b", F.col("a").alias("x"), F.col("root").alias("xr"), F.explode(prefix("as_x")).alias("e"))
+    return x.join(y, ["b", "e"]).where("xr <> yr").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def linked_classes(classes: DataFrame) -> DataFrame | None:
@@ -271,10 +293,17 @@ def linked_classes(classes: DataFrame) -> DataFrame | None:
     # each class and its hub: of the leaders of its lists' blocks the one with the least hash
     leader = F.min(F.struct(F.xxhash64("cid").alias("z"), F.col("cid").alias("hub")))
     hubs = lists.join(lists.groupBy("h", "block").agg(leader.alias("l")), ["h", "block"]).groupBy("cid").agg(F.min("l").alias("l"))
-    first = staged(compared(hubs.where("cid <> l.hub").select(F.col("cid").alias("a"), F.col("l.hub").alias("b")), classes, True), "join-hubs")
+    first = staged(compared(hubs.where("cid <> l.hub").select(F.col("cid").alias("a"), F.col("l.hub").alias("b")), classes), "join-hubs")
     links = add(first.where("ok").select("a", "b"))
-    family = first.where("rest IS NOT NULL")
-    second = staged(compared(derived(family), classes), "join-derived")
+    family = first.where("near").select("a", "b")
+    if links is not None:
+        root = links.select("node", "root")
+        known = family.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left") \
+            .select("a", "b", F.coalesce("ra", "a").alias("root"), F.coalesce("rb", "b").alias("hub")).withColumn("ok", F.expr("root = hub")).drop("hub")
+    else:
+        known = family.withColumn("root", F.col("a")).withColumn("ok", F.lit(False))
+    known = known.join(known.where("NOT ok").select("b").distinct(), "b")
+    second = staged(compared(derived(staged(families(known, classes), "join-families")), classes), "join-derived")
     links = add(second.where("ok").select("a", "b"))
 
     # what is left: pairs of different families and components
