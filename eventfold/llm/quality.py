@@ -33,9 +33,9 @@ STOP_WORDS = {
 }
 #: (rule, measure, least, most); a bound of None is open.
 RULES = [
-    ("mean_word_chars", "word_chars / n_words", 1.5, 20.0),
-    ("symbols_per_word", "n_symbols / n_words", None, 0.4),
-    ("stop_word_ratio", "n_stop_words / n_words", 0.02, None),
+    ("mean_word_chars", "word_chars / greatest(n_words, 1)", 1.5, 20.0),
+    ("symbols_per_word", "n_symbols / greatest(n_words, 1)", None, 0.4),
+    ("stop_word_ratio", "n_stop_words / greatest(n_words, 1)", 0.02, None),
     ("dup_line_ratio", "n_dup_lines / greatest(n_lines, 1)", None, 0.5),
 ]
 SPACE = r"[\x20\x09-\x0D]+"
