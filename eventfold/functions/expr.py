@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 # Accepted shapes of integers and UUIDs, and the open interval
 # that makes an integer an epoch-seconds timestamp.
-INTEGER_PATTERN = r"^[+-]?[0-9]+$"
-UUID_HEX_PATTERN = r"^[0-9a-f]{32}$"
+INTEGER_PATTERN = r"\A[+-]?[0-9]+\z"
+UUID_PATTERN = (r"(?i)\A(?:[0-9a-f]{32}|(?:urn:uuid:)?[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+                r"|\{[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\})\z")
 EPOCH_SECONDS_LOWER = 99_999_999      # exclusive
 EPOCH_SECONDS_UPPER = 10_000_000_000  # exclusive
 
@@ -38,12 +39,14 @@ def atoi(c: Column | str) -> Column:
 
 
 def canonical_uuid(c: Column | str) -> Column:
-    """Lower-case 32 hex digits without braces, hyphens or urn prefix."""
-    return F.lower(F.regexp_replace(_c(c), r"^urn:uuid:|[{}\-]", ""))
+    """Lower-case 32 hex digits of a UUID in one of its whole forms (plain,
+    hyphenated, in braces, urn:uuid:); any other text stays as it is."""
+    c = _c(c)
+    return F.when(is_uuid(c), F.lower(F.regexp_replace(c, r"(?i)\Aurn:uuid:|[{}\-]", ""))).otherwise(c)
 
 
 def is_uuid(c: Column | str) -> Column:
-    return canonical_uuid(c).rlike(UUID_HEX_PATTERN)
+    return _c(c).rlike(UUID_PATTERN)
 
 
 def is_epoch_seconds(c: Column | str) -> Column:

@@ -122,6 +122,12 @@ def changes_for(changes: DataFrame, users: DataFrame | None = None,
     return changes.join(users.select(F.col(user_col).alias("user_id")).distinct(), "user_id", "left_semi")
 
 
+def changes_of(records: DataFrame, users: DataFrame, user_col: str = "user_id", **options) -> DataFrame:
+    """The changelog of the customers in ``users``, from deduplicated records:
+    other customers' records go before the window, which is by customer."""
+    return attribute_changes(changes_for(records, users, user_col), **options)
+
+
 def latest_change(changes: DataFrame) -> DataFrame:
     """Newest logged change per (user_id, name), by position."""
     row = F.struct("old_value", "value", "timestamp", "position")

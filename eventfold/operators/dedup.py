@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def dedup_records(records: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row per ``id``; the copy with the smallest ``position`` wins.
 
-    Planned as one hash aggregation keyed on ``id`` with a partial
+    Planned as one aggregation keyed on ``id`` with a partial
     (map-side) step, so an id written many times is collapsed before the
     shuffle. ``history`` (any DataFrame with an ``id`` column) removes ids
     that were stored by an earlier batch (left anti join).

@@ -138,6 +138,13 @@ def customer_lookup(profile: DataFrame, ids: DataFrame, id_col: str = "id") -> D
     return profile.join(ids.select(F.col(id_col).alias("id")), "id", "left_semi")
 
 
+def profiles_of(records: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """P5 from deduplicated records: profile text of the given customers alone.
+    Other customers' records go by a semi join below the fold."""
+    keys = ids.select(F.col(id_col).alias("user_id")).distinct()
+    return profile_text(records.join(keys, "user_id", "left_semi").select(*records.columns))
+
+
 def event_lookup(records: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Event records by id (id, type, name, user_id, data, timestamp)."""
     return (records.join(ids.select(F.col(id_col).alias("id")), "id", "left_semi")

@@ -18,20 +18,20 @@ from eventfold.operators.attributes import last_updated as last_updated_op
 from eventfold.operators.attributes import latest_attributes as latest_op
 from eventfold.operators.attributes import row_last_arrival as row_last_arrival_op
 from eventfold.operators.changes import attribute_changes as changes_op
-from eventfold.operators.changes import changes_for
+from eventfold.operators.changes import changes_of
 from eventfold.operators.changes import latest_change as latest_change_op
 from eventfold.operators.dedup import dedup_records
 from eventfold.operators.events import anonymous_counts, event_counts as counts_op
 from eventfold.operators.merge import fold, load_state, merge_state, save_state
 from eventfold.operators.observed import observed_long
 from eventfold.operators.profiles import (
-    customer_lookup as customer_lookup_op,
     event_lookup as event_lookup_op,
     profile_json as profile_json_op,
     profile_long,
     profile_text,
     profile_wide as profile_wide_op,
     profiles,
+    profiles_of,
 )
 from eventfold.operators.reconcile import reconcile_long
 from eventfold.session import shared_dir
@@ -142,7 +142,7 @@ def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changelog of every customer of one nation."""
     users = (table(spark, sf_dir, "customer").filter(F.col("c_nationkey") == LOOKUP_NATION)
              .select(F.col("c_custkey").alias("user_id")))
-    return changes_for(changes_op(deduped(spark, sf_dir)), users)
+    return changes_of(deduped(spark, sf_dir), users)
 
 
 @register
@@ -268,7 +268,7 @@ def customer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5 for every customer of one nation (semi join, no id list on the driver)."""
     ids = (table(spark, sf_dir, "customer").filter(F.col("c_nationkey") == LOOKUP_NATION)
            .select(F.col("c_custkey").alias("id")))
-    return customer_lookup_op(_text_profiles(spark, sf_dir), ids)
+    return profiles_of(deduped(spark, sf_dir), ids)
 
 
 @register

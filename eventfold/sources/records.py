@@ -88,6 +88,10 @@ def checked_lines(lines: DataFrame) -> DataFrame:
     return step4.select(*keep)
 
 
+#: File names that Spark's text reader uncompresses (fixed values).
+COMPRESSED = r"\.(gz|bz2|zst|lz4|snappy|deflate)\z"
+
+
 def _prefix_bytes(batches):
     """Per partition, running byte count inside each (file, split) in read
     order, carried across Arrow batches. Works on Arrow arrays and numpy:
@@ -121,7 +125,12 @@ def _prefix_bytes(batches):
 
 
 def lines_with_positions(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(value, source, position) for every line, CR stripped from value."""
+    """(value, source, position, file_position) for every line, CR stripped from value.
+
+    ``file_position`` is the end of the line in its own file, in bytes of text:
+    for a compressed file, of the uncompressed text. ``position`` adds the text
+    of all files before it in path order. A byte-order mark counts.
+    """
     raw = (spark.read.option("lineSep", "\n").text(path)
            .select("value",
                    F.col("_metadata.file_path").alias("_file"),
@@ -130,32 +139,45 @@ def lines_with_positions(spark: SparkSession, path: str | list[str]) -> DataFram
                    (F.octet_length("value") + 1).cast("bigint").alias("_nbytes")))
     schema = T.StructType(raw.schema.fields + [T.StructField("_in_split", T.LongType())])
     local = raw.mapInArrow(_prefix_bytes, schema)
-    # One row per split: cached so the two base computations below and the
-    # size estimate share one scan.
+    # One row per split. Both uses below have the same aggregate, so its
+    # exchange is reused.
     splits = (raw.groupBy("_file", "_block")
-              .agg(F.sum("_nbytes").alias("_split_bytes"), F.max("_fsize").alias("_fsize"))
-              .cache())
+              .agg(F.sum("_nbytes").alias("_split_bytes"), F.max("_fsize").alias("_fsize")))
+    # Spark drops a byte-order mark and counts a newline after the last line; the
+    # size of an uncompressed file shows both. That of a compressed one says nothing.
     # Base of a split = bytes of every earlier split of the same file;
     # file base = sizes of every earlier file in path order. The file list
     # is ordered in one window: it is one row per input file, the same
     # list the driver already holds to plan the scan, not the data.
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    files = splits.groupBy("_file").agg(F.max("_fsize").alias("_fsize"))
+    files = splits.groupBy("_file").agg(F.max("_fsize").alias("_fsize"), F.sum("_split_bytes").alias("_bytes"))
+    packed = F.lower("_file").rlike(COMPRESSED)
+    files = files.withColumn("_fsize", F.when(packed, F.col("_bytes")).otherwise(F.col("_fsize"))) \
+        .withColumn("_mark", F.when(~packed & (F.col("_fsize") - F.col("_bytes")).between(2, 3), 3).otherwise(0))
     file_base = files.withColumn(
         "_file_base", F.coalesce(F.sum("_fsize").over(
             Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     bases = (splits.withColumn("_split_base", F.coalesce(F.sum("_split_bytes").over(in_file), F.lit(0)))
-             .join(file_base.select("_file", "_file_base"), "_file")
-             .select("_file", "_block", "_split_base", "_file_base", splits["_fsize"]))
-    est = splits.agg(F.sum(F.octet_length("_file") + 32).alias("b")).first()["b"] or 0
-    if est <= BROADCAST_BYTES:
+             .drop("_fsize").join(file_base.select("_file", "_file_base", "_fsize", "_mark"), "_file")
+             .select("_file", "_block", (F.col("_split_base") + F.col("_mark")).alias("_split_base"), "_file_base", "_fsize"))
+    # splits are bounded by the scan's plan: a file makes one for each partition's bytes, and one more
+    files_ = raw.inputFiles()
+    each = max(1, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if (size // each + 8 * len(files_) + 8) * (max(map(len, files_), default=0) + 64) <= BROADCAST_BYTES:
         bases = F.broadcast(bases)
     out = local.drop("_fsize").join(bases, ["_file", "_block"])
     # A last line without a newline is one byte shorter than counted.
     in_file_pos = F.least(F.col("_split_base") + F.col("_in_split"), F.col("_fsize"))
     return out.select(F.regexp_replace("value", "\r$", "").alias("value"),
                       F.col("_file").alias("source"),
-                      (F.col("_file_base") + in_file_pos).alias("position"))
+                      (F.col("_file_base") + in_file_pos).alias("position"),
+                      in_file_pos.alias("file_position"))
+
+
+def reached(lines: DataFrame) -> DataFrame:
+    """(source, offset): how far each file has been read, to resume from."""
+    return lines.groupBy("source").agg(F.max("file_position").alias("offset"))
 
 
 def parse_lines(lines: DataFrame, require_uuid: bool = False,
@@ -187,16 +209,21 @@ def parse_lines(lines: DataFrame, require_uuid: bool = False,
     return valid, quarantine
 
 
-def read_records(spark: SparkSession, path: str | list[str], start: int = 0,
+def read_records(spark: SparkSession, path: str | list[str], start: int | DataFrame = 0,
                  require_uuid: bool = False, canonical_ids: bool = False,
                  normalise_names: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid records, quarantine) from NDJSON files.
 
-    ``start`` resumes after a byte offset (S4): lines whose end offset is
-    not beyond it are skipped.
+    ``start`` resumes (S4): with a frame (source, offset), as ``reached``
+    makes, each file's lines that end beyond its own offset are read, and files
+    without one are read whole, wherever they stand in path order. A number is
+    an offset into all files in path order; it suits one file.
     """
     lines = lines_with_positions(spark, path)
-    if start:
+    if isinstance(start, DataFrame):
+        lines = lines.join(start.select("source", F.col("offset").alias("_from")), "source", "left") \
+            .filter(F.col("file_position") > F.coalesce("_from", F.lit(0))).drop("_from")
+    elif start:
         lines = lines.filter(F.col("position") > F.lit(start))
     valid, quarantine = parse_lines(lines, require_uuid, canonical_ids, normalise_names)
     return valid.select(*RECORD_COLUMNS, "source"), quarantine

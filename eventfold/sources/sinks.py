@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.schema import RECORD_COLUMNS
@@ -12,6 +12,14 @@ def event_date() -> F.Column:
     return F.to_date(F.timestamp_seconds(F.coalesce("timestamp", F.lit(0))))
 
 
+def _buckets_of(spark: SparkSession, table: str) -> int | None:
+    """Bucket count of an existing table: the session's setting may have changed since."""
+    if not spark.catalog.tableExists(table):
+        return None
+    rows = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    return int(rows["Num Buckets"]) if "Num Buckets" in rows else None
+
+
 def store_records(records: DataFrame, path: str, load: str, mode: str = "append",
                   by_date: bool = False, table: str | None = None,
                   buckets: int | None = None) -> DataFrame:
@@ -32,11 +40,15 @@ def store_records(records: DataFrame, path: str, load: str, mode: str = "append"
     parts = ["load", "event_date"] if by_date else ["load"]
     out = (records.select(*RECORD_COLUMNS)
            .withColumn("load", F.lit(load)).withColumn("event_date", event_date()))
+    if by_date:
+        # a day's rows go to few tasks, so files number about the days, not days times tasks;
+        # a day with many rows is split by id
+        out = out.repartitionByRange("event_date", "id")
     if table is None:
         out.write.mode(mode).partitionBy(*parts).parquet(path)
         stored = spark.read.parquet(path)
     else:
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = buckets or _buckets_of(spark, table) or int(spark.conf.get("spark.sql.shuffle.partitions"))
         (out.write.mode(mode).format("parquet").option("path", path).partitionBy(*parts)
          .bucketBy(n, "id").sortBy("id").saveAsTable(table))
         stored = spark.table(table)

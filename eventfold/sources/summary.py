@@ -76,6 +76,15 @@ def parse_summary(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ids, long, quarantine
 
 
+def summary_long(profile: DataFrame) -> DataFrame:
+    """(id, kind, key, value) of profiles, with kinds as the summary format reads
+    them; an event overwrites an attribute of the same kind and key."""
+    entries = profile.select("id", F.lit(0).alias("_o"), F.explode("attributes").alias("key", "value")).union(
+        profile.select("id", F.lit(1), F.explode("events").alias("key", "value")).withColumn("value", F.col("value").cast("string")))
+    kind = F.when((F.col("key") != INTEGER_ATTRIBUTE) & is_integer_text("value"), F.lit("event")).otherwise(F.lit("attribute"))
+    return entries.filter(F.col("value").isNotNull()).groupBy("id", kind.alias("kind"), "key").agg(F.max_by("value", "_o").alias("value"))
+
+
 def read_summary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return parse_summary(spark.read.text(path))
 

@@ -44,6 +44,19 @@ def test_ingest_then_verify(spark, tmpdir_fresh):
     assert spark.read.parquet(f"{out}/changes").count() == 4
 
 
+def test_a_value_with_a_comma_is_a_difference(spark, tmpdir_fresh):
+    src = os.path.join(tmpdir_fresh, "in.ndjson")
+    with open(src, "w") as f:
+        f.write(json.dumps({"id": "a", "type": "attributes", "user_id": "1", "timestamp": 1,
+                            "data": {"city": "Rome, IT", "email": "real@x"}}) + "\n")
+    out = os.path.join(tmpdir_fresh, "out")
+    ingest(spark, src, out)
+    expected = os.path.join(tmpdir_fresh, "expected.txt")
+    with open(expected, "w") as f:
+        f.write("1,city=Rome, IT,email=WRONG@x\n")
+    assert verify(spark, out, expected) > 0
+
+
 def test_cli_entry_points(spark, tmpdir_fresh):
     from eventfold.jobs import main
     src = os.path.join(tmpdir_fresh, "in.ndjson")

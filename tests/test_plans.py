@@ -56,3 +56,17 @@ def test_changelog_shuffles_assertions_once(spark):
     # are a partial aggregate, not a second copy of the rows
     assert plan.count("Window") >= 2
     assert "partial_max_by" in plan
+
+
+def test_lookups_drop_other_customers_before_the_fold(spark):
+    """The semi join with the wanted customers is below the last aggregate or window."""
+    import io
+    from contextlib import redirect_stdout
+
+    from eventfold.plans.queries import QUERIES
+    for name, above in (("customer_lookup", "Aggregate"), ("customer_changes", "Window")):
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+        plan = buf.getvalue()
+        assert 0 <= plan.index(above) < plan.index("LeftSemi"), name

@@ -119,3 +119,46 @@ def test_uuid_option(spark):
     valid, bad = parse_lines(df, require_uuid=True, canonical_ids=True)
     assert [r.id for r in valid.collect()] == ["6ba7b8109dad11d180b400c04fd430c8"]
     assert bad.select(F.col("reason")).first().reason == "id is not a UUID"
+
+
+def _ends(spark, path, **kw):
+    valid, _ = read_records(spark, path, **kw)
+    return {r.id: r.position for r in valid.select("id", "position").collect()}
+
+
+def test_positions_of_compressed_marked_and_unended_files(spark, tmpdir_fresh):
+    import gzip
+    lines = [json.dumps({"id": f"g{i}", "type": "event", "name": "n" * (i % 7)}).encode() + b"\n" for i in range(500)]
+    ends = {f"g{i}": sum(map(len, lines[:i + 1])) for i in range(len(lines))}
+    p = os.path.join(tmpdir_fresh, "a.ndjson.gz")
+    _write(p, gzip.compress(b"".join(lines)))
+    assert _ends(spark, p) == ends
+    assert set(_ends(spark, p, start=ends["g299"])) == {f"g{i}" for i in range(300, 500)}
+    p = os.path.join(tmpdir_fresh, "b.ndjson")
+    _write(p, b"\xef\xbb\xbf" + b"".join(lines))
+    assert _ends(spark, p) == {k: v + 3 for k, v in ends.items()}
+    _write(p + ".2", (b"".join(lines))[:-1])
+    assert _ends(spark, p + ".2") == ends | {"g499": ends["g499"] - 1}
+
+
+def test_resume_by_file_finds_a_new_earlier_file(spark, tmpdir_fresh):
+    from eventfold.sources.records import lines_with_positions, reached
+    folder = os.path.join(tmpdir_fresh, "in")
+    os.mkdir(folder)
+    line = lambda i: json.dumps({"id": i, "type": "event", "name": "n"}).encode() + b"\n"
+    _write(os.path.join(folder, "b.ndjson"), line("b1") + line("b2"))
+    rows = reached(lines_with_positions(spark, folder)).collect()
+    at = spark.createDataFrame(rows, "source string, offset long")
+    _write(os.path.join(folder, "a.ndjson"), line("a1") + line("a2"))
+    _write(os.path.join(folder, "b.ndjson"), line("b1") + line("b2") + line("b3"))
+    assert set(_ends(spark, folder, start=at)) == {"a1", "a2", "b3"}
+
+
+def test_strict_integer_and_uuid_forms(spark):
+    from eventfold.functions.expr import atoi, canonical_uuid, is_uuid
+    texts = ["5", "5\n", " 5", "6ba7b810-9dad-11d1-80b4-00c04fd430c8", "{}6-ba7b8109dad11d180b400c04fd430c8", "URN:UUID:6ba7b810-9dad-11d1-80b4-00c04fd430c8"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(atoi("t"), is_uuid("t"), canonical_uuid("t")).collect()
+    assert [r[0] for r in rows] == [5, None, None, None, None, None]
+    assert [r[1] for r in rows] == [False, False, False, True, False, True]
+    assert rows[3][2] == rows[5][2] == "6ba7b8109dad11d180b400c04fd430c8" and rows[4][2] == texts[4]

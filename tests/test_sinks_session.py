@@ -28,7 +28,7 @@ def test_fact_sink_partitions_prune_by_date(spark, tmpdir_fresh):
 
 def test_scale_conf_sizes_partitions():
     c = scale_conf(100 * 1024 ** 4)
-    assert c["spark.sql.shuffle.partitions"] == "100000"          # capped
+    assert c["spark.sql.shuffle.partitions"] == "409600"          # follows the input, no cap
     assert scale_conf(50 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "200"
     assert scale_conf(512 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "2048"
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
