@@ -14,11 +14,14 @@ sets are one class from the start. The join is exact: classes link where
 3. Skipping. Lists are cut into blocks by set size; a set probes only blocks
    whose sizes can reach the threshold, and a position bound skips pairs whose
    rest is too short. Each set is first compared with one hub, the leader of
-   its lists. Sets that link with a hub are one component and need no
-   comparison among them. What a set near to the hub can still link with
-   follows from the sets' differences from their family (see ``derived``), so a
-   large group of near copies costs its differences, not its pairs. Pairs of
-   different hubs and components are compared one by one, so no link is lost.
+   its lists; the sets near to a hub are a family. Where not all of a family
+   link with their hub, they are compared once more, with the family's centre
+   (the set nearest to its consensus). Sets that link with the centre are one
+   component and need no comparison among them. What a set outside can still
+   link with follows from the sets' differences from the consensus (see
+   ``derived``), so a large group of near copies costs its differences, not
+   its pairs. Pairs of different families and components are compared one by
+   one, so no link is lost.
 
 Linked answers are component numbers, so a group of copies of any size costs
 its size, not the pairs in it. Rows are only shuffled by hash, and joins that
@@ -198,7 +201,7 @@ def ordered(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
 def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, ok, near) by the intersection of the two sets; near: they differ
-    in at most three tenths of their sizes' sum."""
+    in at most half of their sizes' sum."""
     sets = classes.select("cid", "n", "shared")
     both = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
@@ -210,7 +213,7 @@ def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 ok.append(100 * common >= LEAST * (na + nb - common))
-                near.append(10 * (na + nb - 2 * common) <= 3 * (na + nb))
+                near.append(2 * (na + nb - 2 * common) <= na + nb)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_()), pa.array(near, pa.bool_())], ["a", "b", "ok", "near"])
 
     return both.mapInArrow(run, "a long, b long, ok boolean, near boolean")
@@ -252,28 +255,35 @@ def derived(family: DataFrame) -> DataFrame:
     member's difference D from the family's consensus.
 
     |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, and sets link if |x ^ y| is at most a
-    seventh of |x| + |y|. Members in the hub's component (ok) need no
-    comparison among them, so one of a pair is outside. As its D is large, the
-    other's D must be largely a part of it: the two D share an element in
-    prefixes that are short for a set near to the consensus.
+    seventh of |x| + |y|; with f = 7 |D| - n this is 14 |Dx & Dy| >= fx + fy.
+    Members in the centre's component (ok) need no comparison among them, so
+    one of a pair is outside. As its D is large, more than half of the other's
+    D must be a part of it: the two D, ordered rare first, meet early in both.
     """
-    bounds = family.groupBy("b").agg(F.max("na").alias("nmax"), F.min("away").alias("least"),
-                                     F.min(F.when(~F.col("ok"), F.col("away"))).alias("far"))
-    sets = family.join(bounds, "b")
-    # the least overlap of two D that a link needs, for the set as a partner and as one that misses the hub
-    need = "CAST(ceil((7 * (away + {}) - na - nmax) / 14.0D) AS BIGINT)"
-    sets = sets.withColumn("as_y", F.expr(need.format("far"))).withColumn("as_x", F.expr(need.format("least")))
-    flat = sets.select("b", "a", "ok", "root", "na", "away", "own", "as_x", "as_y", F.explode_outer("rest").alias("e"))
+    family = family.withColumn("f", F.expr("7 * away - na"))
+    bounds = family.groupBy("b").agg(F.min("f").alias("least"), F.min(F.when(~F.col("ok"), F.col("f"))).alias("far"))
+    # the least overlap of two D that a link needs, for the set as a partner and as one outside
+    need = "CAST(ceil((f + {}) / 14.0D) AS BIGINT)"
+    sets = family.join(bounds, "b").withColumn("as_y", F.expr(need.format("far"))).withColumn("as_x", F.expr(need.format("least")))
+    facts = ["b", "a", "ok", "root", "f", "away", "own", "as_x", "as_y"]
+    flat = sets.select(*facts, F.explode_outer("rest").alias("e"))
     often = flat.groupBy(F.col("b").alias("often_b"), F.col("e").alias("often_e")).agg(F.count(F.lit(1)).alias("df"))
-    ranked = flat.join(often, F.expr("b = often_b AND e <=> often_e")).groupBy("b", "a", "ok", "root", "na", "away", "own", "as_x", "as_y").agg(
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), F.struct("df", "e")))), lambda z: F.struct(z["e"].alias("e"), (z["df"] > 1).alias("some"))).alias("d"))
-    # element 0 stands for needing no common element; no element is alone in a list
+    ranked = flat.join(often, F.expr("b = often_b AND e <=> often_e")).groupBy(*facts).agg(
+        F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), F.struct("df", "e")))).alias("d"))
+    # the elements by position, behind those that no other class has; none that is alone in its list.
+    # Element 0 stands for needing no common element
     def prefix(length: str):
-        return F.when(F.col(length) <= 0, F.concat(F.transform("d", lambda z: z["e"]), F.array(F.lit(0).cast("long")))).otherwise(
-            F.transform(F.filter(F.slice("d", 1, F.greatest(F.lit(0), F.col("away") - F.col(length) + 1 - F.col("own")).cast("int")), lambda z: z["some"]), lambda z: z["e"]))
-    y = ranked.select("b", F.col("a").alias("y"), F.col("root").alias("yr"), F.explode(prefix("as_y")).alias("e"))
-    x = ranked.where("NOT ok").select("b", F.col("a").alias("x"), F.col("root").alias("xr"), F.explode(prefix("as_x")).alias("e"))
-    return x.join(y, ["b", "e"]).where("xr <> yr").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        placed = F.transform("d", lambda z, i: F.struct(z["e"].alias("e"), (F.col("own") + i).alias("p"), z["df"].alias("df")))
+        zero = F.struct(F.lit(0).cast("long").alias("e"), F.lit(0).alias("p"), F.lit(2).cast("long").alias("df"))
+        within = F.filter(placed, lambda z: (z["p"] <= F.col("away") - F.col(length)) & (z["df"] > 1))
+        return F.when(F.col(length) <= 0, F.concat(within, F.array(zero))).otherwise(within)
+    y = ranked.select("b", F.col("a").alias("y"), F.col("root").alias("yr"), F.col("f").alias("yf"), F.col("away").alias("yd"), F.inline(prefix("as_y")).alias("e", "yp", "df")).drop("df")
+    x = ranked.where("NOT ok").select("b", F.col("a").alias("x"), F.col("root").alias("xr"), F.col("f").alias("xf"), F.col("away").alias("xd"), F.inline(prefix("as_x")).alias("e", "xp", "df")).drop("df")
+    # at the first common element, what is left of either D bounds the overlap
+    found = x.join(y, ["b", "e"]).where("xr <> yr AND CASE WHEN e = 0 THEN xf + yf <= 0 ELSE 14 * least(xd - xp, yd - yp) >= xf + yf END")
+    return found.groupBy("x", "y").agg(
+        F.max(F.expr("e = 0")).alias("free"), F.count(F.lit(1)).alias("c"), F.min(F.expr("least(xd - xp, yd - yp) - 1")).alias("left"), F.first("xf").alias("xf"), F.first("yf").alias("yf")) \
+        .where("free OR 14 * (c + left) >= xf + yf").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def linked_classes(classes: DataFrame) -> DataFrame | None:
@@ -296,22 +306,27 @@ def linked_classes(classes: DataFrame) -> DataFrame | None:
     first = staged(compared(hubs.where("cid <> l.hub").select(F.col("cid").alias("a"), F.col("l.hub").alias("b")), classes), "join-hubs")
     links = add(first.where("ok").select("a", "b"))
     family = first.where("near").select("a", "b")
-    if links is not None:
-        root = links.select("node", "root")
-        known = family.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left") \
-            .select("a", "b", F.coalesce("ra", "a").alias("root"), F.coalesce("rb", "b").alias("hub")).withColumn("ok", F.expr("root = hub")).drop("hub")
-    else:
-        known = family.withColumn("root", F.col("a")).withColumn("ok", F.lit(False))
+
+    def rooted(members: DataFrame, node: str, name: str) -> DataFrame:
+        if links is None:
+            return members.withColumn(name, F.col(node))
+        return members.join(links.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+    known = rooted(rooted(family, "a", "root"), "b", "hub").withColumn("ok", F.expr("root = hub")).drop("hub")
     known = known.join(known.where("NOT ok").select("b").distinct(), "b")
-    second = staged(compared(derived(staged(families(known, classes), "join-families")), classes), "join-derived")
+    differ = staged(families(known, classes), "join-families")
+    # each member and its family's centre, the member nearest to the consensus
+    centres = differ.groupBy("b").agg(F.min(F.struct("away", "a")).alias("m")).select("b", F.col("m.a").alias("centre"))
+    centred = differ.join(centres, "b")
+    met = staged(compared(rooted(rooted(centred.select("a", "centre"), "a", "ra"), "centre", "rc").where("ra <> rc").select("a", F.col("centre").alias("b")), classes), "join-centres")
+    links = add(met.where("ok").select("a", "b"))
+    now = rooted(rooted(centred.drop("root", "ok"), "a", "root"), "centre", "rc").withColumn("ok", F.expr("root = rc")).drop("rc", "centre")
+    second = staged(compared(derived(now), classes), "join-derived")
     links = add(second.where("ok").select("a", "b"))
 
     # what is left: pairs of different families and components
     now = lists.join(family.select(F.col("a").alias("cid"), F.col("b").alias("fam")), "cid", "left").withColumn("fam", F.coalesce("fam", "cid"))
-    if links is None:
-        now = now.withColumn("root", F.col("cid"))
-    else:
-        now = now.join(links.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    now = rooted(now, "cid", "root")
     open_ = now.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("fam").alias("f0"), F.max("fam").alias("f1")) \
         .where("r0 < r1 AND f0 < f1").select("h")
     now = staged(now.join(open_, "h"), "join-open")
