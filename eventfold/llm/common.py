@@ -70,9 +70,10 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], text_col: str = "text",
-             limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+             limit: int = (4 << 20) - 2) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` text bytes (a longer text is one slice), so
-    that the arrays made from a slice stay small however long the texts are."""
+    that the arrays made from a slice stay small however long the texts are.
+    The limit leaves room below a power of two, where ``powers`` doubles."""
     for batch in batches:
         if not batch.num_rows:
             continue
