@@ -294,8 +294,11 @@ def linked_classes(classes: DataFrame) -> DataFrame | None:
     lists = staged(entries.join(entries.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "h").drop("many"), "join-lists")
     links = None
 
-    def add(pairs: DataFrame) -> DataFrame | None:
+    def add(*found: DataFrame) -> DataFrame | None:
         """The components with the new links in."""
+        pairs = found[0].where("ok").select("a", "b")
+        for more in found[1:]:
+            pairs = pairs.union(more.where("ok").select("a", "b"))
         if pairs.isEmpty():
             return links
         return stars(pairs if links is None else pairs.union(links.toDF("a", "b")))
@@ -304,7 +307,6 @@ def linked_classes(classes: DataFrame) -> DataFrame | None:
     leader = F.min(F.struct(F.xxhash64("cid").alias("z"), F.col("cid").alias("hub")))
     hubs = lists.join(lists.groupBy("h", "block").agg(leader.alias("l")), ["h", "block"]).groupBy("cid").agg(F.min("l").alias("l"))
     first = staged(compared(hubs.where("cid <> l.hub").select(F.col("cid").alias("a"), F.col("l.hub").alias("b")), classes), "join-hubs")
-    links = add(first.where("ok").select("a", "b"))
     family = first.where("near").select("a", "b")
 
     def rooted(members: DataFrame, node: str, name: str) -> DataFrame:
@@ -312,17 +314,16 @@ def linked_classes(classes: DataFrame) -> DataFrame | None:
             return members.withColumn(name, F.col(node))
         return members.join(links.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    known = rooted(rooted(family, "a", "root"), "b", "hub").withColumn("ok", F.expr("root = hub")).drop("hub")
+    known = first.where("near").select("a", "b", "ok", F.col("a").alias("root"))
     known = known.join(known.where("NOT ok").select("b").distinct(), "b")
     differ = staged(families(known, classes), "join-families")
     # each member and its family's centre, the member nearest to the consensus
     centres = differ.groupBy("b").agg(F.min(F.struct("away", "a")).alias("m")).select("b", F.col("m.a").alias("centre"))
     centred = differ.join(centres, "b")
-    met = staged(compared(rooted(rooted(centred.select("a", "centre"), "a", "ra"), "centre", "rc").where("ra <> rc").select("a", F.col("centre").alias("b")), classes), "join-centres")
-    links = add(met.where("ok").select("a", "b"))
+    met = staged(compared(centred.where("a <> centre").select("a", F.col("centre").alias("b")), classes), "join-centres")
+    links = add(first, met)
     now = rooted(rooted(centred.drop("root", "ok"), "a", "root"), "centre", "rc").withColumn("ok", F.expr("root = rc")).drop("rc", "centre")
     second = staged(compared(derived(now), classes), "join-derived")
-    links = add(second.where("ok").select("a", "b"))
 
     # what is left: pairs of different families and components
     now = lists.join(family.select(F.col("a").alias("cid"), F.col("b").alias("fam")), "cid", "left").withColumn("fam", F.coalesce("fam", "cid"))
@@ -343,7 +344,7 @@ def linked_classes(classes: DataFrame) -> DataFrame | None:
         F.count(F.lit(1)).alias("c"), F.min(F.least(F.expr("xn - xp - 1"), F.expr("yn - yp - 1"))).alias("rest")) \
         .where(f"{100 + LEAST} * (c + rest) >= {LEAST} * (xn + yn)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     last = staged(compared(pairs, classes), "join-rest")
-    return add(last.where("ok").select("a", "b"))
+    return add(second, last)
 
 
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
