@@ -3,32 +3,52 @@
 Each string starts from the pre-registered driver views (``events``,
 ``customer``). ``RECORDS`` is the SQL form of the records adapter
 (eventfold.sources.tables.records_from_events), in long form: attribute
-records carry their one (key, value) pair as ``akey`` / ``aval``, event
-records their data pair ('k', k).
+records carry their (key, value) pair as ``akey`` / ``aval`` (and ``akey2`` /
+``aval2``, a key that sorts behind), event records their data pair ('k', k);
+``pairs`` has one row a pair.
 """
 
 RECORDS = """
 base AS (
   SELECT event_id, user_id, event_type,
          json_extract_string(props, '$.k') AS k,
-         epoch_us(ts) // 1000000 AS tsec
+         epoch_us(ts) // 1000000 AS tsec,
+         CASE WHEN event_id % 500 = 499 THEN NULL
+              WHEN event_id % 60 = 11 THEN user_id + 10000000
+              ELSE user_id END AS event_user
   FROM events
 ),
 recs AS (
   SELECT 'a-' || CAST(event_id AS VARCHAR) AS id, 'attributes' AS type,
          CAST(NULL AS VARCHAR) AS name, user_id, event_type AS akey, k AS aval,
-         tsec AS timestamp, event_id * 3 AS position
+         CASE WHEN event_id % 3 = 0 AND event_type IS NOT NULL THEN 'zone' END AS akey2,
+         'zone-' || CAST(event_id % 11 AS VARCHAR) AS aval2,
+         CASE WHEN event_id % 70 <> 3 THEN tsec END AS timestamp, event_id * 6 AS position
   FROM base
   UNION ALL
-  SELECT 'e-' || CAST(event_id AS VARCHAR), 'event', event_type,
-         CASE WHEN event_id % 500 = 499 THEN NULL ELSE user_id END,
-         'k', k, tsec, event_id * 3 + 1
+  SELECT 'e-' || CAST(event_id AS VARCHAR), 'event', event_type, event_user,
+         'k', k, NULL, NULL, tsec, event_id * 6 + 1
   FROM base
   UNION ALL
-  SELECT 'e-' || CAST(event_id AS VARCHAR), 'event', event_type,
-         CASE WHEN event_id % 500 = 499 THEN NULL ELSE user_id END,
-         'k', k, tsec, event_id * 3 + 2
+  SELECT 'e-' || CAST(event_id AS VARCHAR), 'event', event_type, event_user,
+         'k', k, NULL, NULL, tsec,
+         (CASE WHEN event_id % 40 = 0 THEN event_id ELSE event_id + 1000 END) * 6 + 2
   FROM base WHERE event_id % 20 = 0
+  UNION ALL
+  SELECT 'd-' || CAST(event_id AS VARCHAR), 'attributes', NULL, user_id,
+         event_type, 'old-' || k, NULL, NULL, tsec - 10000000, event_id * 6 + 3
+  FROM base WHERE event_id % 10 = 3 AND event_type IS NOT NULL
+  UNION ALL
+  SELECT 'n-' || CAST(event_id AS VARCHAR), 'attributes', NULL,
+         CASE WHEN event_id % 200 = 7 THEN user_id ELSE user_id + 30000000 END,
+         'zone', NULL, NULL, NULL,
+         CASE WHEN event_id % 200 = 7 THEN tsec + 1 END, event_id * 6 + 4
+  FROM base WHERE event_id % 100 = 7
+),
+pairs AS (
+  SELECT id, type, user_id, timestamp, position, akey, aval FROM recs
+  UNION ALL
+  SELECT id, type, user_id, timestamp, position, akey2, aval2 FROM recs WHERE akey2 IS NOT NULL
 ),
 dedup AS (
   SELECT * FROM recs
@@ -36,7 +56,8 @@ dedup AS (
 ),
 assertions AS (
   SELECT user_id, akey AS key, aval AS value, COALESCE(timestamp, 0) AS timestamp, position
-  FROM dedup
+  FROM (SELECT * FROM pairs
+        QUALIFY row_number() OVER (PARTITION BY id, akey ORDER BY position) = 1)
   WHERE type = 'attributes' AND user_id IS NOT NULL AND akey IS NOT NULL AND aval IS NOT NULL
 ),
 latest AS (
@@ -105,7 +126,9 @@ ORACLE["record_profiles"] = with_records("SELECT * FROM r5")
 
 DATA_JSON = """CASE WHEN akey IS NULL THEN '{}'
             WHEN aval IS NULL THEN '{"' || akey || '":null}'
-            ELSE '{"' || akey || '":"' || aval || '"}' END"""
+            ELSE '{"' || akey || '":"' || aval || '"'
+                 || CASE WHEN akey2 IS NULL THEN '' ELSE ',"' || akey2 || '":"' || aval2 || '"' END
+                 || '}' END"""
 
 ORACLE["dedup_events"] = with_records(f"""
 SELECT id, type, name, user_id, timestamp, position, {DATA_JSON} AS data_json FROM dedup
@@ -312,7 +335,7 @@ SELECT id, kind, key, value FROM (
 QUALIFY row_number() OVER (PARTITION BY id, kind, key ORDER BY field_group DESC) = 1
 """)
 
-ORACLE["reconcile_observed"] = with_records("""
+RECONCILE = """
 SELECT COALESCE(x.id, y.id) AS id, COALESCE(x.kind, y.kind) AS kind, COALESCE(x.key, y.key) AS key,
        x.value AS expected, y.value AS actual,
        CASE WHEN y.value IS NULL THEN 'missing_key'
@@ -326,13 +349,15 @@ SELECT COALESCE(e.id, a.id), 'customer', NULL, NULL, NULL,
        CASE WHEN a.id IS NULL THEN 'missing_customer' ELSE 'extra_customer' END
 FROM exp_ids e FULL OUTER JOIN act_ids a ON e.id = a.id
 WHERE e.id IS NULL OR a.id IS NULL
-""", ctes="""
+"""
+
+RECONCILE_CTES = """
 obs_attr AS (
-  SELECT user_id, akey AS key, aval AS value FROM recs
+  SELECT user_id, akey AS key, aval AS value FROM pairs
   WHERE type = 'attributes' AND user_id IS NOT NULL AND akey IS NOT NULL AND aval IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY user_id, akey ORDER BY position DESC) = 1
 ),
-act_ids AS (SELECT DISTINCT user_id AS id FROM obs_attr),
+act_ids AS (SELECT DISTINCT user_id AS id FROM recs WHERE type = 'attributes' AND user_id IS NOT NULL),
 obs_events AS (
   SELECT COALESCE(user_id, 0) AS user_id, COALESCE(name, '') AS key, count(*) AS n
   FROM recs WHERE type = 'event' GROUP BY 1, 2
@@ -351,7 +376,15 @@ exp_long AS (
   SELECT user_id, 'event', COALESCE(name, ''), CAST(n AS VARCHAR) FROM counts
   WHERE user_id IN (SELECT id FROM exp_ids)
 )
-""")
+"""
+
+ORACLE["reconcile_observed"] = with_records(RECONCILE, ctes=RECONCILE_CTES)
+
+# Expected: every row of the customer table; actual: the observed records, in
+# which one event name was changed on the way.
+ORACLE["reconcile_customers"] = with_records(RECONCILE, ctes=RECONCILE_CTES.replace(
+    "exp_ids AS (SELECT user_id AS id FROM lu)", "exp_ids AS (SELECT c_custkey AS id FROM customer)").replace(
+    "COALESCE(name, '') AS key, count(*)", "CASE WHEN name = 'error' THEN 'fault' ELSE COALESCE(name, '') END AS key, count(*)"))
 
 ORACLE["merged_attributes"] = ORACLE["latest_attributes"]
 ORACLE["merged_event_counts"] = ORACLE["event_counts"]
@@ -366,12 +399,24 @@ FROM recs WHERE NOT COALESCE({BAD_LINE}, false)
 """)
 
 ORACLE["ndjson_quarantine"] = with_records(f"""
-SELECT id, 'user_id is not a string' AS reason FROM recs WHERE COALESCE({BAD_LINE}, false)
+SELECT id, CASE CAST(aval AS INTEGER)
+             WHEN 91 THEN 'id missing or not a string'
+             WHEN 92 THEN 'type is not a string'
+             WHEN 93 THEN 'name is not a string'
+             WHEN 94 THEN 'timestamp is not an integer'
+             WHEN 95 THEN 'data is not an object of strings'
+             WHEN 96 THEN 'not one JSON object'
+             WHEN 97 THEN 'not a JSON object'
+             ELSE 'user_id is not a string' END AS reason
+FROM recs WHERE COALESCE({BAD_LINE}, false)
 """)
 
 ORACLE["stream_event_counts"] = ORACLE["event_counts"]
 ORACLE["stream_latest_attributes"] = ORACLE["latest_attributes"]
 ORACLE["stream_attribute_changes"] = ORACLE["attribute_changes"]
 ORACLE["stream_dedup"] = with_records("SELECT id, type, name, user_id, timestamp FROM dedup")
-# Copies carry the same timestamp, so a one-hour watermark drops every copy.
+# All copies arrive within the hour, and no record is dropped as too old.
 ORACLE["stream_dedup_watermark"] = ORACLE["stream_dedup"]
+for name in ("stream_event_counts", "stream_latest_attributes", "stream_attribute_changes",
+             "stream_dedup", "stream_dedup_watermark"):
+    ORACLE[f"{name}_batches"] = ORACLE[name]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.functions.expr import sorted_json
@@ -57,8 +57,13 @@ def register(fn: Query) -> Query:
     return fn
 
 
-def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_records(records(spark, sf_dir))
+# What a query needs of a record, so that the payload stays out of its shuffle.
+EVENT_COLUMNS = ("type", "name", "user_id")
+ATTRIBUTE_COLUMNS = ("type", "user_id", "data", "timestamp")
+
+
+def deduped(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    return dedup_records(records(spark, sf_dir), columns=columns)
 
 
 def _text_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,28 +94,28 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts_op(deduped(spark, sf_dir))
+    return counts_op(deduped(spark, sf_dir, EVENT_COLUMNS))
 
 
 @register
 def anonymous_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anonymous_counts(deduped(spark, sf_dir))
+    return anonymous_counts(deduped(spark, sf_dir, EVENT_COLUMNS))
 
 
 @register
 def latest_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_op(deduped(spark, sf_dir))
+    return latest_op(deduped(spark, sf_dir, ATTRIBUTE_COLUMNS))
 
 
 @register
 def latest_attributes_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same winners through row_number top-1."""
-    return latest_op(deduped(spark, sf_dir), method="rank")
+    return latest_op(deduped(spark, sf_dir, ATTRIBUTE_COLUMNS), method="rank")
 
 
 @register
 def row_last_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_last_arrival_op(deduped(spark, sf_dir), fields=EVENT_TYPES)
+    return row_last_arrival_op(deduped(spark, sf_dir, ATTRIBUTE_COLUMNS), fields=EVENT_TYPES)
 
 
 @register
@@ -121,20 +126,20 @@ def profile_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def attribute_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes_op(deduped(spark, sf_dir))
+    return changes_op(deduped(spark, sf_dir, ATTRIBUTE_COLUMNS))
 
 
 @register
 def attribute_changes_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time order, hour buckets: the carry between buckets is exercised."""
-    return changes_op(deduped(spark, sf_dir), order="event_time")
+    return changes_op(deduped(spark, sf_dir, ATTRIBUTE_COLUMNS), order="event_time")
 
 
 @register
 def attribute_changes_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time order with sampled range buckets: equal-size buckets
     whatever the skew of one customer attribute."""
-    return changes_op(deduped(spark, sf_dir), order="event_time", balance="range")
+    return changes_op(deduped(spark, sf_dir, ATTRIBUTE_COLUMNS), order="event_time", balance="range")
 
 
 @register
@@ -142,12 +147,12 @@ def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changelog of every customer of one nation."""
     users = (table(spark, sf_dir, "customer").filter(F.col("c_nationkey") == LOOKUP_NATION)
              .select(F.col("c_custkey").alias("user_id")))
-    return changes_of(deduped(spark, sf_dir), users)
+    return changes_of(deduped(spark, sf_dir, ATTRIBUTE_COLUMNS), users)
 
 
 @register
 def latest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_change_op(changes_op(deduped(spark, sf_dir)))
+    return latest_change_op(changes_op(deduped(spark, sf_dir, ATTRIBUTE_COLUMNS)))
 
 
 @register
@@ -197,13 +202,13 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def last_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return last_updated_op(deduped(spark, sf_dir))
+    return last_updated_op(deduped(spark, sf_dir, ("type", "user_id", "timestamp")))
 
 
 @register
 def orphan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer events whose user is not in the customer table."""
-    ev = deduped(spark, sf_dir).filter(F.col("type") == "event")
+    ev = deduped(spark, sf_dir, EVENT_COLUMNS).filter(F.col("type") == "event")
     return (checks.orphans(ev, "user_id", table(spark, sf_dir, "customer"), "c_custkey")
             .select("id", "user_id", "name"))
 
@@ -250,7 +255,7 @@ def erase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: event counts left after erasing one market segment's customers."""
     c = table(spark, sf_dir, "customer")
     gone = c.filter(F.col("c_mktsegment") == ERASE_SEGMENT).select(F.col("c_custkey").alias("id"))
-    return checks.erase(counts_op(deduped(spark, sf_dir)), gone, "user_id").select("user_id", "name", "n")
+    return checks.erase(counts_op(deduped(spark, sf_dir, EVENT_COLUMNS)), gone, "user_id").select("user_id", "name", "n")
 
 
 @register
@@ -299,6 +304,19 @@ def reconcile_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile_long(act_ids, act_long, exp_ids, exp_long)
 
 
+@register
+def reconcile_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer table's profiles against the observed fold of
+    records in which the event ``error`` was renamed on the way: customers
+    missing and extra, keys missing and extra, and different values."""
+    raw = records(spark, sf_dir)
+    exp_ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    exp_long = profile_long(dedup_records(raw))[1]
+    renamed = F.when(F.col("name") == "error", F.lit("fault")).otherwise(F.col("name"))
+    act_ids, act_long = observed_long(raw.withColumn("name", renamed))
+    return reconcile_long(act_ids, act_long, exp_ids, exp_long)
+
+
 def _two_batches(spark: SparkSession, sf_dir: str):
     raw = records(spark, sf_dir)
     cut = raw.agg(F.max("position")).first()[0] // 2
@@ -334,15 +352,29 @@ def merged_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ndjson_path(spark: SparkSession, sf_dir: str) -> str:
     """Write the adapter's records as NDJSON lines (the reader's input).
-    Error events of a known user with k >= 90 are written with a numeric
-    user_id, which the strict reader must set aside (an anonymous record
-    has no user_id field at all)."""
+    Error events of a known user with k >= 90 are written in one of eight
+    malformed ways, by k, which the strict reader must set aside (an anonymous
+    record has no user_id field at all)."""
     raw = records(spark, sf_dir)
-    bad = ((F.col("type") == "event") & (F.col("name") == "error") & F.col("user_id").isNotNull()
-           & (F.try_element_at("data", F.lit("k")).try_cast("int") >= 90))
-    good_line = records_to_ndjson(raw.filter(~F.coalesce(bad, F.lit(False))))
-    bad_line = raw.filter(F.coalesce(bad, F.lit(False))).select(
-        F.to_json(F.struct("id", "type", "name", "user_id", "data", "timestamp")).alias("value"))
+    k = F.try_element_at("data", F.lit("k")).try_cast("int")
+    bad = F.coalesce((F.col("type") == "event") & (F.col("name") == "error") & F.col("user_id").isNotNull()
+                     & (k >= 90), F.lit(False))
+    good_line = records_to_ndjson(raw.filter(~bad))
+    fields = {"id": F.col("id"), "type": F.col("type"), "name": F.col("name"),
+              "user_id": F.col("user_id").cast("string"), "data": F.col("data"), "timestamp": F.col("timestamp")}
+
+    def line(**changed) -> Column:
+        return F.to_json(F.struct(*[v.alias(f) for f, v in (fields | changed).items()]))
+
+    bad_line = raw.filter(bad).select(
+        F.when(k == 91, line(id=F.array("id")))
+        .when(k == 92, line(type=F.lit(7)))
+        .when(k == 93, line(name=F.lit(7)))
+        .when(k == 94, line(timestamp=F.col("timestamp").cast("string")))
+        .when(k == 95, line(data=F.create_map(F.lit("k"), k)))
+        .when(k == 96, F.regexp_replace(line(), r"\}$", ""))
+        .when(k == 97, F.concat(F.lit("["), line(), F.lit("]")))
+        .otherwise(line(user_id=F.col("user_id"))).alias("value"))
     path = shared_dir(spark, "ndjson")
     # One file per task slot, as a distributed writer of the input would
     # leave it; the reader then works on as many splits.
@@ -365,7 +397,8 @@ def ndjson_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def ndjson_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, bad = read_records(spark, _ndjson_path(spark, sf_dir))
-    return bad.select(F.get_json_object("value", "$.id").alias("id"), "reason")
+    # the id also where the line is no JSON
+    return bad.select(F.regexp_extract("value", '"(e-[0-9]+)"', 1).alias("id"), "reason")
 
 
 def _stream(name: str, mode: str, build):
@@ -378,6 +411,22 @@ def _stream(name: str, mode: str, build):
     return run
 
 
+def _stream_batches(name: str, mode: str, build):
+    """The same stream over four files in arrival order, one a micro-batch."""
+    from eventfold.streaming.stream import records_stream, run_available_now
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raw = records(spark, sf_dir)
+        path, end = shared_dir(spark, name), raw.agg(F.max("position")).first()[0]
+        for part in range(4):
+            arrived = F.floor(F.col("position") * 4 / (end + 1)) == part
+            raw.filter(arrived).coalesce(1).write.mode("append").parquet(path)
+        result, _ = run_available_now(build(records_stream(spark, path, raw.schema)), mode, name)
+        return result
+    run.__name__ = f"{name}_batches"
+    return run
+
+
 def _register_streams() -> None:
     from eventfold.streaming import stream as st
     register(_stream("stream_event_counts", "complete", st.stream_event_counts))
@@ -389,6 +438,14 @@ def _register_streams() -> None:
     register(_stream("stream_dedup_watermark", "append",
                      lambda r: st.stream_dedup(r, watermark="1 hour")
                      .select("id", "type", "name", "user_id", "timestamp")))
+    register(_stream_batches("stream_event_counts", "complete", st.stream_event_counts))
+    register(_stream_batches("stream_latest_attributes", "complete", st.stream_latest_attributes))
+    register(_stream_batches("stream_attribute_changes", "append", st.stream_attribute_changes))
+    register(_stream_batches("stream_dedup_watermark", "append",
+                             lambda r: st.stream_dedup(r, watermark="1 hour")
+                             .select("id", "type", "name", "user_id", "timestamp")))
+    register(_stream_batches("stream_dedup", "append",
+                             lambda r: st.stream_dedup(r).select("id", "type", "name", "user_id", "timestamp")))
 
 
 _register_streams()

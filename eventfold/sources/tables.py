@@ -1,15 +1,23 @@
 """Driver parquet tables and the adapter from ``events`` rows to records.
 
-The ``events`` table has neither duplicate nor anonymous records, nor
-attribute records. The adapter writes each row the way the record stream
-interleaves them: an attributes record for the row's user (key = event
-type, value = ``props.k``), the event record itself, and for rows whose
-``event_id`` is a multiple of 20 a byte-identical second copy of the event.
-Every 500th event (``event_id % 500 = 499``) carries no user. These two
-rates are the stream's documented defaults (1 in 20 duplicated, 1 in 500
-anonymous). No row is dropped: every events row yields records.
-
-Positions model one input file in ``event_id`` order: three slots per row.
+The ``events`` table has neither attribute records, duplicates, anonymous rows
+nor late values. The adapter writes each row the way the record stream
+interleaves them, in six position slots a row (one file in ``event_id`` order):
+
+0. ``a-<id>``: attributes of the row's user: key = event type, value =
+   ``props.k``; every 3rd row also has a text under ``zone``, a key that is no
+   event name. Every 70th has no timestamp.
+1. ``e-<id>``: the event. Every 500th has no user, every 60th a user that no
+   attributes record and no customer row names (an orphan with events only).
+2. A byte-identical copy of the event for every 20th row: half of them at
+   once, half 1,000 rows later, behind a batch's end.
+3. ``d-<id>``, every 10th row: an older value of the same attribute, text, that
+   arrives later, so the newest value is not the last one.
+4. ``n-<id>``, every 100th row: a NULL ``zone``; by turns a newer one of the
+   row's user, which must not erase the value, and the only record, without a
+   timestamp, of a customer that the customer table lacks.
+
+No row is dropped: every events row yields records.
 """
 
 from __future__ import annotations
@@ -22,6 +30,11 @@ from eventfold.functions.expr import epoch_seconds
 # Duplicate and anonymous rates of the record stream.
 DUPLICATE_EVERY = 20
 ANONYMOUS_EVERY = 500
+SLOTS = 6
+FAR_ROWS = 1000
+LATE_SECONDS = 10_000_000
+ORPHAN_USERS = 10_000_000
+NULL_USERS = 30_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,20 +63,33 @@ def records_from_events(events: DataFrame) -> DataFrame:
                          F.col("event_type").alias("etype"), k.alias("k"), tsec.alias("tsec"))
     eid, uid, etype, k, tsec = (F.col(c) for c in ("eid", "uid", "etype", "k", "tsec"))
     sid = eid.cast("string")
+    slot = eid * SLOTS
+    no_text = F.lit(None).cast("string")
+    zone = F.concat(F.lit("zone-"), (eid % 11).cast("string"))
+    pairs = F.when(eid % 3 == 0, F.create_map(etype, k, F.lit("zone"), zone)).otherwise(F.create_map(etype, k))
     attrs = _record(F.concat(F.lit("a-"), sid), "attributes", F.lit(None), uid,
-                    F.when(etype.isNotNull(), F.create_map(etype, k))
+                    F.when(etype.isNotNull(), pairs)
                     .otherwise(F.create_map().cast("map<string,string>")),
-                    tsec, eid * 3)
-    ev_user = F.when(eid % ANONYMOUS_EVERY != ANONYMOUS_EVERY - 1, uid)
+                    F.when(eid % 70 != 3, tsec), slot)
+    ev_user = (F.when(eid % ANONYMOUS_EVERY == ANONYMOUS_EVERY - 1, F.lit(None))
+               .when(eid % 60 == 11, uid + ORPHAN_USERS).otherwise(uid))
 
-    def event(slot: int) -> Column:
+    def event(position: Column) -> Column:
         return _record(F.concat(F.lit("e-"), sid), "event", etype, ev_user,
-                       F.create_map(F.lit("k"), k), tsec, eid * 3 + slot)
-
-    copy = F.when(eid % DUPLICATE_EVERY == 0, event(2))
+                       F.create_map(F.lit("k"), k), tsec, position)
+
+    far = F.when(eid % (2 * DUPLICATE_EVERY) == 0, slot).otherwise(slot + FAR_ROWS * SLOTS)
+    copy = F.when(eid % DUPLICATE_EVERY == 0, event(far + 2))
+    late = F.when((eid % 10 == 3) & etype.isNotNull(), _record(
+        F.concat(F.lit("d-"), sid), "attributes", F.lit(None), uid,
+        F.create_map(etype, F.concat(F.lit("old-"), k)), tsec - LATE_SECONDS, slot + 3))
+    own = eid % 200 == 7
+    null = F.when(eid % 100 == 7, _record(
+        F.concat(F.lit("n-"), sid), "attributes", F.lit(None), F.when(own, uid).otherwise(uid + NULL_USERS),
+        F.create_map(F.lit("zone"), no_text), F.when(own, tsec + 1), slot + 4))
     # A NULL slot (no copy) inlines to an all-NULL row, removed by the
     # filter; no lambda, so the stage stays in generated code.
-    return (base.select(F.inline(F.array(attrs, event(1), copy)))
+    return (base.select(F.inline(F.array(attrs, event(slot + 1), copy, late, null)))
             .filter(F.col("id").isNotNull()))
 
 

@@ -52,6 +52,11 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int =
     return records_from_events(ev)
 
 
+def records_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1) -> DataFrame:
+    """ST1 over stored records, file by file in the order they were written."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+
+
 def ndjson_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 100
                   ) -> tuple[DataFrame, DataFrame]:
     """ST1 over NDJSON files: (valid records, quarantine); position is NULL."""
@@ -63,14 +68,16 @@ def ndjson_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1
 
 def stream_dedup(records: DataFrame, watermark: str | None = None) -> DataFrame:
     """ST2: first arrival of each id. With ``watermark`` (e.g. "1 hour") the
-    state is bounded by event time; copies further apart than that are no
-    longer recognised (exactness traded for bounded state)."""
+    state is bounded by time of arrival; copies that arrive further apart than
+    that are no longer recognised (exactness traded for bounded state). The
+    watermark is on arrival, not on the record's own time: a record that is
+    late, or has no timestamp, is never dropped as too old."""
     if watermark is None:
         return records.dropDuplicates(["id"])
-    return (records.withColumn("event_time", F.timestamp_seconds(F.coalesce("timestamp", F.lit(0))))
-            .withWatermark("event_time", watermark)
+    return (records.withColumn("arrived", F.current_timestamp())
+            .withWatermark("arrived", watermark)
             .dropDuplicatesWithinWatermark(["id"])
-            .drop("event_time"))
+            .drop("arrived"))
 
 
 def stream_event_counts(records: DataFrame) -> DataFrame:
