@@ -8,6 +8,14 @@ with each item passage makes candidates. A candidate counts only if the
 longest common subsequence of words with the item is long: almost the whole
 item, or a good part of it together with most of its end (the answer).
 
+A latent space of fixed rank keeps less of a passage's length the more items
+a block holds. So the exact TF-IDF cosine makes candidates too, through
+postings of the item passages' heavy terms: the others of a passage have a
+length of at most half the least cosine, which bounds what they can add. And
+a verbatim copy is found whatever stands around it: each item is looked up by
+its rarest run of ``SHORTEST`` words and compared word by word. A pair's
+cosine is the greater of both, 1 for a copy that only the lookup finds.
+
 A term outside the benchmark's vocabulary adds to a passage's length with the
 weight of a term seen once. So a passage whose known terms carry too little of
 its length cannot reach the least cosine, and is passed over without a loss.
@@ -34,7 +42,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import by_bytes, text_buffers, word_hashes
+from eventfold.llm.common import by_bytes, mix, powers, prefix_hashes, text_buffers, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -47,6 +55,8 @@ COSINE = 0.35
 #: Shares of an item in the common subsequence: alone, or with its end.
 WHOLE, PART, END = 0.8, 0.6, 0.6
 BLOCK_BYTES = 1 << 20
+#: Entries of postings that are added up at a time.
+POSTINGS = 1 << 21
 
 
 def word_bytes() -> np.ndarray:
@@ -176,6 +186,18 @@ def randomised_svd(rows: DataFrame, n_terms: int, rank: int = RANK, seed: int =
     return q[:, :rank]
 
 
+def run_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the word sequences from start to end."""
+    p = prefix_hashes(h)
+    return mix((p[end] - p[start]) * powers(len(p))[1][start])
+
+
+def spread(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that begin at ``low``: each entry's range and its place."""
+    which = np.repeat(np.arange(len(low)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count - low, count)
+
+
 def common_words(item: list[int], region: list[int]) -> int:
     """Length of the longest common subsequence, a machine word of cells at a time."""
     masks: dict[int, int] = {}
@@ -205,6 +227,14 @@ class Block:
         self.at = start - starts[self.item]
         self.numbers = [self.terms.numbers(flat[s:e]) for s, e in zip(start, end, strict=True)]
         self.lists = [w.tolist() for w in self.words]
+        self.whole = run_hashes(flat, starts[:-1], starts[1:])
+        item, at = spread(np.zeros(len(keep), np.int64), np.diff(starts) - SHORTEST + 1)
+        gram = run_hashes(flat, starts[item] + at, starts[item] + at + SHORTEST)
+        _, number, often = np.unique(gram, return_inverse=True, return_counts=True)
+        order = np.lexsort((at, often[number], item))
+        order = order[np.searchsorted(item[order], np.arange(len(keep)))]  # each item's rarest
+        order = order[np.argsort(gram[order], kind="stable")]
+        self.gram, self.gram_item, self.gram_at = gram[order], item[order], at[order]
 
     @classmethod
     def of(cls, state: dict) -> Block:
@@ -215,13 +245,16 @@ class Block:
         return block
 
     def state(self) -> dict:
-        return {**{k: self.__dict__[k] for k in ("ids", "item", "at", "lists", "idf", "other", "latent", "fold")}, "terms": self.terms.hashes}
+        return {**{k: self.__dict__[k] for k in (
+            "ids", "item", "at", "lists", "whole", "gram", "gram_item", "gram_at", "idf", "other", "latent", "fold",
+            "key", "weight", "rest", "heavy", "heavy_at")}, "terms": self.terms.hashes}
 
     def learn(self, docs: DataFrame) -> None:
         df, n = frequencies(docs, self.terms)
         self.idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.01)
         self.other = float(np.log((1 + n) / 2) + 0.01)
         rows = [tf_idf(x, self.idf) for x in self.numbers]
+        self.index(rows)
         spark = docs.sparkSession
         frame = spark.createDataFrame([(t.tolist(), w.tolist()) for t, w in rows], "terms array<long>, weights array<float>").repartition(8)
         v = randomised_svd(frame, len(self.terms))
@@ -230,6 +263,73 @@ class Block:
         self.latent = (latent / np.where(norm > 0, norm, 1)).astype(np.float32)
         self.fold = np.vstack([v * self.idf[:, None], np.zeros((1, v.shape[1]), np.float32)])
 
+    def index(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """The weights by term and passage, and each term's passages in which it is heavy."""
+        term, weight = (np.concatenate(x) for x in zip(*rows, strict=True))
+        passage = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+        order = np.lexsort((weight, passage))  # lightest first
+        square = np.cumsum(weight[order].astype(np.float64) ** 2)
+        first = np.searchsorted(passage[order], np.arange(len(rows)))
+        below = np.sqrt(np.maximum(0, square - np.append(0, square)[first][passage[order]]))
+        light = below <= COSINE / 2
+        self.rest = np.zeros(len(rows))
+        np.maximum.at(self.rest, passage[order][light], below[light])
+        heavy = np.zeros(len(order), dtype=bool)
+        heavy[order] = ~light
+        order = np.lexsort((passage, term))
+        self.key, self.weight = term[order] * len(rows) + passage[order], weight[order]
+        self.heavy = np.flatnonzero(heavy[order])
+        self.heavy_at = np.searchsorted(term[order][self.heavy], np.arange(len(self.terms) + 2))
+
+    def exact(self, grid: np.ndarray, length: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passages, item passages and TF-IDF cosine of the pairs that reach ``cosine``."""
+        n, idf = len(self.rest), np.append(self.idf, 0)
+        count = np.diff(self.heavy_at)[grid]
+        part = np.cumsum(count.sum(axis=1)) // POSTINGS
+        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        out = []
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            term = grid[x:y].reshape(-1)
+            which, place = spread(self.heavy_at[term], count[x:y].reshape(-1))
+            place = self.heavy[place]
+            cell = which // grid.shape[1] * n + self.key[place] % n
+            dot = np.bincount(cell, idf[term[which]] * self.weight[place], minlength=(y - x) * n).reshape(y - x, n)
+            p, q = np.nonzero(dot >= (cosine - self.rest - 1e-5) * length[x:y, None])
+            for k in range(0, len(p), 1 << 16):
+                i, j = p[k:k + (1 << 16)] + x, q[k:k + (1 << 16)]
+                key = grid[i] * n + j[:, None]
+                place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                score = (np.where(self.key[place] == key, self.weight[place], 0) * idf[grid[i]]).sum(axis=1) / length[i]
+                ok = score >= cosine
+                out.append((i[ok], j[ok], score[ok]))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip((none, none, np.zeros(0)), *out, strict=True))
+
+    def copies(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+        """Row and item of the items that stand in the rows word by word."""
+        if len(h) < SHORTEST:
+            return []
+        at = np.arange(len(h) - SHORTEST + 1)
+        gram = run_hashes(h, at, at + SHORTEST)
+        low = np.searchsorted(self.gram, gram)
+        at = at[self.gram[np.minimum(low, len(self.gram) - 1)] == gram]
+        low, count = low[at], np.searchsorted(self.gram, gram[at], side="right") - low[at]
+        size = np.array([len(x) for x in self.lists])
+        out = set()
+        part = np.cumsum(count) // POSTINGS
+        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            which, place = spread(low[x:y], count[x:y])
+            item = self.gram_item[place]
+            start = at[x:y][which] - self.gram_at[place]
+            row = np.searchsorted(first, at[x:y][which], side="right") - 1
+            ok = np.flatnonzero((start >= first[row]) & (start + size[item] <= first[row + 1]))
+            ok = ok[run_hashes(h, start[ok], start[ok] + size[item[ok]]) == self.whole[item[ok]]]
+            for r, i, s in zip(row[ok].tolist(), item[ok].tolist(), start[ok].tolist(), strict=True):
+                if (r, i) not in out and h[s:s + len(self.lists[i])].tolist() == self.lists[i]:
+                    out.add((r, i))
+        return sorted(out)
+
     def search(self, column: pa.Array, cosine: float) -> list[dict[int, tuple[float, float]]]:
         """For each text the contained items with cosine and share of common words."""
         h, first = words(column)
@@ -254,6 +354,8 @@ class Block:
             grid[:, 1:][grid[:, 1:] == grid[:, :-1]] = len(self.terms)  # a term counts once in a passage
             size = (np.append(self.idf, 0)[grid] ** 2).sum(axis=1) + length2[part] - known2[part]
             score = self.fold[grid].sum(axis=1) @ self.latent.T / np.sqrt(size)[:, None]
+            p, q, exact = self.exact(grid, np.sqrt(size), cosine)
+            score[p, q] = np.maximum(score[p, q], exact)
             p, q = np.nonzero(score >= cosine)
             hits += zip((-score[p, q]).tolist(), part[p].tolist(), q.tolist(), strict=True)
         for minus, w, p in sorted(hits):
@@ -270,6 +372,8 @@ class Block:
             tail = item[-max(2, len(item) // 4):]
             if share >= WHOLE or common_words(tail, region) >= END * len(tail):
                 out[r][i] = (float(-minus), share)
+        for r, i in self.copies(h, first):
+            out[r].setdefault(i, (1.0, 1.0))
         return out
 
 

@@ -238,6 +238,24 @@ def test_decontamination(spark):
     assert dc.contaminated(frame(spark, []), bench).count() == 0
 
 
+def test_decontamination_by_many_items(spark):
+    """3,000 items fill far more directions than the latent space has; some stand among rare words."""
+    from eventfold.llm import decontamination as dc
+    r, w = random.Random(10), words(10, 2500)
+    text = lambda n: " ".join(r.choice(w) for _ in range(n))
+    items = [(k, text(r.randint(15, 59))) for k in range(3000)]
+    rare = lambda n: " ".join(f"q{r.randrange(10 ** 9)}" for _ in range(n))
+    docs = [(k, f"{text(60)} {items[k][1]} {text(60)}") for k in range(100)] + [(k, f"{rare(60)} {items[k][1]} {rare(60)}") for k in range(100, 150)]
+    for k in range(150, 200):  # every eighth word another
+        t = items[k][1].split()
+        t[4::8] = [r.choice(w) for _ in t[4::8]]
+        docs.append((k, f"{text(60)} {' '.join(t)} {text(60)}"))
+    docs += [(1000 + i, text(300)) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"]) for x in dc.contaminated(frame(spark, docs), bench).collect())
+    assert got == [(k, k) for k in range(200)]
+
+
 def jaccard(rows):
     sets = []
     for _, t in rows:
