@@ -176,6 +176,24 @@ def test_suffixes_against_all_windows(spark, texts):
     assert suffixes.repeats(frame(spark, [])).count() == 0
 
 
+def test_suffixes_spread_a_hot_anchor(spark):
+    """One passage among different words in 600 documents: each document's own
+    records of its anchors do not meet in one group, and the result is whole."""
+    import pyarrow as pa
+    from eventfold.llm import suffixes
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage = text(400)
+    rows = [(i, f"{text(100)}{passage}{text(100)}") for i in range(600)]
+    got = {x["doc_id"]: x["n_removed"] for x in suffixes.repeats(frame(spark, rows)).collect()}
+    assert got[0] == 0 and all(400 <= got[i] < 420 for i in range(1, 600))
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "tid", "text"])
+    sent = [x for out in suffixes.first_pass(4)(iter([batch])) for x in out.to_pandas().itertuples() if x.kind in (0, 3)]
+    hashes = collections.Counter(h for x in sent for h in suffixes.opened(x, 4)[0].tolist())
+    assert max(hashes.values()) <= 8
+
+
 def test_langid(spark):
     from eventfold.llm import langid
     r = random.Random(8)
