@@ -216,10 +216,15 @@ def extract(docs: DataFrame, keep: list[str], text_col: str = "text", rounds: in
         "row", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPANS)))).alias("spans"))
 
 
+def _count(kind: int) -> Column:
+    """Base spans of one kind. (A second lambda parameter, default or not, would be the array index.)"""
+    return F.size(F.filter("base", lambda x: x["k"] == F.lit(kind))).cast("long")
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """The query's rows: base counts, digest of the base spans, all spans."""
     out = extract(docs, ["doc_id"])
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select("row.doc_id", *counts, F.sha2(_span(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                       _span(F.col("spans")).alias("spans"))
 

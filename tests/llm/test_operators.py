@@ -153,6 +153,26 @@ def test_pii_discovers_by_context_and_redacts(spark):
     assert pii.spans(frame(spark, [])).count() == 0
 
 
+def test_pii_query_against_the_four_patterns(spark):
+    """Every column of the base spans, over whole real texts and mixed kinds."""
+    import hashlib
+
+    import pyarrow.parquet as pq
+
+    from eventfold.llm import pii
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"])
+    mixed = ["a@b.co 1.2.3.4 +44 20 7946 0958 4111 1111 1111 1111", "a@b.co a@b.co 9.9.9.9", "+1 (555) 010-9999 +1 (555) 010-9998 x@y.org", "300.1.1.1 4111111111111112"]
+    rows = list(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)) + [(10**6 + i, t) for i, t in enumerate(mixed)]
+    want = {}
+    for i, t in rows:
+        base = base_spans(t or "")
+        text = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base)
+        want[i] = (*[sum(x[0] == k for x in base) for k in range(4)], hashlib.sha256(text.encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.spans(frame(spark, rows)).collect()}
+    assert got == want
+    assert got[10**6][:4] == (1, 1, 1, 1) and got[10**6 + 1][:4] == (2, 1, 0, 0) and got[10**6 + 2][:4] == (1, 0, 0, 2)
+
+
 def test_suffixes_against_all_windows(spark, texts):
     from eventfold.llm import suffixes
     texts = [(i, t if t is None or len(t) < 5000 else t[:600]) for i, t in texts]
