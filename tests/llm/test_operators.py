@@ -161,7 +161,7 @@ def test_pii_query_against_the_four_patterns(spark):
 
     from eventfold.llm import pii
     table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"])
-    mixed = ["a@b.co 1.2.3.4 +44 20 7946 0958 4111 1111 1111 1111", "a@b.co a@b.co 9.9.9.9", "+1 (555) 010-9999 +1 (555) 010-9998 x@y.org", "300.1.1.1 4111111111111112"]
+    mixed = ["a@b.co 1.2.3.4 call +44 20 7946 0958 card 4111 1111 1111 1111", "a@b.co a@b.co 9.9.9.9", "+1 (555) 010-9999 or +1 (555) 010-9998 x@y.org", "300.1.1.1 4111111111111112"]
     rows = list(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)) + [(10**6 + i, t) for i, t in enumerate(mixed)]
     want = {}
     for i, t in rows:
