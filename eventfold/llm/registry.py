@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm import bpe, decontamination, langid, pii, quality, resharding, setjoin, suffixes, token_counts, urls
+from eventfold.llm import (alignment, bpe, conversations, decontamination, langid, neighbours, pii, quality, resharding, setjoin, suffixes,
+                           token_counts, urls)
 from eventfold.llm.common import documents
 
 
@@ -53,11 +54,23 @@ def op10_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_join(documents(spark, sf_dir))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op2_resharding, op3_pii, op4_token_counts, op5_suffixes, op6_quality, op7_langid, op8_urls, op9_decontamination, op10_setjoin, pipeline)}
+    op1_bpe, op2_resharding, op3_pii, op4_token_counts, op5_suffixes, op6_quality, op7_langid, op8_urls, op9_decontamination, op10_setjoin, op11_neighbours, op12_alignment, op13_conversations, pipeline)}
 
 ORACLE = {"op6_quality": quality.oracle(), "op8_urls": urls.oracle()}
