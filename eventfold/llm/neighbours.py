@@ -1,6 +1,6 @@
 """Operator 11: approximate nearest neighbours by shifted space-filling curves.
 
-Equal vectors are one class, named by its smallest id; of a class only its
+Equal vectors are one class, led by its smallest id; of a class only its
 smallest ids can be reported, so eleven are kept (the limit is applied before
 the shuffle). Each of several orderings projects the vectors to a few random
 directions, turns each direction into levels of equal frequency with a random
@@ -104,10 +104,10 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
-def nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int,
+def nearest(queries: np.ndarray, rows: np.ndarray, leads: np.ndarray, k: int,
             allowed: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the k nearest rows as (distances, ids), ties to the smaller
-    id. The product form only preselects, with room for its rounding; the
+    """For each query the k nearest rows as (distances, places), ties to the
+    smaller lead. The product form only preselects, with room for its rounding; the
     distance is that of the differences."""
     near = (queries ** 2).sum(1)[:, None] + (rows ** 2).sum(1)[None, :] - 2 * (queries @ rows.T)
     room = 1e-9 * (1 + np.abs(queries).max(initial=0) ** 2 + np.abs(rows).max(initial=0) ** 2) * rows.shape[1]
@@ -118,11 +118,21 @@ def nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int,
         bound = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
         at = np.flatnonzero((d <= bound + room) & (d < np.inf))
         exact = np.sqrt(((rows[at] - queries[i]) ** 2).sum(1))
-        order = np.lexsort((ids[at], exact))[:k]
-        out.append((exact[order], ids[at][order]))
+        order = np.lexsort((leads[at], exact))[:k]
+        out.append((exact[order], at[order]))
     return out
 
 
+FOUND = "qid long, cid long, lead long, score double"
+
+
+def listed(queries: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], cids: pa.Array, leads: pa.Array) -> pa.RecordBatch:
+    """What ``nearest`` found, one row each."""
+    at = pa.array(np.concatenate([c for _, c in found]))
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, [len(d) for d, _ in found])), cids.take(at), leads.take(at),
+                                       pa.array(np.concatenate([d for d, _ in found]))], ["qid", "cid", "lead", "score"])
+
+
 def taking_part(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     """(vec_id, v) of the rows that take part, and the vectors' length (0: none)."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
@@ -134,15 +144,17 @@ def taking_part(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFram
 
 
 def classes_of(rows: DataFrame, keep: int) -> DataFrame:
-    """(cid, ids, v): equal vectors as one class with its smallest ids."""
+    """(cid, lead, ids, v): equal vectors as one class with its smallest ids.
+    Ids may repeat, so a class has a number of its own, fixed once written."""
     order = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= keep)
-    return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("cid"), "ids", "v")
+    return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(
+        F.monotonically_increasing_id().alias("cid"), F.get("ids", F.lit(0)).alias("lead"), "ids", "v")
 
 
 def sample_of(classes: DataFrame, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``n`` classes, taken by a hash of their id: (ids, vectors)."""
-    got = classes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(n).toArrow()
+    """At most ``n`` classes, taken by a hash of their lead: (ids, vectors)."""
+    got = classes.select("cid", "v").orderBy(F.xxhash64("lead"), "lead", "cid").limit(n).toArrow()
     return got["cid"].to_numpy(), matrix(got["v"].combine_chunks(), dim)
 
 
@@ -181,17 +193,14 @@ def fit_window(classes: DataFrame, places: DataFrame, dim: int, k: int, target:
     sample of classes. Only these neighbours' places come to the driver."""
     spark = classes.sparkSession
     ids, vectors = sample_of(classes, sample, dim)
-    # A sample taken by the same hash would always hold the levels' own classes; it does no harm to the window.
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = nearest(vectors, matrix(batch.column(1), dim), batch.column(0).to_numpy(), k + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, [len(d) for d, _ in found])), pa.array(np.concatenate([c for _, c in found])),
-                     pa.array(np.concatenate([d for d, _ in found]))], ["qid", "cid", "score"])
+                yield listed(ids, nearest(vectors, matrix(batch.column(2), dim), batch.column(1).to_numpy(), k + 1), *batch.columns[:2])
 
-    near = classes.select("cid", "v").mapInArrow(scan, "qid long, cid long, score double").where("qid <> cid")
-    best = near.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("score", "cid"))).where(F.col("rn") <= k)
+    near = classes.select("cid", "lead", "v").mapInArrow(scan, FOUND).where("qid <> cid")
+    best = near.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("score", "lead", "cid"))).where(F.col("rn") <= k)
     pairs = [(r["qid"], r["cid"]) for r in best.select("qid", "cid").collect()]
     if not pairs:
         return LEAST_WINDOW
@@ -204,18 +213,18 @@ def fit_window(classes: DataFrame, places: DataFrame, dim: int, k: int, target:
 
 
 def windows(classes: DataFrame, asked: DataFrame, places: DataFrame, orderings: list[int], window: int, dim: int, k: int) -> DataFrame:
-    """(qid, cid, score) of the k nearest classes of each query class in each
+    """(qid, cid, lead, score) of the k nearest classes of each query class in each
     block that its windows in these orderings reach."""
     there = places.where(F.col("t").isin(orderings))
-    held = there.join(classes.select("cid", "v"), "cid").select(
-        "t", F.floor(F.col("pos") / BLOCK).cast("long").alias("block"), F.lit(0).alias("kind"), "cid", "pos", "v")
+    held = there.join(classes.select("cid", "lead", "v"), "cid").select(
+        "t", F.floor(F.col("pos") / BLOCK).cast("long").alias("block"), F.lit(0).alias("kind"), "cid", "lead", "pos", "v")
     reach = F.sequence(F.floor(F.greatest(F.col("pos") - window, F.lit(0)) / BLOCK).cast("long"), F.floor((F.col("pos") + window) / BLOCK).cast("long"))
-    asking = there.join(asked.select("cid").join(classes.select("cid", "v"), "cid"), "cid").select(
-        "t", F.explode(reach).alias("block"), F.lit(1).alias("kind"), "cid", "pos", "v")
+    asking = there.join(asked.select("cid").join(classes.select("cid", "lead", "v"), "cid"), "cid").select(
+        "t", F.explode(reach).alias("block"), F.lit(1).alias("kind"), "cid", "lead", "pos", "v")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, parts = None, []  # the block's rows come before its queries
-        rows = ids = pos = None
+        rows = cids = leads = pos = None
         for batch in batches:
             t, block, kind = (batch.column(i).to_numpy() for i in range(3))
             cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
@@ -224,23 +233,21 @@ def windows(classes: DataFrame, asked: DataFrame, places: DataFrame, orderings:
                     continue
                 if (t[s], block[s]) != here:
                     here, parts, rows = (t[s], block[s]), [], None
-                piece = [batch.column(3).to_numpy()[s:e], batch.column(4).to_numpy()[s:e], matrix(batch.column(5).slice(s, e - s), dim)]
+                piece = [*(batch.column(i).to_numpy()[s:e] for i in (3, 4, 5)), matrix(batch.column(6).slice(s, e - s), dim)]
                 if kind[s] == 0:
                     parts.append(piece)
                     rows = None
                 elif parts:
                     if rows is None:
-                        ids, pos, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
+                        cids, leads, pos, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
                     for a in range(0, e - s, 256):
-                        q, at, vec = (x[a:a + 256] for x in piece)
-                        found = nearest(vec, rows, ids, k, np.abs(at[:, None] - pos[None, :]) <= window)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.repeat(q, [len(d) for d, _ in found])), pa.array(np.concatenate([c for _, c in found])),
-                             pa.array(np.concatenate([d for d, _ in found]))], ["qid", "cid", "score"])
+                        q, _, at, vec = (x[a:a + 256] for x in piece)
+                        found = nearest(vec, rows, leads, k, np.abs(at[:, None] - pos[None, :]) <= window)
+                        yield listed(q, found, pa.array(cids), pa.array(leads))
 
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return held.unionByName(asking).repartition(n, "t", "block").sortWithinPartitions("t", "block", "kind") \
-        .mapInArrow(look, "qid long, cid long, score double")
+        .mapInArrow(look, FOUND)
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, target: float = 0.96, orderings: int = ORDERINGS,
@@ -262,8 +269,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, target: float
         part = staged(windows(classes, asked, places, list(range(first, min(first + AT_ONCE, orderings))), window, dim, k + 1), "ann-found")
         found = part if found is None else found.unionByName(part)
     # The same class from several windows has the same distance.
-    merged = found.groupBy("qid", "cid").agg(F.min("score").alias("score"))
-    best = merged.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("score", "cid"))).where(F.col("rn") <= k + 1)
+    merged = found.groupBy("qid", "cid", "lead").agg(F.min("score").alias("score"))
+    best = merged.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("score", "lead", "cid"))).where(F.col("rn") <= k + 1)
     lists = best.join(classes.select("cid", "ids"), "cid").groupBy("qid").agg(
         F.sort_array(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("score"), i.alias("id")))))).alias("near"))
     # One occurrence of the query itself goes: its own row, at distance 0.
