@@ -3,10 +3,9 @@
 A text's tokens of both tokenizers are byte ranges of space+text. Where a token
 of each ends at the same byte, both are cut; between cuts lies a group. Most
 groups are one token to one: there the two arrays of ends agree at a fixed
-index shift. ``cuts`` probes that shift with stretches of 1, 2, 4, ... ends,
-compared as bytes, halves the stretch in which they part, and so jumps a run
-in logarithmic time; the irregular group behind it is resolved end by end,
-which gives the next shift.
+index shift. ``cuts`` probes that shift with stretches of 8, 16, 32, ... ends,
+compared as bytes, and so jumps a run in a logarithmic number of steps; the
+irregular group behind it is resolved end by end, which gives the next shift.
 
 Links are all pairs of one token of each side in a group. How many documents
 hold an id pair linked is counted over the corpus:
@@ -30,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import sys
 from collections.abc import Iterator
@@ -62,6 +62,16 @@ class Tokens:
 
 
 class ByteLevel(Tokens):
+    """A byte-level BPE file's ids. Where its ids are in the order of its merges
+    and its pre-tokens are the usual ones, the same vocabulary as ranks gives
+    the same ids in a third of the time (all code points are tested); a text
+    of over ``LONG`` characters is left to the file's own library, whose time
+    does not depend on how long a pre-token is."""
+
+    LONG = 1 << 16
+    #: The pre-tokens that the file names by its ``ByteLevel`` step (fixed value).
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -76,8 +86,21 @@ class ByteLevel(Tokens):
             known = all(c in alphabet for c in token)
             self.bytes.append(bytes(alphabet[c] for c in token) if known else token.encode())
         self.flat()
+        self.ranks = self.by_rank(json.loads(spec))
+
+    def by_rank(self, spec: dict):
+        import tiktoken
+        model, step = spec["model"], spec["pre_tokenizer"] or {}
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        usual = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") \
+            and not spec["normalizer"] and not model.get("ignore_merges")
+        if not usual or [model["vocab"].get(m) for m in merged] != list(range(256, 256 + len(merged))) or len(model["vocab"]) != 256 + len(merged):
+            return None
+        return tiktoken.Encoding("byte level", pat_str=self.PATTERN, mergeable_ranks={self.bytes[i]: i for i in model["vocab"].values()}, special_tokens={})
 
     def ids(self, texts: list[str]) -> list[list[int]]:
+        if self.ranks and max(map(len, texts), default=0) <= self.LONG:
+            return [self.ranks.encode_ordinary(t) for t in texts]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -94,24 +117,19 @@ class Pieces(Tokens):
 
 
 def run_length(a: bytes, b: bytes, i: int, j: int, most: int) -> int:
-    """How many ends agree from a[i] and b[j] on (ends of 4 bytes each)."""
-    done, width = 0, 1
+    """How many ends agree from a[i] and b[j] on (ends of 4 bytes each):
+    stretches of 8, 16, 32, ... are compared; where one differs, its lowest
+    differing bit tells at which end."""
+    done, width = 0, 8
     while done < most:
         width = min(width, most - done)
-        s, t = 4 * (i + done), 4 * (j + done)
-        if a[s:s + 4 * width] == b[t:t + 4 * width]:
-            done += width
-            width *= 2
-            continue
-        while width > 1:  # they part within: halve
-            half = width // 2
-            s, t = 4 * (i + done), 4 * (j + done)
-            if a[s:s + 4 * half] == b[t:t + 4 * half]:
-                done += half
-                width -= half
-            else:
-                width = half
-        break
+        s, t, size = 4 * (i + done), 4 * (j + done), 4 * width
+        x, y = a[s:s + size], b[t:t + size]
+        if x != y:
+            differ = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+            return done + ((differ & -differ).bit_length() - 1) // 32
+        done += width
+        width *= 2
     return done
 
 
@@ -120,87 +138,100 @@ def cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     list_a, list_b = ends_a.tolist(), ends_b.tolist()
     raw_a, raw_b = ends_a.tobytes(), ends_b.tobytes()
     n, m = len(list_a), len(list_b)
-    cut_a, cut_b = [], []
+    runs = []  # first token of A, of B, cuts on this diagonal
     i = j = 0
     while i < n and j < m:
         x, y = list_a[i], list_b[j]
         if x == y:
             run = run_length(raw_a, raw_b, i, j, min(n - i, m - j))
-            cut_a.extend(range(i + 1, i + run + 1))
-            cut_b.extend(range(j + 1, j + run + 1))
-            i, j = i + run, j + run
-            continue
-        while x != y:  # both end at the same byte at last
-            if x < y:
-                i += 1
-                x = list_a[i]
-            else:
-                j += 1
-                y = list_b[j]
-        i, j = i + 1, j + 1
-        cut_a.append(i)
-        cut_b.append(j)
-    return np.array(cut_a, np.int64), np.array(cut_b, np.int64)
-
-
-def group_text(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``: decimal digits and separators laid out in numpy."""
-    groups = len(cut_a)
-    ids = np.concatenate([ids_a, ids_b])
-    sep = np.full(len(ids), ord(","), np.uint8)
-    sep[cut_a - 1] = ord("|")
-    sep[len(ids_a) + cut_b - 1] = ord(";")
-    of = np.concatenate([2 * np.repeat(np.arange(groups), np.diff(cut_a, prepend=0)), 2 * np.repeat(np.arange(groups), np.diff(cut_b, prepend=0)) + 1])
-    order = np.argsort(of, kind="stable")
-    ids, sep = ids[order], sep[order]
-    width = len(str(int(ids.max())))
-    digits = np.empty((len(ids), width + 1), np.uint8)
-    rest = ids.copy()
-    for k in range(width - 1, -1, -1):
-        digits[:, k] = 48 + rest % 10
-        rest //= 10
-    digits[:, width] = sep
-    lengths = np.ones(len(ids), np.int64)
-    for k in range(1, width):
-        lengths += ids >= 10 ** k
-    return digits[np.arange(width + 1)[None, :] >= (width - lengths)[:, None]].tobytes()[:-1]
-
-
-def links(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct id pairs (a << 32 | b) of one text and how often each is linked."""
-    start_a, start_b = np.append(0, cut_a[:-1]), np.append(0, cut_b[:-1])
-    p, q = cut_a - start_a, cut_b - start_b
-    each = p * q
-    few = np.flatnonzero(each <= SMALL)
-    total = each[few]
-    at = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-    g = np.repeat(few, total)
-    pair = (ids_a[start_a[g] + at // q[g]] << 32) | ids_b[start_b[g] + at % q[g]]
-    pairs, times = [pair], [np.ones(len(pair), np.int64)]
-    for x in np.flatnonzero(each > SMALL):  # by distinct ids
-        a, na = np.unique(ids_a[start_a[x]:cut_a[x]], return_counts=True)
-        b, nb = np.unique(ids_b[start_b[x]:cut_b[x]], return_counts=True)
-        pairs.append(((a[:, None] << 32) | b[None, :]).ravel())
-        times.append((na[:, None] * nb[None, :]).ravel())
-    every, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
-    return every, np.bincount(inverse, weights=np.concatenate(times), minlength=len(every)).astype(np.int64)
-
-
-def aligned(ids_a: list[int], ids_b: list[int], a: Tokens, b: Tokens) -> tuple:
-    """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of one text's ids."""
-    x, y = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-    cut_a, cut_b = cuts(np.cumsum(a.size[x]).astype("<i4"), np.cumsum(b.size[y]).astype("<i4"))
-    pairs, times = links(x, y, cut_a, cut_b)
-    return len(x), len(y), len(cut_a), int(times.sum()), hashlib.sha256(group_text(x, y, cut_a, cut_b)).hexdigest(), pairs, times
-
-
-NOTHING = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+        else:
+            while x != y:  # both end at the same byte at last
+                if x < y:
+                    i += 1
+                    x = list_a[i]
+                else:
+                    j += 1
+                    y = list_b[j]
+            run = 1
+        runs += (i, j, run)
+        i += run
+        j += run
+    first_a, first_b, length = np.array(runs, np.int64).reshape(-1, 3).T
+    along = np.arange(1, length.sum() + 1) - np.repeat(np.cumsum(length) - length, length)
+    return np.repeat(first_a, length) + along, np.repeat(first_b, length) + along
+
+
+class Groups:
+    """The groups of a slice's texts, token numbers counting over all of them."""
+
+    def __init__(self, ids_a: list[np.ndarray], ids_b: list[np.ndarray], cut: list[tuple[np.ndarray, np.ndarray]]):
+        self.n_a, self.n_b, self.n = (np.array([len(x) for x in y], np.int64) for y in (ids_a, ids_b, [c[0] for c in cut]))
+        empty = [np.zeros(0, np.int64)]
+        self.a, self.b = np.concatenate(ids_a + empty), np.concatenate(ids_b + empty)
+        self.end_a = np.concatenate([c[0] for c in cut] + empty) + np.repeat(np.cumsum(self.n_a) - self.n_a, self.n)
+        self.end_b = np.concatenate([c[1] for c in cut] + empty) + np.repeat(np.cumsum(self.n_b) - self.n_b, self.n)
+        self.start_a, self.start_b = np.append(0, self.end_a)[:-1], np.append(0, self.end_b)[:-1]
+        self.size_a, self.size_b = self.end_a - self.start_a, self.end_b - self.start_b
+
+    def text(self) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3`` for each text: digits from a table and
+        separators laid out in numpy, A tokens of a group before its B tokens."""
+        total = len(self.a) + len(self.b)
+        ids, sep = np.empty(total, np.int64), np.full(total, ord(","), np.uint8)
+        ids[np.arange(len(self.a)) + np.repeat(self.start_b, self.size_a)] = self.a
+        ids[np.arange(len(self.b)) + np.repeat(self.end_a, self.size_b)] = self.b
+        sep[self.end_a + self.start_b - 1] = ord("|")
+        sep[self.end_a + self.end_b - 1] = ord(";")
+        digits, lengths = decimals(int(ids.max(initial=0)) + 1)
+        out, size = digits[ids], lengths[ids]
+        out[np.arange(total), size] = sep
+        flat = out[np.arange(digits.shape[1])[None, :] <= size[:, None]].tobytes()
+        byte = np.append(0, np.cumsum(size + 1))[np.append(0, np.cumsum(self.n_a + self.n_b))].tolist()
+        return [flat[s:e - 1] if e > s else b"" for s, e in zip(byte, byte[1:], strict=False)]
+
+    def links(self, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, a * many + b, times): the distinct id pairs of each text in
+        order, and how often each is linked. A large group goes by its distinct ids."""
+        each = self.size_a * self.size_b
+        text = np.repeat(np.arange(len(self.n)), self.n)
+        few = np.flatnonzero(each <= SMALL)
+        total = each[few]
+        at = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+        g = np.repeat(few, total)
+        span = (int(self.a.max(initial=0)) + 1) * many
+        keys = [text[g] * span + self.a[self.start_a[g] + at // self.size_b[g]] * many + self.b[self.start_b[g] + at % self.size_b[g]]]
+        large = np.flatnonzero(each > SMALL)
+        times = [np.ones(len(g), np.int64)] if len(large) else []
+        for x in large:
+            a, na = np.unique(self.a[self.start_a[x]:self.end_a[x]], return_counts=True)
+            b, nb = np.unique(self.b[self.start_b[x]:self.end_b[x]], return_counts=True)
+            keys.append(text[x] * span + (a[:, None] * many + b[None, :]).ravel())
+            times.append((na[:, None] * nb[None, :]).ravel())
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable") if len(large) else None
+        key = key[order] if len(large) else np.sort(key)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        held = np.add.reduceat(np.concatenate(times)[order], first) if len(large) else np.diff(np.append(first, len(key)))
+        return key[first] // span, key[first] % span, held
+
+
+def decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of 0 to n - 1, left-aligned with one place to spare, and their number."""
+    held = worker_state("decimals", dict)
+    if held.get("n", 0) < n:
+        words = [str(i).encode() for i in range(n)]
+        width = len(words[-1]) + 1
+        held.update(n=n, digits=np.frombuffer(b"".join(w.ljust(width) for w in words), np.uint8).reshape(n, width),
+                    lengths=np.array([len(w) for w in words], np.int64))
+    return held["digits"], held["lengths"]
+
+
 FIGURES = "doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,held:int"
 SLICES = f"slice long, figures array<struct<{FIGURES}>>, held array<int>, times array<bigint>, pairs array<bigint>, documents array<int>"
 
 
-def slices(docs: DataFrame, vocabulary: str, model: str, id_col: str, text_col: str) -> DataFrame:
-    """Step 1. ``held`` are a document's pairs as places in ``pairs``, one
+def slices(docs: DataFrame, vocabulary: str, model: str, many: int, id_col: str, text_col: str) -> DataFrame:
+    """Step 1. A pair is a * ``many`` + b. ``held`` are a document's pairs as places in ``pairs``, one
     document after the other."""
     spark = docs.sparkSession
     with open(model, "rb") as f:
@@ -214,42 +245,51 @@ def slices(docs: DataFrame, vocabulary: str, model: str, id_col: str, text_col:
         a, b = worker_state(("alignment", vocabulary, model), lambda: (ByteLevel(sources.value[0]), Pieces(base64.b64decode(sources.value[1]))))
         for batch in by_bytes(batches, limit=SLICE):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            out = []
+            ids_a, ids_b, cut = [], [], []
+            none = np.zeros(0, np.int64)
             for first in range(0, len(texts), 64):
                 some = texts[first:first + 64]
                 whole = [f" {t}" for t in some]
                 for text, spaced, x, y in zip(some, whole, a.ids(whole), b.ids(some), strict=True):
                     own = spaced.encode()
                     same = text and a.joined(x) == own and b.joined(y) == own
-                    out.append(aligned(x, y, a, b) if same else NOTHING)
-            held = [x[5] for x in out]
-            pairs, inverse, documents = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-            figures = [dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "held"), (i, *x[:5], len(x[5])), strict=True))
-                       for i, x in zip(batch.column(0).to_pylist(), out, strict=True)]
-            one = lambda v, t: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t))
+                    x, y = (np.array(x, np.int64), np.array(y, np.int64)) if same else (none, none)
+                    ids_a.append(x)
+                    ids_b.append(y)
+                    cut.append(cuts(np.cumsum(a.size[x]).astype("<i4"), np.cumsum(b.size[y]).astype("<i4")) if same else (none, none))
+            groups = Groups(ids_a, ids_b, cut)
+            of, pair, times = groups.links(many)
+            pairs, held, documents = np.unique(pair, return_inverse=True, return_counts=True)
+            sums = np.bincount(of, weights=times, minlength=len(texts)).astype(np.int64)
+            sha = [hashlib.sha256(x).hexdigest() if x else "" for x in groups.text()]
+            figures = pa.StructArray.from_arrays(
+                [batch.column(0), pa.array(groups.n_a), pa.array(groups.n_b), pa.array(groups.n), pa.array(sums), pa.array(sha, pa.string()),
+                 pa.array(np.bincount(of, minlength=len(texts)).astype(np.int32))], fields=list(struct))
+            one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([made], pa.int64()), pa.array([figures], pa.list_(struct)), one(inverse.astype(np.int32), pa.int32()),
-                 one(np.concatenate([x[6] for x in out]), pa.int64()), one(pairs, pa.int64()), one(documents.astype(np.int32), pa.int32())],
+                [pa.array([made], pa.int64()), one(figures), one(held.astype(np.int32)), one(times.astype(np.int64)), one(pairs), one(documents.astype(np.int32))],
                 ["slice", "figures", "held", "times", "pairs", "documents"])
             made += 1
 
     return staged(id_text(docs, id_col, text_col).mapInArrow(run, SLICES), "alignment-slices")
 
 
-def pair_counts(parts: DataFrame) -> DataFrame:
+def pair_counts(parts: DataFrame, many: int) -> DataFrame:
     """Step 2: (pair, n, best): documents that hold the pair, and whether no
     other pair of its A id is held by more."""
     held = parts.select(F.explode(F.arrays_zip("pairs", "documents")).alias("x"))
     sums = staged(held.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.documents").alias("n")), "alignment-pairs")
-    a = F.shiftright("pair", 32)
+    a = F.expr(f"pair div {many}")
     highest = sums.groupBy(a.alias("a")).agg(F.max("n").alias("most"))
     return sums.withColumn("a", a).join(highest, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
 def align(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, pairs): the query's rows, and (pair = a << 32 | b, n, best)."""
-    parts = slices(docs, vocabulary, model, id_col, text_col)
-    pairs = staged(pair_counts(parts), "alignment-counts")
+    """(documents, pairs): the query's rows, and (a, b, n, best) of the id pairs."""
+    import sentencepiece
+    many = sentencepiece.SentencePieceProcessor(model_file=model).get_piece_size()
+    parts = slices(docs, vocabulary, model, many, id_col, text_col)
+    pairs = staged(pair_counts(parts, many), "alignment-counts")
     # a slice's pairs are sorted, so what comes back is found by value
     back = parts.select("slice", F.explode("pairs").alias("pair")).join(pairs, "pair").groupBy("slice") \
         .agg(F.sort_array(F.collect_list(F.struct("pair", "n", "best"))).alias("known")) \
@@ -272,4 +312,4 @@ def align(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id",
 
     out = parts.drop("pairs", "documents").join(back, "slice", "left").select(
         "figures", "held", "times", F.coalesce("n", F.array().cast("array<bigint>")).alias("n"), F.coalesce("best", F.array().cast("array<boolean>")).alias("best"))
-    return out.mapInArrow(run, schema), pairs
+    return out.mapInArrow(run, schema), pairs.select(F.expr(f"pair div {many}").alias("a"), (F.col("pair") % many).alias("b"), "n", "best")

@@ -108,3 +108,17 @@ def test_run_length_jumps():
 
 def test_empty_table(spark):
     assert rows_of(spark, []) == []
+
+
+def test_ranks_give_the_files_ids():
+    """Every code point between, beside and after letters, numbers and blanks; long pre-tokens; blanks."""
+    from eventfold.llm import alignment
+    from eventfold.llm.bpe import read_text
+    a = alignment.ByteLevel(read_text(public_tokenizers.path(A)))
+    assert a.ranks
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for s in range(0, len(points), 4096):
+        texts = ["".join(f" ab{chr(c)}cd 1{chr(c)}2{chr(c)} {chr(c)}{chr(c)}'s\n" for c in points[s + k:s + k + 64]) for k in range(0, 4096, 64)]
+        assert a.ids(texts) == [e.ids for e in a.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for long in ("a" * 60000, " " * 60000, "^" * 60000, "é" * 60000, "1 " * 30000, "\n" * 50000 + "x"):
+        assert a.ids([long]) == [a.tokenizer.encode(long, add_special_tokens=False).ids]
