@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventfold.functions.expr import atoi, canonical_uuid, is_uuid, normalise_event_name
-from eventfold.schema import RECORD_COLUMNS
+from eventfold.schema import RAW_RECORD, RECORD_COLUMNS
 
 # Functions of this module run inside Python workers (Arrow / state API);
 # pickle them by value so executors need not have the package installed.
@@ -180,6 +180,15 @@ def reached(lines: DataFrame) -> DataFrame:
     return lines.groupBy("source").agg(F.max("file_position").alias("offset"))
 
 
+def raw_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lines -> (records, quarantine) before user routing: ids and user_id are
+    the text of the input, whatever they hold."""
+    extra = [c for c in ("source", "position") if c in lines.columns]
+    checked = checked_lines(lines)
+    raw = checked.filter(F.col("reason").isNull()).select(*[F.col(f"f_{f}").alias(f) for f in RAW_RECORD.fieldNames()], *extra)
+    return raw, checked.filter(F.col("reason").isNotNull()).select("value", *extra, "reason")
+
+
 def parse_lines(lines: DataFrame, require_uuid: bool = False,
                 canonical_ids: bool = False, normalise_names: bool = False
                 ) -> tuple[DataFrame, DataFrame]:
