@@ -35,8 +35,10 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
 
 
 def integrity(events: DataFrame, customers: DataFrame, changes: DataFrame | None = None,
-              customer_key: str = "id") -> DataFrame:
-    """All key violations as rows (check, id, user_id)."""
+              customer_key: str = "id", records: DataFrame | None = None) -> DataFrame:
+    """All key violations as rows (check, id, user_id): orphans of ``events`` and
+    ``changes``, and repeated keys of customers, of ``records`` (id) and of the
+    changelog (change_id where it is numbered, else the assertion's position and name)."""
     parts = [orphans(events, "user_id", customers, customer_key)
              .select(F.lit("orphan_event").alias("check"), F.col("id").cast("string").alias("id"),
                      "user_id")]
@@ -47,6 +49,14 @@ def integrity(events: DataFrame, customers: DataFrame, changes: DataFrame | None
     parts.append(duplicate_keys(customers, customer_key, "customer")
                  .select(F.lit("duplicate_customer").alias("check"), F.col("key").alias("id"),
                          F.lit(None).cast("bigint").alias("user_id")))
+    repeated = [] if records is None else [("duplicate_record", records, F.col("id"))]
+    if changes is not None:
+        numbered = "change_id" in changes.columns
+        key = F.col("change_id") if numbered else F.concat_ws(":", "position", "name")
+        repeated.append(("duplicate_change", changes, key.cast("string")))
+    for check, rows, key in repeated:
+        parts.append(duplicate_keys(rows.select(key.alias("key_")), "key_", check)
+                     .select(F.lit(check).alias("check"), F.col("key").alias("id"), F.lit(None).cast("bigint").alias("user_id")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -8,9 +8,12 @@ pushed down, then a top-k), which costs the same for every page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventfold.operators.events import event_records
+from eventfold.operators.profiles import profiles_of
+
 # Reply defaults for page and page size.
 DEFAULT_PAGE = 1
 DEFAULT_PER_PAGE = 25
@@ -78,3 +81,51 @@ def list_reply_json(profile_json: DataFrame, page=None, per_page=None) -> DataFr
     customers = F.array_join(F.transform("_c", lambda c: c["json"]), ",")
     return folded.select(F.concat(F.lit('{"customers":['), customers, F.lit('],"meta":'),
                                   F.col("_m"), F.lit("}")).alias("json"))
+
+
+def write_page_index(ids: DataFrame, path: str, per_file: int = 1_000_000) -> DataFrame:
+    """T3 index over unique ``id``s: files of id ranges under ``path``/ids, and
+    (file, n, before) of each under ``path``/files. A page is then one or two
+    files, found by the running counts, whatever its number; no page reads or
+    folds the rest. Built once for a set of customers."""
+    spark = ids.sparkSession
+    ranged = ids.select("id").where("id is not null")
+    n = max(1, -(-ranged.count() // per_file))
+    ranged.repartitionByRange(n, "id").sortWithinPartitions("id").write.mode("error").parquet(f"{path}/ids")
+    files = (spark.read.schema("id bigint").parquet(f"{path}/ids")
+             .groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("_first")))
+    before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files.select("file", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).write.mode("error").parquet(f"{path}/files")
+    return spark.read.parquet(f"{path}/files")
+
+
+def page_ids(spark: SparkSession, path: str, page=None, per_page=None) -> tuple[DataFrame, dict]:
+    """(ids of a page, meta): only the files that hold the page are read."""
+    page, per_page = page_params(page, per_page)
+    files = spark.read.schema("file string, n bigint, before bigint").parquet(f"{path}/files")
+    total = files.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    skip = (page - 1) * per_page
+    held = files.where((F.col("before") < skip + per_page) & (F.col("before") + F.col("n") > skip)).orderBy("before").collect()
+    meta = {"page": 1 if total <= skip else page, "per_page": per_page, "total": total}
+    if not held:
+        return spark.createDataFrame([], "id bigint"), meta
+    ids = spark.read.schema("id bigint").parquet(*[r["file"] for r in held])
+    return ids.orderBy("id").offset(skip - held[0]["before"]).limit(per_page), meta
+
+
+def indexed_page(records: DataFrame, path: str, page=None, per_page=None) -> DataFrame:
+    """A page of profiles from deduplicated records: the page's ids come from the
+    index, and only their records are folded."""
+    return profiles_of(records, page_ids(records.sparkSession, path, page, per_page)[0])
+
+
+def list_events(records: DataFrame, page=None, per_page=None) -> DataFrame:
+    """A page of event records in order of arrival (then id)."""
+    page, per_page = page_params(page, per_page)
+    return event_records(records).orderBy("position", "id").offset((page - 1) * per_page).limit(per_page)
+
+
+def events_after(records: DataFrame, position: int, per_page=None) -> DataFrame:
+    """P8 by key: the next events after a position, at the same cost for any."""
+    _, per_page = page_params(None, per_page)
+    return event_records(records).where(F.col("position") > position).orderBy("position", "id").limit(per_page)

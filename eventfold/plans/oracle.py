@@ -420,3 +420,94 @@ ORACLE["stream_dedup_watermark"] = ORACLE["stream_dedup"]
 for name in ("stream_event_counts", "stream_latest_attributes", "stream_attribute_changes",
              "stream_dedup", "stream_dedup_watermark"):
     ORACLE[f"{name}_batches"] = ORACLE[name]
+
+ORACLE["ndjson_raw"] = with_records(f"""
+SELECT id, type, name, CAST(user_id AS VARCHAR) AS user_id, timestamp, {DATA_JSON} AS data_json
+FROM recs WHERE NOT COALESCE({BAD_LINE}, false)
+""")
+
+# The line of each record, and the bytes up to its end (newline included).
+LINES = f"""
+lines AS (
+  SELECT id, position AS place,
+         '{{"id":"' || id || '","type":"' || type || '"' || COALESCE(',"name":"' || name || '"', '')
+         || COALESCE(',"user_id":"' || CAST(user_id AS VARCHAR) || '"', '') || ',"data":' || {DATA_JSON}
+         || COALESCE(',"timestamp":' || CAST(timestamp AS VARCHAR), '') || '}}' AS line
+  FROM recs
+),
+placed AS (
+  SELECT id, CAST(sum(strlen(line) + 1) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS position FROM lines
+)
+"""
+
+ORACLE["ndjson_positions"] = with_records("SELECT id, position FROM placed", ctes=LINES)
+
+ORACLE["ndjson_resume"] = with_records("""
+SELECT id, position, CASE WHEN position <= (SELECT max(position) FROM placed) // 2 THEN 1 ELSE 2 END AS pass FROM placed
+""", ctes=LINES)
+
+ORACLE["uuid_records"] = with_records("""
+SELECT id, uuid, position % 6 <> 5 AS valid, CASE WHEN position % 6 <> 5 THEN h ELSE uuid END AS canonical
+FROM (SELECT *, CASE position % 6 WHEN 0 THEN plain WHEN 1 THEN upper(plain) WHEN 2 THEN '{' || plain || '}'
+                     WHEN 3 THEN 'urn:uuid:' || plain WHEN 4 THEN h ELSE substr(plain, 1, 35) END AS uuid
+      FROM (SELECT id, position, md5(id) AS h, substr(md5(id), 1, 8) || '-' || substr(md5(id), 9, 4) || '-' || substr(md5(id), 13, 4)
+                   || '-' || substr(md5(id), 17, 4) || '-' || substr(md5(id), 21, 12) AS plain FROM dedup))
+""")
+
+ORACLE["normalised_event_counts"] = ORACLE["event_counts"]
+
+ORACLE["event_page"] = with_records("""
+SELECT id, name, user_id, timestamp, position FROM dedup WHERE type = 'event' ORDER BY position, id LIMIT 25 OFFSET 50
+""")
+
+ORACLE["events_after"] = with_records("""
+SELECT id, name, user_id, timestamp, position FROM dedup WHERE type = 'event' AND position > 1000 ORDER BY position, id LIMIT 25
+""")
+
+ORACLE["profile_page_indexed"] = ORACLE["profile_page"]
+ORACLE["reconcile_digest"] = ORACLE["reconcile_customers"]
+
+ORACLE["integrity"] = with_records("""
+SELECT 'orphan_event' AS "check", id, user_id FROM recs r
+WHERE type = 'event' AND user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = r.user_id)
+UNION ALL
+SELECT 'orphan_change', CAST(position AS VARCHAR), user_id FROM changes k
+WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = k.user_id)
+UNION ALL
+SELECT 'duplicate_customer', CAST(c_custkey AS VARCHAR), NULL FROM customer GROUP BY c_custkey HAVING count(*) > 1
+UNION ALL
+SELECT 'duplicate_record', id, NULL FROM recs GROUP BY id HAVING count(*) > 1
+UNION ALL
+SELECT 'duplicate_change', CAST(position AS VARCHAR) || ':' || name, NULL FROM changes GROUP BY position, name HAVING count(*) > 1
+""")
+
+ORACLE["store_attributes"] = ORACLE["latest_attributes"]
+ORACLE["store_profiles"] = ORACLE["profile_json"]
+
+NUMBERED = """
+numbered AS (
+  SELECT row_number() OVER (ORDER BY position, user_id, name) AS change_id, user_id, name, old_value, value, timestamp, position
+  FROM changes
+)
+"""
+
+ORACLE["store_changes"] = with_records("SELECT * FROM numbered", ctes=NUMBERED)
+ORACLE["changes_by_id"] = with_records("SELECT * FROM numbered WHERE change_id BETWEEN 101 AND 300", ctes=NUMBERED)
+ORACLE["stream_ndjson_changes"] = with_records(
+    "SELECT change_id, user_id, name, old_value, value, timestamp FROM numbered", ctes=NUMBERED)
+
+ORACLE["erase_state"] = with_records("""
+SELECT part, user_id, count(*) AS n FROM (
+  SELECT 'records' AS part, user_id FROM dedup
+  UNION ALL SELECT 'latest', user_id FROM latest
+  UNION ALL SELECT 'counts', user_id FROM counts
+  UNION ALL SELECT 'customers', user_id FROM lu
+  UNION ALL SELECT 'logged', user_id FROM (SELECT DISTINCT user_id, key FROM assertions)
+  UNION ALL SELECT 'changes', user_id FROM changes
+) WHERE user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')
+GROUP BY part, user_id
+""")
+
+ORACLE["merged_changes_event_time"] = ORACLE["attribute_changes_event_time"]
+for name in ("stream_event_counts", "stream_latest_attributes"):
+    ORACLE[f"{name}_upserts"] = ORACLE[name]

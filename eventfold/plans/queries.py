@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.functions.expr import sorted_json
+from eventfold.functions.expr import canonical_uuid, is_uuid, normalise_event_name, sorted_json
 from eventfold.operators import checks, paging
-from eventfold.operators.attributes import last_updated as last_updated_op
+from eventfold.operators.attributes import attribute_assertions, last_updated as last_updated_op
 from eventfold.operators.attributes import latest_attributes as latest_op
 from eventfold.operators.attributes import row_last_arrival as row_last_arrival_op
 from eventfold.operators.changes import attribute_changes as changes_op
@@ -22,6 +22,7 @@ from eventfold.operators.changes import changes_of
 from eventfold.operators.changes import latest_change as latest_change_op
 from eventfold.operators.dedup import dedup_records
 from eventfold.operators.events import anonymous_counts, event_counts as counts_op
+from eventfold.operators.intervals import applied, repair as repair_changes
 from eventfold.operators.merge import fold, load_state, merge_state, save_state
 from eventfold.operators.observed import observed_long
 from eventfold.operators.profiles import (
@@ -33,9 +34,11 @@ from eventfold.operators.profiles import (
     profiles,
     profiles_of,
 )
-from eventfold.operators.reconcile import reconcile_long
+from eventfold.operators.reconcile import reconcile_by_digest, reconcile_long
+from eventfold.operators.store import Store, store_sink
 from eventfold.session import shared_dir
-from eventfold.sources.records import read_records, records_to_ndjson
+from eventfold.sources.ndjson import ledger, listed, read_lines, resume, stream_lines
+from eventfold.sources.records import parse_lines, raw_records, read_records, records_to_ndjson
 from eventfold.sources.summary import read_summary, summary_lines as summary_lines_op, write_summary
 from eventfold.sources.tables import records, table
 
@@ -401,6 +404,191 @@ def ndjson_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select(F.regexp_extract("value", '"(e-[0-9]+)"', 1).alias("id"), "reason")
 
 
+@register
+def ndjson_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 before user routing: every well-typed record as its text has it."""
+    raw, _ = raw_records(read_lines(spark, _ndjson_path(spark, sf_dir)))
+    return raw.select("id", "type", "name", "user_id", "timestamp", sorted_json(F.col("data")).alias("data_json"))
+
+
+def _ordered_ndjson_path(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
+    """The records as lines in order of arrival, in files whose names are in that order."""
+    path = shared_dir(spark, "ndjson-ordered")
+    body = F.to_json(F.struct("id", "type", "name", F.col("user_id").cast("string").alias("user_id"), "data", "timestamp"))
+    records(spark, sf_dir).repartitionByRange(parts, "position").sortWithinPartitions("position") \
+        .select(body.alias("value")).write.text(path)
+    return path
+
+
+def _line_id() -> Column:
+    return F.regexp_extract("value", '"id":"([^"]+)"', 1).alias("id")
+
+
+@register
+def ndjson_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte behind each line, over all files in order, in small ranges."""
+    return read_lines(spark, _ordered_ndjson_path(spark, sf_dir), range_bytes=64 * 1024).select(_line_id(), "position")
+
+
+@register
+def ndjson_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read up to the middle byte, store the ledger, resume from it."""
+    path = _ordered_ndjson_path(spark, sf_dir)
+    end = sum(listed(path).values())
+    reached_ = ledger(spark, path, read_lines(spark, path).where(F.col("position") <= end // 2))
+    stored = shared_dir(spark, "ledger")
+    reached_.write.parquet(stored)
+    until = {r["source"]: r["offset"] for r in spark.read.parquet(stored).collect()}
+    first = read_lines(spark, path, until=until)
+    rest = resume(spark, path, spark.read.parquet(stored))
+    return first.select(_line_id(), "position", F.lit(1).alias("pass")).unionByName(rest.select(_line_id(), "position", F.lit(2).alias("pass")))
+
+
+@register
+def uuid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record ids as UUIDs in each accepted form, and in a form that is none."""
+    raw = dedup_records(records(spark, sf_dir), columns=("type",))
+    h = F.md5(F.col("id").cast("binary"))
+    plain = F.concat_ws("-", *[F.substring(h, s, n) for s, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    form = F.pmod(F.col("position"), F.lit(6))
+    text = (F.when(form == 0, plain).when(form == 1, F.upper(plain)).when(form == 2, F.concat(F.lit("{"), plain, F.lit("}")))
+            .when(form == 3, F.concat(F.lit("urn:uuid:"), plain)).when(form == 4, h).otherwise(F.substring(plain, 1, 35)))
+    return raw.select("id", text.alias("uuid")).select("id", "uuid", is_uuid(F.col("uuid")).alias("valid"), canonical_uuid(F.col("uuid")).alias("canonical"))
+
+
+@register
+def normalised_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event names that differ in case and blanks count as one."""
+    spelt = F.when(F.col("position") % 4 == 1, F.concat(F.lit(" "), F.upper("name"))).otherwise(F.concat(F.initcap("name"), F.lit("  ")))
+    d = deduped(spark, sf_dir, EVENT_COLUMNS)
+    return counts_op(d.withColumn("name", normalise_event_name(spelt)))
+
+
+@register
+def event_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 3 of the event listing."""
+    return paging.list_events(deduped(spark, sf_dir, ("type", "name", "user_id", "timestamp")), PAGE, PER_PAGE) \
+        .select("id", "name", "user_id", "timestamp", "position")
+
+
+@register
+def events_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8 by key: the 25 events after a position."""
+    return paging.events_after(deduped(spark, sf_dir, ("type", "name", "user_id", "timestamp")), 1000, PER_PAGE) \
+        .select("id", "name", "user_id", "timestamp", "position")
+
+
+@register
+def profile_page_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 through an index of id ranges: only the page's customers are folded."""
+    d = deduped(spark, sf_dir)
+    path = shared_dir(spark, "page-index")
+    paging.write_page_index(last_updated_op(d).select(F.col("user_id").alias("id")), path, per_file=100)
+    return paging.indexed_page(d, path, PAGE, PER_PAGE).select("id", "attributes", "events", "n_events")
+
+
+@register
+def reconcile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 by digests, on stored sides: equal customers are never opened."""
+    raw = records(spark, sf_dir)
+    path = shared_dir(spark, "reconcile")
+    exp_long = profile_long(dedup_records(raw))[1]
+    renamed = F.when(F.col("name") == "error", F.lit("fault")).otherwise(F.col("name"))
+    act_ids, act_long = observed_long(raw.withColumn("name", renamed))
+    sides = {"expected": exp_long, "actual_ids": act_ids, "actual": act_long}
+    for name, df in sides.items():
+        df.write.parquet(f"{path}/{name}")
+    stored = {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in sides.items()}
+    exp_ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return reconcile_by_digest(stored["actual_ids"], stored["actual"], exp_ids, stored["expected"])
+
+
+@register
+def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key violation of the raw records, the customers and the changelog."""
+    raw = records(spark, sf_dir)
+    changes = changes_op(dedup_records(raw, columns=ATTRIBUTE_COLUMNS))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return checks.integrity(raw.where("type = 'event'"), customers, changes, records=raw)
+
+
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    """The records merged into a store in two batches, the second with copies of the first's."""
+    b1, b2 = _two_batches(spark, sf_dir)
+    store = Store.create(spark, shared_dir(spark, "store"))
+    store.merge(b1)
+    store.merge(b2)
+    return store
+
+
+@register
+def store_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 through the versioned store: a merge writes its batch's keys only."""
+    return _store(spark, sf_dir).read("latest")
+
+
+@register
+def store_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _store(spark, sf_dir).profiles()
+    return profile_json_op(p)
+
+
+@register
+def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changelog appended by two merges, numbered without gaps."""
+    return _store(spark, sf_dir).changes()
+
+
+@register
+def changes_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes 101 to 300, by their id."""
+    return _store(spark, sf_dir).changes(first=101, last=300)
+
+
+@register
+def erase_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: one market segment's customers erased from every part of the store;
+    what is left of each part, by customer."""
+    store = _store(spark, sf_dir)
+    c = table(spark, sf_dir, "customer")
+    store.erase(c.filter(F.col("c_mktsegment") == ERASE_SEGMENT).select(F.col("c_custkey").alias("id")))
+    out = None
+    for part in ("records", "latest", "counts", "customers", "logged", "changes"):
+        left = store.read(part).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "user_id", "n")
+        out = left if out is None else out.unionByName(left)
+    return out
+
+
+@register
+def merged_changes_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 in event time over three batches that arrive newest first: each later
+    batch repairs only the changes next to its own assertions."""
+    a = attribute_assertions(deduped(spark, sf_dir, ATTRIBUTE_COLUMNS))
+    path = shared_dir(spark, "event-time")
+    third = F.pmod(F.floor(F.col("position") / 600), F.lit(3))
+    a.withColumn("batch", F.when(third == 0, F.lit(2)).when(third == 1, F.lit(0)).otherwise(F.lit(1))).write.partitionBy("batch").parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    log = None
+    for batch in range(3):
+        ops = repair_changes(rows.where(F.col("batch") < batch), rows.where(F.col("batch") == batch))
+        changed_ = applied(spark.createDataFrame([], ops.drop("op").schema) if log is None else log, ops)
+        changed_.write.parquet(f"{path}/log{batch}")
+        log = spark.read.parquet(f"{path}/log{batch}")
+    return log
+
+
+@register
+def stream_ndjson_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 + ST3 over NDJSON: several files in one micro-batch, logged in order
+    of arrival by merges into the store."""
+    store = Store.create(spark, shared_dir(spark, "stream-store"))
+    lines = stream_lines(spark, _ordered_ndjson_path(spark, sf_dir), range_bytes=256 * 1024)
+    query = parse_lines(lines)[0].drop("source").writeStream.option("checkpointLocation", shared_dir(spark, "stream-store-checkpoint")) \
+        .foreachBatch(store_sink(store)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return store.changes().select("change_id", "user_id", "name", "old_value", "value", "timestamp")
+
+
 def _stream(name: str, mode: str, build):
     from eventfold.streaming.stream import events_stream, run_available_now
 
@@ -416,19 +604,40 @@ def _stream_batches(name: str, mode: str, build):
     from eventfold.streaming.stream import records_stream, run_available_now
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        raw = records(spark, sf_dir)
-        path, end = shared_dir(spark, name), raw.agg(F.max("position")).first()[0]
-        for part in range(4):
-            arrived = F.floor(F.col("position") * 4 / (end + 1)) == part
-            raw.filter(arrived).coalesce(1).write.mode("append").parquet(path)
-        result, _ = run_available_now(build(records_stream(spark, path, raw.schema)), mode, name)
+        path, schema = _four_files(spark, sf_dir, name)
+        result, _ = run_available_now(build(records_stream(spark, path, schema)), mode, name)
         return result
     run.__name__ = f"{name}_batches"
     return run
 
 
+def _four_files(spark: SparkSession, sf_dir: str, name: str):
+    """The records as four files in order of arrival. The file stream takes files
+    by their time, so they are written one after the other."""
+    raw = records(spark, sf_dir)
+    path, end = shared_dir(spark, name), raw.agg(F.max("position")).first()[0]
+    for part in range(4):
+        arrived = F.floor(F.col("position") * 4 / (end + 1)) == part
+        raw.filter(arrived).coalesce(1).write.mode("append").parquet(path)
+    return path, raw.schema
+
+
+def _stream_upserts(name: str, keys: list[str], build):
+    """The four-file stream in update mode into a table readable at any time."""
+    from eventfold.streaming.stream import records_stream
+    from eventfold.streaming.upserts import run_upserts
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, schema = _four_files(spark, sf_dir, name)
+        return run_upserts(build(records_stream(spark, path, schema)), keys, name).read()
+    run.__name__ = f"{name}_upserts"
+    return run
+
+
 def _register_streams() -> None:
     from eventfold.streaming import stream as st
+    register(_stream_upserts("stream_event_counts", ["user_id", "name"], st.stream_event_counts))
+    register(_stream_upserts("stream_latest_attributes", ["user_id", "key"], st.stream_latest_attributes))
     register(_stream("stream_event_counts", "complete", st.stream_event_counts))
     register(_stream("stream_latest_attributes", "complete", st.stream_latest_attributes))
     register(_stream("stream_attribute_changes", "append", st.stream_attribute_changes))

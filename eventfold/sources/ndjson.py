@@ -82,6 +82,12 @@ def listed(path: str) -> dict[str, int]:
     return {prefix + f.path: f.size for f in sorted(found, key=lambda f: f.path)}
 
 
+def exists(path: str) -> bool:
+    from pyarrow import fs
+    system, inner = file_system(path)
+    return system.get_file_info(inner).type != fs.FileType.NotFound
+
+
 def whole_lines(source: str, start: int, size: int) -> int:
     """End of the last line of the file that a newline ends, at most ``size``."""
     system, inner = file_system(source)
@@ -166,19 +172,14 @@ class Reader(DataSourceReader):
         self.path, self.size = options["path"], int(options.get("rangebytes", RANGE))
         self.start = json.loads(options.get("offsets", "{}"))
         self.end = json.loads(options["until"]) if "until" in options else None
+        self.base = int(options.get("base", sum(self.start.values())))
 
     def partitions(self) -> list[Range]:
-        end = listed(self.path) if self.end is None else self.end
-        # a file's own offset is its base's share: positions go on where the read before ended
-        out = []
-        base = 0
-        for source in sorted(end):
-            out += ranges({source: self.start.get(source, 0)}, {source: end[source]}, base + self.start.get(source, 0), self.size)
-            base += end[source]
-        return out
+        return ranges(self.start, listed(self.path) if self.end is None else self.end, self.base, self.size)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from lines(partition)
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # Spark asks once where there is nothing to read
+            yield from lines(partition)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -203,8 +204,9 @@ class StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Range]:
         return ranges(start["files"], end["files"], start["read"], self.size)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from lines(partition)
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # Spark asks once where there is nothing to read
+            yield from lines(partition)
 
     def commit(self, end: dict) -> None:
         pass
@@ -229,13 +231,16 @@ class Lines(DataSource):
 
 
 def read_lines(spark: SparkSession, path: str, offsets: dict[str, int] | None = None,
-               until: dict[str, int] | None = None, range_bytes: int = RANGE) -> DataFrame:
+               until: dict[str, int] | None = None, range_bytes: int = RANGE, base: int | None = None) -> DataFrame:
     """(value, source, position, file_position) of the lines beyond ``offsets``
-    (bytes read by file) and up to ``until`` (by default the files' sizes)."""
+    (bytes read by file) and up to ``until`` (by default the files' sizes).
+    Positions go on behind ``base``, by default the sum of the offsets."""
     spark.dataSource.register(Lines)
     reader = spark.read.format(NAME).option("offsets", json.dumps(offsets or {})).option("rangeBytes", range_bytes)
     if until is not None:
         reader = reader.option("until", json.dumps(until))
+    if base is not None:
+        reader = reader.option("base", base)
     return reader.load(path)
 
 
@@ -259,9 +264,11 @@ def ledger(spark: SparkSession, path: str, lines_read: DataFrame | None = None)
     return files.join(read, "source", "left").select("source", "size", F.coalesce("offset", F.lit(0).cast("bigint")).alias("offset"))
 
 
-def resume(spark: SparkSession, path: str, ledger_: DataFrame, range_bytes: int = RANGE) -> DataFrame:
+def resume(spark: SparkSession, path: str, ledger_: DataFrame, until: dict[str, int] | None = None,
+           base: int | None = None, range_bytes: int = RANGE) -> DataFrame:
     """The lines that a ledger has not seen. A file that is shorter than its
     recorded offset was replaced and is read from its start."""
     seen = {r["source"]: r["offset"] for r in ledger_.select("source", "offset").collect()}
-    sizes = listed(path)
-    return read_lines(spark, path, {s: n for s, n in seen.items() if n <= sizes.get(s, -1)}, sizes, range_bytes)
+    until = listed(path) if until is None else until
+    base = sum(seen.values()) if base is None else base
+    return read_lines(spark, path, {s: n for s, n in seen.items() if n <= until.get(s, -1)}, until, range_bytes, base)

@@ -196,7 +196,15 @@ def parse_lines(lines: DataFrame, require_uuid: bool = False,
 
     ``normalise_names`` lower-cases event names and removes spaces (F17).
     """
-    extra = [c for c in ("source", "position") if c in lines.columns]
+    return split_decoded(decode_lines(lines, require_uuid, canonical_ids, normalise_names))
+
+
+def decode_lines(lines: DataFrame, require_uuid: bool = False, canonical_ids: bool = False,
+                 normalise_names: bool = False) -> DataFrame:
+    """Every line decoded once: the record's columns, ``reason`` (NULL for a
+    valid record), and the text of the line where it is not valid. Written, it
+    serves records, quarantine and counts without parsing again."""
+    extra = [c for c in ("source", "position", "file_position") if c in lines.columns]
     checked = checked_lines(lines)
     uid = F.col("f_user_id")
     uid_num = atoi(uid)
@@ -205,16 +213,21 @@ def parse_lines(lines: DataFrame, require_uuid: bool = False,
                     F.lit("user_id is not an integer")))
     if require_uuid:
         reason = reason.when(~is_uuid(F.col("f_id")), F.lit("id is not a UUID"))
-    parsed = checked.withColumn("reason", reason)
-    quarantine = parsed.filter(F.col("reason").isNotNull()).select("value", *extra, "reason")
     rid = canonical_uuid(F.col("f_id")) if canonical_ids else F.col("f_id")
-    valid = parsed.filter(F.col("reason").isNull()).select(
+    return checked.withColumn("reason", reason).select(
+        "reason", F.when(F.col("reason").isNotNull(), F.col("value")).alias("value"),
         rid.alias("id"), F.col("f_type").alias("type"),
         (normalise_event_name("f_name") if normalise_names else F.col("f_name")).alias("name"),
-        uid_num.alias("user_id"), F.col("f_data").alias("data"),
-        F.col("f_timestamp").alias("timestamp"),
+        uid_num.alias("user_id"), F.col("f_data").alias("data"), F.col("f_timestamp").alias("timestamp"),
         *([F.col("position")] if "position" in extra else [F.lit(None).cast("bigint").alias("position")]),
-        *([F.col("source")] if "source" in extra else []))
+        *[F.col(c) for c in extra if c != "position"])
+
+
+def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, quarantine) of decoded lines."""
+    extra = [c for c in ("source",) if c in decoded.columns]
+    valid = decoded.filter(F.col("reason").isNull()).select(*RECORD_COLUMNS, *extra)
+    quarantine = decoded.filter(F.col("reason").isNotNull()).select("value", *extra, "position", "reason")
     return valid, quarantine
 
 

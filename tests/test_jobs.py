@@ -71,3 +71,48 @@ def test_cli_entry_points(spark, tmpdir_fresh):
     with open(expected, "w") as f:
         f.write("1,city=rome,email=new@x,click=7\n10,first_name=ann,\n")
     assert main(["verify", out, expected]) == 1
+
+
+class LostBeforeWriting:
+    """A ledger whose run ends before it is written."""
+
+    def __init__(self, df):
+        self.collect = df.collect
+
+    def withColumn(self, *_):  # noqa: N802
+        raise RuntimeError("lost")
+
+
+def test_more_reads_what_was_added_and_repeats_safely(spark, tmpdir_fresh, monkeypatch):
+    import pytest
+
+    from eventfold import attribute_changes, dedup_records, event_counts, jobs
+    from eventfold.jobs import ingest_more
+    from eventfold.operators.store import Store
+    from eventfold.sources import ndjson
+    from eventfold.sources.ndjson import read_lines
+    from eventfold.sources.records import parse_lines
+    from tests.helpers import rows_set
+    src, out = f"{tmpdir_fresh}/in", f"{tmpdir_fresh}/out"
+    os.makedirs(src)
+    lines = _lines()
+
+    def add(name, some):
+        with open(f"{src}/{name}", "a") as f:
+            f.write("".join(x + "\n" for x in some))
+
+    add("b", lines[:4])
+    assert ingest_more(spark, src, out) == {"version": 1, "quarantined": 0}
+    add("b", lines[4:])
+    add("a", [lines[1], json.dumps({"id": "a4", "type": "attributes", "user_id": "1", "timestamp": 50, "data": {"email": "late@x"}})])
+    with monkeypatch.context() as m, pytest.raises(RuntimeError, match="lost"):
+        m.setattr(jobs, "ledger", lambda *a: LostBeforeWriting(ndjson.ledger(*a)))
+        ingest_more(spark, src, out)
+    assert ingest_more(spark, src, out) == {"version": 2, "quarantined": 2}
+    assert ingest_more(spark, src, out) == {"version": 3, "quarantined": 0}
+    store = Store(spark, f"{out}/store")
+    d = dedup_records(parse_lines(read_lines(spark, src))[0].drop("source"))
+    assert rows_set(store.read("counts")) == rows_set(event_counts(d))
+    got = {(r.name, r.old_value, r.value) for r in store.changes().collect() if r.user_id == 1}
+    assert got == {("email", None, "new@x"), ("city", None, "rome"), ("email", "new@x", "old@x"), ("email", "old@x", "late@x")}
+    assert attribute_changes(d).count() == store.last_change()
