@@ -6,6 +6,7 @@ so executors need not have the package installed.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -69,6 +70,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker waits between tasks with
+    what its allocators keep, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], text_col: str = "text",
              limit: int = (4 << 20) - 2) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` text bytes (a longer text is one slice), so
@@ -84,6 +95,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text_col: str = "text",
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    tidy()
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,15 +17,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MASK = np.uint64((1 << 48) - 1)
 
 
-def buckets(df: DataFrame, each: int = 8 << 20) -> int:
-    """Buckets by the input's size, so that one holds about ``each`` bytes of
-    input; at least the session's partitions. The size is from the plan's
-    statistics, without a job; where a plan has none, the texts are measured."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:
-        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+def buckets(df: DataFrame, each: int = 8 << 20, text_col: str = "text") -> int:
+    """Buckets by the texts' bytes, so that one holds what about ``each`` bytes of
+    text make of it, however files are compressed; at least the session's
+    partitions. One job that reads the texts' lengths."""
+    size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def planes(a: np.ndarray) -> bytes:

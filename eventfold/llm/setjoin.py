@@ -45,7 +45,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import by_bytes, id_text, mix, staged, text_buffers, word_hashes
+from eventfold.llm.common import by_bytes, id_text, mix, staged, text_buffers, tidy, word_hashes
 from eventfold.llm.components import stars
 from eventfold.llm.packed import MASK, buckets, pack, planes, split, unpack, unplane
 
@@ -55,6 +55,8 @@ WORDS = 5
 #: Percent of the union that the intersection must reach.
 LEAST = 75
 PARTS = "part int, kind int, h binary, i binary, c binary, n binary"
+#: Bytes of text whose shingles are made at once; half of the default, for the arrays of a worker.
+SLICE = (2 << 20) - 2
 
 
 def separators() -> np.ndarray:
@@ -94,7 +96,7 @@ def emit(n: int):
     """Documents to packed shingles by bucket, and the documents' own rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "kind", "h", "i", "c", "n"]
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=SLICE):
             sets = shingle_sets(batch.column(1))
             size = np.array([len(s) for s in sets], dtype=np.int32)
             cid = np.array([class_id(s) if len(s) else 0 for s in sets], dtype=np.uint64)
@@ -157,6 +159,8 @@ def shared(n: int):
                 table = np.concatenate((own.view("<u1"), m[x:y][first].astype("<i4").view("<u1")))
                 out.append((int(to[x]), 0, planes(np.diff(h[x:y], prepend=np.uint64(0))), planes(at), table.tobytes(),
                             planes(np.minimum(df[x:y], 65535).astype("<u2"))))
+        hs = cs = ns = h = c = m = df = order = s = None
+        tidy()
         return pd.DataFrame(out, columns=["part", "kind", "h", "i", "c", "n"])
     return run
 
@@ -381,7 +385,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=SLICE):
             sets = shingle_sets(batch.column(2))
             cid = np.array([class_id(s) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cid), pa.array([not len(s) for s in sets], pa.bool_())],
