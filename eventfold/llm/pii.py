@@ -2,7 +2,8 @@
 
 Seeds are the spans that four fixed patterns find (email, ip, card, phone).
 The words around a seed make a lexical pattern (two words before; last word
-before and first one after). Every identifier-like token that is no seed is a
+before and first one after; a label before a colon or equals sign). Every
+identifier-like run of characters of any length between the seeds is a
 candidate and has patterns of the same forms. Patterns and instances form a
 graph, which Spark scores in rounds:
 
@@ -23,6 +24,8 @@ whatever the id; an added span never overlaps a seed or another added one.
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 import sys
 from collections.abc import Iterator
@@ -44,10 +47,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[0-9@][^ \t\n\r\f\v]*")
-EDGE = "()[]{}<>\"'.,;:!?"
-#: Longest token that can be an identifier, and the characters of context looked at.
-LONGEST, CONTEXT = 100, 80
+#: Candidates: runs of digits and what parts or masks them; what ends an address.
+RUN = re.compile(r"[0-9(+][0-9xX*().+/\x20-]*[0-9xX*]")
+STOP = frozenset(" \t\n\r\f\v()[]{}<>\"',;:!?=|@")
+WORD = re.compile(r"\w+")
+#: A longer context word is known by its digest.
+LONG_WORD = 64
 
 
 def luhn(digits: str) -> bool:
@@ -104,50 +109,78 @@ def shape(token: str) -> int:
         bits |= 1
     if token.count(".") == 3 and digits >= 4 and all(c in "0123456789.x*X" for c in token):
         bits |= 2
-    if 12 <= digits <= 19 and all(c in "0123456789-xX*" for c in token):
+    if 12 <= digits <= 19 and all(c in "0123456789 -xX*" for c in token):
         bits |= 4
-    if 7 <= digits <= 15 and all(c in "0123456789-.()/+" for c in token):
+    if 7 <= digits <= 15 and all(c in "0123456789 -.()/+" for c in token):
         bits |= 8
     return bits
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of an occurrence."""
-    before = [w.lower() for w in text[max(0, start - CONTEXT):start].split()[-2:]]
-    after = [w.lower() for w in text[end:end + CONTEXT].split()[:1]]
+def candidates(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Identifier-like runs of text[start:end], which holds no base span."""
     out = []
-    if len(before) == 2:
-        out.append("b " + " ".join(before))
-    if before and after:
-        out.append(f"a {before[-1]} {after[0]}")
-    return [DIGIT.sub("0", c) for c in out]
+    for m in RUN.finditer(text, start, end):
+        s, e = m.span()
+        if text[s] == "(" and ")" not in m[0]:
+            s += 1
+        out.append((s, e))
+    done, at = start, text.find("@", start, end)
+    while at >= 0:
+        s = e = at
+        while s > done and text[s - 1] not in STOP:
+            s -= 1
+        e += 1
+        while e < end and text[e] not in STOP:
+            e += 1
+        while e > at + 1 and text[e - 1] == ".":
+            e -= 1
+        if s < at < e - 1:
+            out = [x for x in out if x[1] <= s or x[0] >= e]
+            out.append((s, e))
+        done = max(e, at + 1)
+        at = text.find("@", done, end)
+    return sorted(out)
+
+
+def contexts(text: str, words: list[tuple[int, int]], starts: list[int], start: int, end: int) -> list[str]:
+    """The lexical patterns of an occurrence: the two words before; the last one
+    before and the first one after; the label before a colon or equals sign."""
+    def word(k: int) -> str:
+        w = DIGIT.sub("0", text[words[k][0]:words[k][1]].lower())
+        return w if len(w) <= LONG_WORD else hashlib.sha256(w.encode()).hexdigest()
+
+    k = bisect.bisect_left(starts, start)  # words of the occurrence itself start in it
+    if k and words[k - 1][1] > start:
+        k -= 1
+    after = bisect.bisect_left(starts, end)
+    out = []
+    if k >= 2:
+        out.append(f"b {word(k - 2)} {word(k - 1)}")
+    if k and after < len(words):
+        out.append(f"a {word(k - 1)} {word(after)}")
+    if k and any(c in ":=" for c in text[words[k - 1][1]:start][:8]):
+        out.append(f"k {word(k - 1)}")
+    return out
 
 
 def occurrences(text: str) -> tuple[list[tuple[int, int, int]], list[tuple]]:
-    """Base spans, and the graph's occurrences: (kind or -1, shape bits, instance, start, end, patterns)."""
+    """Base spans, and all nodes (kind or -1, bits, instance, start, end, patterns)."""
     base = seeds(text)
-    nodes = [(k, 1 << k, text[s:e], s, e, contexts(text, s, e)) for k, s, e in base]
     if "@" not in text and not DIGIT.search(text):
-        return base, nodes
-    taken = sorted((s, e) for _, s, e in base)
-    at = 0
-    for m in TOKEN.finditer(text):
-        start, end = m.start(), m.end()
-        while start and not text[start - 1].isspace() and end - start <= LONGEST:
-            start -= 1
-        if end - start > LONGEST:
-            continue
-        while start < end and text[start] in EDGE:
-            start += 1
-        while end > start and text[end - 1] in EDGE:
-            end -= 1
-        while at < len(taken) and taken[at][1] <= start:
-            at += 1
-        if start >= end or any(s < end and e > start for s, e in taken[at:at + 4]):
-            continue
-        if bits := shape(text[start:end]):
-            nodes.append((-1, bits, text[start:end], start, end, contexts(text, start, end)))
-    return base, nodes
+        return base, []
+    found, at = [], 0
+    for s, e in sorted((s, e) for _, s, e in base):
+        if s > at:
+            found += candidates(text, at, s)
+        at = max(at, e)
+    found += candidates(text, at, len(text))
+    loose = [(-1, bits, s, e) for s, e in found if (bits := shape(text[s:e]))]
+    every = [(k, 1 << k, s, e) for k, s, e in base] + loose
+    if not every:
+        return base, []
+    words = [m.span() for m in WORD.finditer(text)]
+    starts = [s for s, _ in words]
+    return base, [(k, bits, text[s:e], s, e, contexts(text, words, starts, s, e)) for k, bits, s, e in every]
 
 
 def _span(rows: Column) -> Column:

@@ -173,6 +173,24 @@ def test_pii_query_against_the_four_patterns(spark):
     assert got[10**6][:4] == (1, 1, 1, 1) and got[10**6 + 1][:4] == (2, 1, 0, 0) and got[10**6 + 2][:4] == (1, 0, 0, 2)
 
 
+def test_pii_finds_unseen_forms_in_learned_contexts(spark):
+    """Labels, brackets, blanks, masks, other separators: found at 0.9 or more; the same forms elsewhere are left alone."""
+    from eventfold.llm import pii
+    r = random.Random(9)
+    digits = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    rows = [(i, t) for i in range(240) for t in [
+        r.choice([f"call me on phone: +1 {digits(3)} {digits(3)} {digits(4)} today", f'{{"mail":"u{i}@x.com"}}', f"server address is 10.{i}.3.4 now", f"reach us by phone: +44 {digits(10)} thanks"])]]
+    planted = [(1000 + i, r.choice([
+        ("phone", f"call me on phone: ({digits(3)}) {digits(3)}-{digits(4)} today"), ("phone", f"on my phone: {digits(3)} {digits(3)} {digits(4)} please"),
+        ("phone", f'{{"phone":"{digits(3)}-{digits(4)}-{digits(3)}"}}'), ("email", f'{{"mail":"u{i}@intranet"}}'),
+        ("email", f'"mail" = "{"long" * 60}{i}@host"'), ("ip", f"server address is 10.{i}.x.* now")])) for i in range(60)]
+    clean = [(2000 + i, f"the invoice {digits(3)} {digits(3)} {digits(4)} was paid in {digits(4)}") for i in range(30)]
+    got = {x["doc_id"]: x["spans"] for x in pii.spans(frame(spark, rows + [(i, t) for i, (_, t) in planted] + clean)).collect()}
+    hits = sum(got[i].startswith(f"{kind}:") and got[i].count(":") == 2 for i, (kind, _) in planted)
+    assert hits >= 0.9 * len(planted), [(t, got[i]) for i, (_, t) in planted if not got[i]][:9]
+    assert all(not got[i] for i, _ in clean)
+
+
 def test_suffixes_against_all_windows(spark, texts):
     from eventfold.llm import suffixes
     texts = [(i, t if t is None or len(t) < 5000 else t[:600]) for i, t in texts]
