@@ -6,7 +6,8 @@ shared folder, and returns documents with the same columns:
 1. language ID: profiles are fitted on these documents; texts without a letter
    (``und``) and texts that are near to no language's profile go;
 2. n-gram Jaccard join: of each component one document stays, the one with the
-   smallest id (of rows alike in it, the one with the least text);
+   smallest id (of rows alike in it, one with the smallest class number; of
+   rows alike in that too, one with the smallest hash of its text);
 3. decontamination: documents that contain a benchmark item go;
 4. PII: spans are replaced by their kind, no document goes;
 5. byte-pair encoding: the last stage's rows are encoded and decoded again.
