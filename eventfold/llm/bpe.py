@@ -43,6 +43,29 @@ SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: Letters and numbers, and the pre-tokens of the lower-case word vocabulary (fixed by its file).
 LETTER, NUMBER = r"\p{L}", r"\p{N}"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+"
+#: Letters and numbers of Unicode 16 that version 15.1 lacks (fixed values); the vocabulary's library has them.
+LATE_LETTERS = (
+    "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85"
+    "\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3"
+    "\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff"
+    "\U0001e5d0-\U0001e5ed\U0001e5f0")
+LATE_NUMBERS = (
+    "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79"
+    "\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa")
+#: First and last capital, lower case of the first: letters whose lower case is of Unicode 16 or 17 (fixed values).
+LATE_CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+LATE_LOWER = {a + k: chr(low + k) for a, b, low in LATE_CAPITALS for k in range(b - a + 1)}
+LATE_UPPER = regex.compile("[" + "".join(map(chr, LATE_LOWER)) + "]")
+#: Marks (and one composed letter) that the library's normaliser, which is of an older
+#: Unicode, takes as characters that neither move nor compose (fixed values).
+UNMOVED = regex.compile(
+    "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85"
+    "\U00011070\U0001133b\U0001145e\U00011839-\U0001183a\U00011930\U00011938\U0001193d-\U0001193e\U00011943\U000119e0"
+    "\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42"
+    "\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef])")
 #: Words a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 700_000
 
@@ -64,13 +87,24 @@ def is_latin(text: str) -> bool:
     return True
 
 
-def as_of_python(pattern: str) -> str:
-    """The pattern with the letters and numbers of Python's own Unicode version.
+def composed(text: str) -> str:
+    """Canonical composition as the vocabulary's library makes it: what stands
+    between characters that it leaves where they are is composed by itself."""
+    if unicodedata.is_normalized("NFC", text):
+        return text
+    return "".join(part if k % 2 else unicodedata.normalize("NFC", part) for k, part in enumerate(UNMOVED.split(text)))
+
+
+def as_of_python(pattern: str, later: str = "") -> str:
+    """The pattern with the letters and numbers of Python's own Unicode version
+    (15.1) and those in ``later``, a class's inside.
 
     ``regex`` knows later versions, in which some code points have become
     letters that the vocabulary's library still splits off.
     """
     new = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    if later:
+        new = regex.sub(f"[{later}]", "", new)
     late = sorted(map(ord, regex.findall(r"[\p{L}\p{N}]", new)))
     runs = [[late[0], late[0]]] if late else []
     for c in late[1:]:
@@ -89,14 +123,14 @@ def as_of_python(pattern: str) -> str:
 class Splitter:
     """findall of a pre-token pattern; the exact one is made when a text needs it."""
 
-    def __init__(self, pattern: str):
-        self.pattern, self.latin, self.any = pattern, regex.compile(pattern).findall, None
+    def __init__(self, pattern: str, later: str = ""):
+        self.pattern, self.later, self.latin, self.any = pattern, later, regex.compile(pattern).findall, None
 
     def __call__(self, text: str) -> list[str]:
         if is_latin(text):
             return self.latin(text)
         if self.any is None:
-            self.any = regex.compile(as_of_python(self.pattern), regex.V1).findall
+            self.any = regex.compile(as_of_python(self.pattern, self.later), regex.V1).findall
         return self.any(text)
 
 
@@ -160,7 +194,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         special = "|".join(regex.escape(s) for s in sorted(tables.special, key=len, reverse=True))
         self.special = regex.compile(f"({special})") if special else None
-        self.split = Splitter(WORDS)
+        self.split = Splitter(WORDS, LATE_LETTERS + LATE_NUMBERS)
 
     def compatible(self, x: int, y: int, before: float = float("inf")) -> bool:
         """Whether merging the strings of x and y together keeps the boundary.
@@ -230,10 +264,10 @@ class Encoder:
         return found
 
     def plain(self, text: str) -> bytes:
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # lower case by single characters: no final sigma
+        if not is_latin(text):
+            text = composed(text).replace("Σ", "σ")  # lower case by single characters: no final sigma
+            if LATE_UPPER.search(text):
+                text = text.translate(LATE_LOWER)
         words = self.split(text.lower())
         found = list(map(self.words.get, words))
         if None in found:

@@ -72,6 +72,29 @@ def test_bpe_random_words():
         assert own.decode(own.encode(t)).decode() == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_every_code_point():
+    import sys
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from eventfold.llm import bpe
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), bpe.Encoder(bpe.Tables(bpe.read_text(path)))
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    whole = ["ab" + c + "cd 1" + c + "2" for c in every]
+    marks = [c for c in every if unicodedata.category(c)[0] == "M"]
+    whole += [x for c in marks for x in ("a" + c + "\u0323", "a\u0301" + c, c + "\u0301", "\u0345" + c)]
+    whole += [d + "x" for c in every if (d := unicodedata.normalize("NFD", c)) != c]
+    # many at a time, apart from each other by a word that no pre-token takes in
+    for k in range(0, len(whole), 400):
+        part = whole[k:k + 400]
+        if own.encode(" . ".join(part)).tolist() != lib.encode(" . ".join(part), add_special_tokens=False).ids:
+            wrong = [x for x in part if own.encode(x).tolist() != lib.encode(x, add_special_tokens=False).ids]
+            raise AssertionError([ascii(x) for x in wrong[:20]])
+
+
 def test_long_merge_equals_short():
     import public_tokenizers
 
