@@ -14,9 +14,10 @@ from 0 without a gap in each shard.
 Large blocks are numbered in 256 hash parts, whose first numbers come from a
 running sum of part counts, so no old shard, however hot, is one task's work.
 
-Rows: null text has no bytes (size 16, checksum 0); a null old shard key is
-one of its own; repeated rows are rows like any other; an empty table gives
-no row.
+Rows: null text has no bytes (size 16, checksum 0); rows whose old shard is
+null have no home, so all of them move; repeated rows are rows like any other;
+an empty table gives no row. Rows alike in id and text are told apart by their
+other columns, which must be of types that can be sorted (no maps) to be carried.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import heapq
 import itertools
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = 256
+#: Stands for a null old shard; it is the home of no new one.
+NOWHERE = 2**31 - 1
 
 
 class Flow:
@@ -120,13 +123,17 @@ def size_class(size: Column) -> Column:
     return F.floor(F.log2(size.cast("double")) * 4).cast("int")
 
 
-def reshard(docs: DataFrame, old: Column, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reshard(docs: DataFrame, old: Column, shards: int, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Place every row: doc_id, size, text_crc32, law, shard, slot, grown_shard,
-    old_shard, moved. ``old`` is the row's old shard (from 0 up)."""
+    old_shard, moved; with ``carry`` also ``row``, the whole input row.
+    ``old`` is the row's old shard (from 0 up)."""
     spark = docs.sparkSession
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), old.cast("int").alias("old_shard")) \
-        .select("doc_id", "old_shard", (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32")) \
+    whole = [F.struct("*").alias("row")] if carry else []
+    kept = ["row"] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       F.coalesce(old.cast("int"), F.lit(NOWHERE)).alias("old_shard"), *whole) \
+        .select("doc_id", "old_shard", (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), *kept) \
         .withColumn("kind", size_class(F.col("size"))) \
         .withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int"))
     key = ["old_shard", "kind", "part"]
@@ -143,25 +150,34 @@ def reshard(docs: DataFrame, old: Column, shards: int, id_col: str = "doc_id", t
     moves = spark.createDataFrame(pieces, "old_shard int, kind int, first long, until long, shard int, slot0 long")
     start = Window.partitionBy("old_shard", "kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.withColumn("start", F.coalesce(F.sum("n").over(start), F.lit(0))).select(*key, "start")
-    within = Window.partitionBy(*key).orderBy("doc_id", "text_crc32", "size")
+    # a carried row is the last key, so that a task that runs again numbers rows as before
+    within = Window.partitionBy(*key).orderBy("doc_id", "text_crc32", "size", *kept)
     numbered = rows.join(starts, key).withColumn("at", F.col("start") + F.row_number().over(within) - 1)
     placed = numbered.join(F.broadcast(moves), ["old_shard", "kind"]).where("at >= first AND at < until")
+    was = F.when(F.col("old_shard") != NOWHERE, F.col("old_shard"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
                          (F.col("slot0") + F.col("at") - F.col("first")).alias("slot"),
-                         F.lit(None).cast("int").alias("grown_shard"), "old_shard",
-                         (F.col("old_shard") != F.col("shard")).alias("moved"))
+                         F.lit(None).cast("int").alias("grown_shard"), was.alias("old_shard"),
+                         (F.col("old_shard") != F.col("shard")).alias("moved"), *kept)
 
 
-def rewrite(spark: SparkSession, docs: DataFrame, placed: DataFrame, old_path: str, new_path: str) -> list[int]:
-    """Write the rows of the affected shards anew, one folder a shard; the shards written.
+def rewrite(docs: DataFrame, old: Column, shards: int, path: str, id_col: str = "doc_id", text_col: str = "text",
+            rows_a_file: int = 1_000_000) -> list[int]:
+    """Write the affected shards anew under ``path``, one folder a shard; the shards written.
 
-    A shard is affected if a row leaves or enters it; the others' folders under
-    ``old_path`` stay valid as they are. Rows are matched by doc_id, which must
-    be unique here.
+    A shard is affected if a row leaves or enters it, or if it has shrunk to
+    none; the others' old files stay valid as they are. Every input row goes
+    along whole, also with a null or repeated id; a column ``shard`` or
+    ``slot`` of the input gives way to the new one. A shard's files follow its
+    slots, ``rows_a_file`` in each.
     """
+    placed = reshard(docs, old, shards, id_col, text_col, carry=True)
     moved = placed.where("moved")
-    affected = sorted({r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()})
-    docs.drop("shard", "slot").join(placed.select("doc_id", "shard", "slot").where(F.col("shard").isin(affected)), "doc_id") \
-        .repartition("shard", F.pmod("slot", F.lit(16))).sortWithinPartitions("shard", "slot") \
-        .write.partitionBy("shard").parquet(new_path)
+    # at most as many rows as there are old and new shards
+    touched = [r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()]
+    affected = sorted(s for s in touched if s is not None and s < shards)
+    others = [F.col("row").getField(f.name).alias(f.name) for f in docs.schema if f.name.lower() not in ("shard", "slot")]
+    placed.where(F.col("shard").isin(affected)).select(*others, "shard", "slot") \
+        .repartition("shard", F.floor(F.col("slot") / rows_a_file)).sortWithinPartitions("shard", "slot") \
+        .write.option("maxRecordsPerFile", rows_a_file).partitionBy("shard").parquet(path)
     return affected

@@ -1,86 +1,101 @@
 """Operator 8: URL filter over a sorted digest array.
 
-Rules and listed sites are strings host + path prefix. Their 64-bit xxhash
-values are sorted into one array that executors memory-map; a batch of URLs
-makes all host suffixes with all path prefixes of the lengths that occur, and
-one vectorised binary search probes them. A hit counts only if the stored
-full string is the same, so collisions change nothing.
-
-The file holds three arrays (digests, string offsets, strings) and goes to
-the executors as a Spark file, so its size is that of the list, not the data.
+Rules are strings host + path prefix; listed sites are host names without a
+path, found by a Spark job over the pages themselves: a site is listed if a
+label of it, or a part of the label between hyphens, is a listed word. Spark
+makes the strings' 64-bit xxhash values and sorts by them; the array is
+streamed into the shared folder and handed to the executors, which memory-map
+it. A batch of URLs makes all host suffixes with all path prefixes of the
+lengths that occur, and one vectorised binary search probes them. A hit counts
+only if the stored full string is the same, so collisions change nothing.
+
+The array's size is that of the list, not of the pages; the driver holds one
+partition of the sorted list at a time.
 
 Rows: a null URL or one without ``://`` has an empty host and path, no rule
 and the default verdict; one output row per input row, any id passed through.
+No pages: no site is listed.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
 import sys
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.llm.common import worker_state
+from eventfold.session import shared_dir
+from eventfold.sources.ndjson import file_system
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: (verdict, rule); longest fitting rule wins.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Sites that the list itself blocks where no rule fits.
-LISTED = ["cheap-pills.example.com/", "spam-farm.example.org/"]
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Words whose sites the list blocks where no rule fits: sales of pills, bets, adult sites, advertising, spam.
+WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Seed of Spark's own xxhash64.
+SEED = 42
+
+
+def site_pattern(words: tuple[str, ...] = WORDS) -> str:
+    """Of a host: its last label with a listed word, and all that follows it."""
+    return rf"(?s)^(?:.*\.)?((?:[^.]*-)?(?:{'|'.join(words)})(?:-[^.]*)?(?:\..*)?)\z"
+
+
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
+    return (F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), CAPITALS, SMALL), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1))
 
 
-def parts(url: str | None) -> tuple[str, str]:
-    """Host and path of a URL."""
-    if url is None or (at := url.find("://")) < 0:
-        return "", ""
-    rest = url[at + 3:]
-    end = min((i for i in (rest.find("?"), rest.find("#")) if i >= 0), default=len(rest))
-    rest = rest[:end]
-    slash = rest.find("/")
-    host, path = (rest, "") if slash < 0 else (rest[:slash], rest[slash:])
-    return host.translate(LOWER), path
+def listed_sites(pages: DataFrame, words: tuple[str, ...] = WORDS, url_col: str = "url") -> DataFrame:
+    """The list: every site (``site``) with a listed word that occurs in the pages, once."""
+    host, _ = host_and_path(F.col(url_col).cast("string"))
+    return pages.select(F.regexp_extract(host, site_pattern(words), 1).alias("site")).where("site <> ''").distinct()
 
 
 def digest(key: str) -> int:
-    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), seed=SEED)
 
 
-def write_index(entries: dict[str, int], path: str) -> None:
-    """The array file: entries maps a string to a small code."""
-    keys = sorted(entries, key=lambda k: (digest(k), k))
-    strings = [k.encode("utf-8", "surrogatepass") for k in keys]
-    head = np.array([len(keys)], dtype="<i8")
-    digests = np.array([digest(k) for k in keys], dtype="<u8")
-    offsets = np.concatenate(([0], np.cumsum([len(s) for s in strings]))).astype("<i8")
-    codes = np.array([entries[k] for k in keys], dtype="<i8")
-    with open(path, "wb") as f:
-        for a in (head, digests, offsets, codes):
-            f.write(a.tobytes())
-        f.write(b"".join(strings))
+#: What an index consists of: digests in order, for each its string's place and code, the strings.
+PARTS = (".digests", ".places", ".strings")
+PLACE = np.dtype([("at", "<i8"), ("size", "<i4"), ("code", "<i4")])
+
+
+def write_index(entries: Iterable[tuple[int, str, int]], path: str) -> None:
+    """The array's files at ``path``: (digest, string, code) in order of the digests, written as they come."""
+    system, name = file_system(path)
+    system.create_dir(os.path.dirname(name))
+    digests, places, strings = (system.open_output_stream(name + part) for part in PARTS)
+    at = 0
+    with digests, places, strings:
+        for number, key, code in entries:
+            data = key.encode("utf-8", "surrogatepass")
+            digests.write(np.array([number], dtype="<u8").tobytes())
+            places.write(np.array([(at, len(data), code)], dtype=PLACE).tobytes())
+            strings.write(data)
+            at += len(data)
+
+
+def mapped(path: str, dtype: object) -> np.ndarray:
+    return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
 class Index:
     """A memory-mapped index; pages are read as probes touch them."""
 
     def __init__(self, path: str):
-        n = int(np.fromfile(path, dtype="<i8", count=1)[0])
-        self.n = n
-        self.digests = np.memmap(path, dtype="<u8", mode="r", offset=8, shape=(n,)) if n else np.zeros(0, "<u8")
-        self.offsets = np.memmap(path, dtype="<i8", mode="r", offset=8 + 8 * n, shape=(n + 1,))
-        at = 8 + 8 * n + 8 * (n + 1)
-        self.codes = np.memmap(path, dtype="<i8", mode="r", offset=at, shape=(n,)) if n else np.zeros(0, "<i8")
-        size = int(self.offsets[-1])
-        self.strings = np.memmap(path, dtype=np.uint8, mode="r", offset=at + 8 * n, shape=(size,)) if size else np.zeros(0, np.uint8)
+        self.digests, self.places, self.strings = (mapped(path + part, dtype) for part, dtype in zip(PARTS, ("<u8", PLACE, np.uint8), strict=True))
+        self.n = len(self.digests)
 
     def probe(self, keys: list[str]) -> list[int | None]:
         """The code of each key, None where it isn't listed."""
@@ -93,8 +108,9 @@ class Index:
         for i in np.flatnonzero(hit):
             j = int(at[i])
             while j < self.n and self.digests[j] == wanted[i]:  # strings of one digest stand together
-                if self.strings[self.offsets[j]:self.offsets[j + 1]].tobytes() == keys[i].encode("utf-8", "surrogatepass"):
-                    out[i] = int(self.codes[j])
+                place = self.places[j]
+                if self.strings[place["at"]:place["at"] + place["size"]].tobytes() == keys[i].encode("utf-8", "surrogatepass"):
+                    out[i] = int(place["code"])
                     break
                 j += 1
         return out
@@ -108,32 +124,39 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
     return [label + path[:n] for label in labels for n in lengths if n <= len(path)]
 
 
-def publish(spark: SparkSession, entries: dict[str, int]) -> str:
-    """Write the index on the driver and hand it to the executors; its name there."""
-    name = "urls-" + hashlib.sha256(repr(sorted(entries.items())).encode()).hexdigest()[:24] + ".idx"
-    path = os.path.join(tempfile.mkdtemp(prefix="urls-"), name)
-    write_index(entries, path)
-    if not any(f.endswith(name) for f in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(path)
+def publish(spark: SparkSession, entries: DataFrame) -> str:
+    """Write the index of ``entries`` (key, code) into the shared folder and
+    hand it to the executors; its name there."""
+    number = F.xxhash64("key")
+    # signed numbers sorted as unsigned ones: the negative ones come last
+    rows = entries.select(number.alias("number"), "key", "code").orderBy(F.col("number") < 0, "number")
+    path = os.path.join(folder := shared_dir(spark, "urls"), name := os.path.basename(folder))
+    write_index(((r[0] % (1 << 64), r[1], r[2]) for r in rows.toLocalIterator()), path)
+    for part in PARTS:
+        spark.sparkContext.addFile(path + part)
     return name
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, listed: list[str] | None = None,
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, sites: DataFrame | None = None,
           default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict."""
+    """One row per page: page_id, host, path, rule, verdict.
+
+    ``sites`` (a column ``site``) is the list of blocked sites, each with its
+    subdomains; that of the pages' own sites with a listed word, if not given.
+    """
     rules = RULES if rules is None else rules
     verdicts = ["allow", "block"]
-    entries = {rule: 2 + verdicts.index(v) for v, rule in rules}
-    entries = {site: 1 for site in (LISTED if listed is None else listed) if site not in entries} | entries
-    lengths = sorted({len(k) - k.index("/") for k in entries})
     spark = pages.sparkSession
-    name = publish(spark, entries)
+    ruled = spark.createDataFrame([(rule, 2 + verdicts.index(v)) for v, rule in rules], "key string, code int")
+    sites = listed_sites(pages, url_col=url_col) if sites is None else sites
+    named = sites.select(F.col("site").cast("string").alias("key"), F.lit(1).alias("code")).where("key <> ''")
+    lengths = sorted({0, *(len(rule) - rule.index("/") for _, rule in rules)})
+    name = publish(spark, ruled.unionByName(named).groupBy("key").agg(F.max("code").alias("code")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = worker_state(("urls", name), lambda: Index(SparkFiles.get(name)))
+        index = worker_state(("urls", name), lambda: Index(SparkFiles.get(name + PARTS[0]).removesuffix(PARTS[0])))
         for batch in batches:
-            split = [parts(u) for u in batch.column(1).to_pylist()]
-            keys = [candidates(h, p, lengths) for h, p in split]
+            keys = [candidates(h, p, lengths) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             codes = index.probe([k for ks in keys for k in ks])
             rule: list[str | None] = []
             verdict: list[str] = []
@@ -149,25 +172,27 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, listed:
                 else:
                     rule.append(None)
                     verdict.append("block" if hits else default)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s[0] for s in split], pa.string()), pa.array([s[1] for s in split], pa.string()),
-                 pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rule, pa.string()), pa.array(verdict, pa.string())],
+                                             ["page_id", "host", "path", "rule", "verdict"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    host, path = host_and_path(F.col("url"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url")) \
+        .select("page_id", host.alias("host"), path.alias("path"))
     return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
 
 
 def oracle() -> str:
-    """The query's rows in DuckDB SQL."""
+    """The query's rows in DuckDB SQL; ``listed`` is the table of listed sites."""
     rules = ", ".join(f"('{v}', '{r}', '{r[:r.index('/')]}', '{r[r.index('/'):]}')" for v, r in RULES)
-    listed = " OR ".join(f"((host = '{s[:s.index('/')]}' OR ends_with(host, '.{s[:s.index('/')]}')) AND starts_with(path, '{s[s.index('/'):]}'))"
-                         for s in LISTED)
-    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    low = f"translate({{}}, '{CAPITALS}', '{SMALL}')"
     return f"""
 WITH rules(verdict, rule, rhost, rpath) AS (VALUES {rules}),
 r AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT n, page_id, {low.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+listed AS (SELECT DISTINCT regexp_extract(host, '{site_pattern()}', 1) AS site FROM u),
+suffixes AS (SELECT n, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: array_to_string(string_split(host, '.')[k:], '.'))) AS site FROM u),
+b AS (SELECT DISTINCT n FROM suffixes JOIN listed USING (site) WHERE site <> ''),
 f AS (SELECT n, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM u, rules
       WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY n)
-SELECT page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN {listed} THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN f USING (n)"""
+SELECT page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN b.n IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN f USING (n) LEFT JOIN b ON u.n = b.n"""

@@ -122,6 +122,26 @@ def test_resharding(spark, texts):
     assert resharding.reshard(frame(spark, []), F.lit(0), 4).count() == 0
 
 
+def test_rewrite_keeps_every_row(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from eventfold.llm import resharding
+    rows = [(None, "a"), (None, None), (None, None), (1, "b"), (1, "b"), (1, "c"), (2, ""), (3, "x" * 900)] + [(i, str(i)) for i in range(10, 60)]
+    docs = frame(spark, rows).withColumn("Slot", F.lit(-1)).withColumn("source", F.monotonically_increasing_id().cast("string"))
+    for k, old in enumerate((F.lit(None).cast("int"), F.lit(0), F.when(F.col("doc_id") < 40, F.lit(9)).otherwise(F.lit(1)))):
+        path = str(tmp_path / str(k))
+        written = resharding.rewrite(docs, old, 5, path, rows_a_file=3)
+        assert written == list(range(5))
+        got = spark.read.parquet(path)
+        assert rows_of(got.select("doc_id", "text", "source")) == rows_of(docs.select("doc_id", "text", "source"))
+        by = collections.defaultdict(list)
+        for r in got.select("shard", "slot").collect():
+            by[r[0]].append(r[1])
+        assert all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    even = docs.where("doc_id >= 10")
+    assert resharding.rewrite(even, F.when(F.col("doc_id") < 35, F.lit(0)).otherwise(F.lit(1)), 2, str(tmp_path / "none")) == []
+
+
 def test_flow_moves_the_fewest_bytes():
     from eventfold.llm import resharding
     r = random.Random(5)
@@ -278,7 +298,10 @@ def test_quality_and_urls_equal_sql(spark):
     docs = [(1, None), (2, ""), (3, "a b c a b c a b c"), (3, "a b c a b c a b c"), (4, "x\ny\nx\n\n \n x"), (5, "the of " * 40 + "### é")]
     got = quality.quality(frame(spark, docs)).toPandas()
     pages = [(1, None), (2, "nope"), (3, "HTTP://A.example.ORG/es/x?q"), (4, "http://example.org/en/12"), (5, "http://x.com/fr/"), (6, "http://x.com/de/#a"),
-             (7, "http://cheap-pills.example.com"), (8, "http://org"), (9, "http://www.cheap-pills.example.com/q"), (9, "http://www.cheap-pills.example.com/q")]
+             (7, "http://cheap-pills.example.com"), (8, "http://org"), (9, "http://www.cheap-pills.example.com/q"), (9, "http://www.cheap-pills.example.com/q"),
+             (10, "http://M.Casino-win.example.net/en/"), (11, "http://casino-win.example.net"), (12, "http://a.spam.b.bets.net/x"), (13, "http://spam.b.other.net/"),
+             (14, "http://b.bets.net"), (15, "http://spam-farm.example.org/"), (16, "http://spam-farm.example.org"), (17, "http://spammer.net/"),
+             (18, "http://x-adult\n.net/"), (19, "http:///spam"), (20, "http://" + "spam." * 300 + "net/")]
     judged = urls.judge(spark.createDataFrame([(*p, "h") for p in pages], "page_id long, url string, verdict string")).toPandas()
     con = duckdb.connect()
     con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
@@ -292,10 +315,30 @@ def test_quality_and_urls_equal_sql(spark):
         assert a == b
 
 
+def test_listed_sites_and_empty_pages(spark):
+    from eventfold.llm import urls
+    schema = "page_id long, url string"
+    pages = spark.createDataFrame([(1, "http://m.free-bets.net/a"), (2, "x://free-bets.net"), (3, "x://net"), (4, None)], schema)
+    assert [r[0] for r in urls.listed_sites(pages).collect()] == ["free-bets.net"]
+    assert sorted((r.page_id, r.verdict) for r in urls.judge(pages, rules=[]).collect()) == [(1, "block"), (2, "block"), (3, "allow"), (4, "allow")]
+    own = spark.createDataFrame([("net",), (None,), ("",)], "site string")
+    assert sorted((r.page_id, r.verdict) for r in urls.judge(pages, sites=own).collect()) == [(1, "block"), (2, "block"), (3, "block"), (4, "allow")]
+    assert urls.judge(pages.limit(0)).count() == 0 and urls.judge(pages, rules=[], sites=own.limit(0)).count() == 4
+
+
+def test_digest_is_that_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    from eventfold.llm import urls
+    keys = ["", "org/", "é漢😀", "a" * 100]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", F.xxhash64("k")).collect()
+    assert all(urls.digest(k) == n % (1 << 64) for k, n in got)
+
+
 def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     from eventfold.llm import urls
     monkeypatch.setattr(urls, "digest", lambda key: 5)
-    urls.write_index({"a/": 1, "b/": 2}, str(tmp_path / "i"))
+    urls.write_index([(5, "a/", 1), (5, "b/", 2)], str(tmp_path / "i"))
     assert urls.Index(str(tmp_path / "i")).probe(["b/", "c/", "a/"]) == [2, None, 1]
 
 
