@@ -62,6 +62,27 @@ def totals(profile: DataFrame) -> DataFrame:
                        F.coalesce(F.sum("n_events"), F.lit(0)).cast("bigint").alias("events"))
 
 
+def record_totals(records: DataFrame) -> DataFrame:
+    """A9/A11 from raw records in one pass: (customers, customer_events,
+    records, unique_records, anonymous_events), one row.
+
+    Copies of an id meet once (R1: the first one's type and user count), then
+    one row a user is left, and then one. Only type, user and position are
+    shuffled; every step combines before its shuffle.
+    """
+    first = records.groupBy("id").agg(F.min_by(F.struct("type", "user_id"), "position").alias("_r"), F.count(F.lit(1)).alias("_copies"))
+    user, kind = F.col("_r.user_id"), F.col("_r.type")
+    by_user = first.groupBy(user.alias("user_id")).agg(
+        F.coalesce(F.max(kind == "attributes"), F.lit(False)).alias("_customer"), F.count_if(kind == "event").alias("_events"),
+        F.count(F.lit(1)).alias("_unique"), F.sum("_copies").alias("_records"))
+    named = F.col("user_id").isNotNull()
+    total = lambda column, where=F.lit(True): F.coalesce(F.sum(F.when(where, F.col(column))), F.lit(0)).cast("bigint")
+    return by_user.agg(F.count_if(named & F.col("_customer")).alias("customers"),
+                       total("_events", named & F.col("_customer")).alias("customer_events"),
+                       total("_records").alias("records"), total("_unique").alias("unique_records"),
+                       total("_events", ~named).alias("anonymous_events"))
+
+
 def list_reply_json(profile_json: DataFrame, page=None, per_page=None) -> DataFrame:
     """S8 list reply as one JSON text row:
     ``{"customers":[<profile>,...],"meta":{"page":..,"per_page":..,"total":..}}``.

@@ -186,21 +186,8 @@ def profile_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9/A11 and ingest totals as (metric, value) rows."""
-    raw = records(spark, sf_dir)
-    d = dedup_records(raw)
-    p = paging.totals(profile_text(d))
-    parts = [
-        p.select(F.lit("customers").alias("metric"), F.col("customers").alias("value")),
-        p.select(F.lit("customer_events").alias("metric"), F.col("events").alias("value")),
-        raw.agg(F.count(F.lit(1)).alias("value")).select(F.lit("records").alias("metric"), "value"),
-        d.agg(F.count(F.lit(1)).alias("value")).select(F.lit("unique_records").alias("metric"), "value"),
-        anonymous_counts(d).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("value"))
-        .select(F.lit("anonymous_events").alias("metric"), "value"),
-    ]
-    out = parts[0]
-    for q in parts[1:]:
-        out = out.unionByName(q)
-    return out
+    one = paging.record_totals(records(spark, sf_dir))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns])))
 
 
 @register

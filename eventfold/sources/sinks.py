@@ -40,7 +40,7 @@ def store_records(records: DataFrame, path: str, load: str, mode: str = "append"
     parts = ["load", "event_date"] if by_date else ["load"]
     out = (records.select(*RECORD_COLUMNS)
            .withColumn("load", F.lit(load)).withColumn("event_date", event_date()))
-    if by_date:
+    if by_date and table is None:
         # a day's rows go to few tasks, so files number about the days, not days times tasks;
         # a day with many rows is split by id
         out = out.repartitionByRange("event_date", "id")
@@ -49,7 +49,8 @@ def store_records(records: DataFrame, path: str, load: str, mode: str = "append"
         stored = spark.read.parquet(path)
     else:
         n = buckets or _buckets_of(spark, table) or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (out.write.mode(mode).format("parquet").option("path", path).partitionBy(*parts)
+        # rows meet by bucket before the write, so a bucket is one file (a day) whatever the session's settings
+        (out.repartition(n, "id").write.mode(mode).format("parquet").option("path", path).partitionBy(*parts)
          .bucketBy(n, "id").sortBy("id").saveAsTable(table))
         stored = spark.table(table)
     return stored.filter(F.col("load") == load).select(*RECORD_COLUMNS)

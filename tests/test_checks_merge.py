@@ -93,3 +93,24 @@ def test_merge_with_bucketed_history_table(spark, tmpdir_fresh):
         else:
             spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert "Bucketed: true" in plan
+
+
+def test_bucketed_store_writes_one_file_a_bucket(spark, tmpdir_fresh):
+    import glob
+
+    from eventfold.sources.sinks import store_records
+    rows = [event(f"e{i}", i % 7, "click", 10, i) for i in range(400)]
+    path, table = f"{tmpdir_fresh}/bucketed", "eventfold_test_bucketed"
+    store_records(recs(spark, rows).repartition(9), path, load="l1", mode="overwrite", table=table, buckets=3)
+    assert len(glob.glob(f"{path}/load=l1/*.parquet")) == 3
+    assert spark.table(table).count() == 400
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_record_totals_against_plain_counting(spark):
+    from eventfold.operators.paging import record_totals
+    rows = [attr("a1", 1, {"k": "x"}, 10, 1), event("e1", 1, "click", 10, 2), event("e1", 1, "click", 10, 3), event("e2", 2, "click", 10, 4),
+            event("e3", None, "view", 10, 5), event("e3", None, "view", 10, 6), attr("a2", None, {"k": "y"}, 20, 7), attr("a3", 3, {}, 20, 8),
+            event("x", 9, "late copy", 10, 10), attr("x", 3, {"k": "z"}, 10, 9)]
+    assert [tuple(r) for r in record_totals(recs(spark, rows)).collect()] == [(2, 1, 10, 7, 1)]
+    assert [tuple(r) for r in record_totals(recs(spark, rows).limit(0)).collect()] == [(0, 0, 0, 0, 0)]
