@@ -24,6 +24,8 @@ so a micro-batch that is replayed after a loss changes nothing.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,7 +150,7 @@ class Store:
         """D3: remove customers from every part by copying the files that hold them.
 
         Files without them stay as they are. Returns the new version and the
-        files that it no longer uses (whose removal ends the erasure: ``vacuum``).
+        files that it no longer uses; their removal by ``vacuum`` ends the erasure.
         """
         seen = self.versions.current()
         gone = ids.select(F.col(id_col).cast("bigint").alias("user_id")).where("user_id is not null").distinct()
@@ -161,11 +163,17 @@ class Store:
             touched = {r["file"] for r in named.join(gone, "user_id", "left_semi").select("file").distinct().collect()}
             if not touched:
                 continue
-            old = {f for f in seen.files[part] if _same_path(f) in {_same_path(t) for t in touched}}
+            same = {_same_path(unquote(t)) for t in touched}
+            old = {f for f in seen.files[part] if _same_path(f) in same}
             kept = self.spark.read.schema(SCHEMAS[part]).parquet(*old).join(gone, "user_id", "left_anti")
             added[part], removed[part] = self._write(part, kept), old
         return self.versions.next(seen, seen.tag, added, removed), removed
 
+    def vacuum(self, keep: int = 1, lost: bool = False) -> list[str]:
+        """Remove the files that the last ``keep`` versions do not name, which ends
+        an erasure for good (see ``Versions.vacuum``)."""
+        return self.versions.vacuum(keep, lost)
+
     def changes(self, users: DataFrame | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
         """The changelog, of the customers ``users`` or of an id range. The
         range reaches the scan, which skips row groups by their statistics."""

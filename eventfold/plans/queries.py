@@ -587,36 +587,41 @@ def _stream(name: str, mode: str, build):
 
 
 def _stream_batches(name: str, mode: str, build):
-    """The same stream over four files in arrival order, one a micro-batch."""
-    from eventfold.streaming.stream import records_stream, run_available_now
+    """The same stream in four runs over what arrived since the one before."""
+    from eventfold.streaming.stream import records_stream, run_available_now, stream_folders
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path, schema = _four_files(spark, sf_dir, name)
-        result, _ = run_available_now(build(records_stream(spark, path, schema)), mode, name)
+        folders = stream_folders(spark, name)
+        for path, schema in _arrivals(spark, sf_dir, name):
+            result, _ = run_available_now(build(records_stream(spark, path, schema, None)), mode, name, folders)
         return result
     run.__name__ = f"{name}_batches"
     return run
 
 
-def _four_files(spark: SparkSession, sf_dir: str, name: str):
-    """The records as four files in order of arrival. The file stream takes files
-    by their time, so they are written one after the other."""
+def _arrivals(spark: SparkSession, sf_dir: str, name: str):
+    """The records in four deliveries to one folder, in order of arrival: yields
+    the folder after each. The records are split in one pass, by Spark's own
+    partitions; a delivery copies its quarter."""
     raw = records(spark, sf_dir)
-    path, end = shared_dir(spark, name), raw.agg(F.max("position")).first()[0]
-    for part in range(4):
-        arrived = F.floor(F.col("position") * 4 / (end + 1)) == part
-        raw.filter(arrived).coalesce(1).write.mode("append").parquet(path)
-    return path, raw.schema
+    end = raw.agg(F.max("position")).first()[0]
+    split, path = shared_dir(spark, f"{name}-split"), shared_dir(spark, name)
+    raw.withColumn("_quarter", F.floor(F.col("position") * 4 / (end + 1)).cast("int")).write.partitionBy("_quarter").parquet(split)
+    for quarter in range(4):
+        spark.read.schema(raw.schema).parquet(f"{split}/_quarter={quarter}").write.mode("append").parquet(path)
+        yield path, raw.schema
 
 
 def _stream_upserts(name: str, keys: list[str], build):
-    """The four-file stream in update mode into a table readable at any time."""
-    from eventfold.streaming.stream import records_stream
+    """The stream in four runs, in update mode into a table readable at any time."""
+    from eventfold.streaming.stream import records_stream, stream_folders
     from eventfold.streaming.upserts import run_upserts
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path, schema = _four_files(spark, sf_dir, name)
-        return run_upserts(build(records_stream(spark, path, schema)), keys, name).read()
+        folders = stream_folders(spark, f"upserts-{name}")
+        for path, schema in _arrivals(spark, sf_dir, name):
+            table = run_upserts(build(records_stream(spark, path, schema, None)), keys, name, folders)
+        return table.read()
     run.__name__ = f"{name}_upserts"
     return run
 

@@ -67,12 +67,14 @@ def parse_summary(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                            part(f, 1).alias("key"), part(f, 2).alias("value")))
     # A key given twice on one line keeps its last value (later fields
     # overwrite earlier ones); the line is a whole customer, so this
-    # needs no shuffle.
-    last = (good.select("id", pairs.alias("_p"))
-            .select("id", F.filter("_p", lambda e, i: ~F.exists(
-                F.slice("_p", i + 2, F.greatest(F.size("_p"), F.lit(1))),
-                lambda o: (o["kind"] == e["kind"]) & (o["key"] == e["key"]))).alias("_p")))
-    long = last.select("id", F.inline("_p")).select("id", "kind", "key", "value")
+    # needs no shuffle. Fields are sorted by kind, key and place on the line,
+    # and each is compared with the one after it.
+    placed = F.array_sort(F.transform(pairs, lambda e, i: F.struct(e["kind"].alias("kind"), e["key"].alias("key"), i.alias("place"), e["value"].alias("value"))))
+    # explode of one array: the sorted fields are made once, not in each use
+    line = good.select("id", F.explode(F.array(placed)).alias("_p"))
+    following = F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1)))
+    last = F.zip_with("_p", following, lambda e, o: F.when(o.isNull() | (o["kind"] != e["kind"]) | (o["key"] != e["key"]), e))
+    long = line.select("id", F.inline(last)).where(F.col("kind").isNotNull()).select("id", "kind", "key", "value")
     return ids, long, quarantine
 
 

@@ -3,6 +3,7 @@
 from eventfold.streaming.stream import (
     ChangeLogger,
     ProgressLog,
+    Reports,
     events_stream,
     ndjson_stream,
     read_sink,
@@ -17,6 +18,7 @@ from eventfold.streaming.stream import (
 __all__ = [
     "ChangeLogger",
     "ProgressLog",
+    "Reports",
     "events_stream",
     "ndjson_stream",
     "read_sink",

@@ -10,7 +10,7 @@ ST3 changelog: ``transformWithStateInPandas`` keyed by (user_id, key),
     a ValueState holding the last logged value.
 ST4 running counts and ST5 running latest attributes: streaming
     aggregations (a late, older value never overwrites: R3 holds).
-ST6 progress: ``query.recentProgress`` / ``lastProgress``.
+ST6 progress: listeners that see every micro-batch (``Reports``, ``ProgressLog``).
 
 Streams carry no byte position for NDJSON input; there ``id`` breaks ties.
 """
@@ -18,7 +18,9 @@ Streams carry no byte position for NDJSON input; there ``id`` breaks ties.
 from __future__ import annotations
 
 import sys
-
+import threading
+import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +34,7 @@ from eventfold.operators.attributes import attribute_assertions
 from eventfold.operators.events import event_counts
 from eventfold.schema import CHANGE
 from eventfold.session import shared_dir
+from eventfold.sources.ndjson import file_system
 from eventfold.sources.records import parse_lines
 from eventfold.sources.tables import records_from_events
 
@@ -52,9 +55,13 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int =
     return records_from_events(ev)
 
 
-def records_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1) -> DataFrame:
-    """ST1 over stored records, file by file in the order they were written."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+def records_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = 1) -> DataFrame:
+    """ST1 over stored records, file by file in the order they were written, or
+    with no limit all that is there in one trigger."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path)
 
 
 def ndjson_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 100
@@ -98,7 +105,8 @@ def stream_latest_attributes(records: DataFrame) -> DataFrame:
 class ChangeLogger(StatefulProcessor):
     """ST3: per (user_id, key), log an assertion whose value differs from the
     last logged one. Rows of one micro-batch are taken in arrival order
-    (position, then id)."""
+    (position, then id). A key's rows of one micro-batch are in one task, so the
+    trigger's size bounds them; ``operators.store.store_sink`` splits a hot key."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "value string")
@@ -137,15 +145,30 @@ def stream_attribute_changes(records: DataFrame) -> DataFrame:
             .transformWithStateInPandas(ChangeLogger(), CHANGE, "append", "None"))
 
 
+#: Results of a ``complete`` stream that stay for readers that hold them.
+KEPT = 4
+POINTER = "batch bigint, folder string"
+
+
 def _parquet_sink(out: str, mode: str):
-    """foreachBatch writer: ``complete`` overwrites the table each batch,
-    ``append`` writes one sub-folder per batch id, so a replayed batch
-    rewrites the same folder (idempotent)."""
+    """foreachBatch writer. ``complete`` writes each batch's result to a folder of
+    its own and then names that folder in one row of ``current``, so a reader sees
+    the result before or after a trigger, never a part; older folders than the
+    last ``KEPT`` are removed. ``append`` writes one sub-folder per batch id. A
+    replayed batch gives the same result in both modes."""
+    written: deque[str] = deque()
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(f"{out}/table")
-        else:
+        if mode != "complete":
             batch.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
+            return
+        folder = f"{out}/whole/{uuid.uuid4().hex}"
+        batch.write.parquet(folder)
+        batch.sparkSession.createDataFrame([(batch_id, folder)], POINTER).coalesce(1).write.mode("append").parquet(f"{out}/current")
+        written.append(folder)
+        while len(written) > KEPT:
+            system, inner = file_system(written.popleft())
+            system.delete_dir(inner)
     return sink
 
 
@@ -158,26 +181,77 @@ def start_stream(df: DataFrame, mode: str, out: str, checkpoint: str,
             .foreachBatch(_parquet_sink(out, mode)).trigger(processingTime=processing_time).start())
 
 
-def read_sink(spark: SparkSession, out: str) -> DataFrame:
-    result = spark.read.parquet(f"{out}/table")
-    return result.drop("batch") if "batch" in result.columns else result
+def read_sink(spark: SparkSession, out: str, mode: str = "complete") -> DataFrame:
+    """What a stream in ``mode`` has written to ``out`` so far."""
+    if mode != "complete":
+        return spark.read.parquet(f"{out}/table").drop("batch")
+    newest = spark.read.schema(POINTER).parquet(f"{out}/current").agg(F.max_by("folder", "batch")).first()[0]
+    return spark.read.parquet(newest)
 
 
-def run_available_now(df: DataFrame, mode: str, name: str) -> tuple[DataFrame, list]:
+def run_available_now(df: DataFrame, mode: str, name: str, folders: tuple[str, str] | None = None) -> tuple[DataFrame, list]:
     """Run a streaming DataFrame over all available input and return its
-    result as a static DataFrame plus the progress reports (ST6).
+    result as a static DataFrame plus the progress reports (ST6), one of every
+    micro-batch.
 
     The sink is ``foreachBatch`` writing Parquet under the shared folder
-    (see ``_parquet_sink``).
+    (see ``_parquet_sink``). ``folders`` (output, checkpoint) of an earlier run
+    make this one go on where that ended.
     """
     spark = df.sparkSession
-    out = shared_dir(spark, f"stream-{name}")
-    ckpt = shared_dir(spark, f"stream-{name}-checkpoint")
-    q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-         .foreachBatch(_parquet_sink(out, mode)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    progress = [p for p in q.recentProgress]
-    return read_sink(spark, out), progress
+    out, ckpt = folders or stream_folders(spark, name)
+    reports = Reports()
+    spark.streams.addListener(reports)
+    try:
+        q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
+             .foreachBatch(_parquet_sink(out, mode)).trigger(availableNow=True).start())
+        q.awaitTermination()
+        progress = reports.of(str(q.runId))
+    finally:
+        spark.streams.removeListener(reports)
+    return read_sink(spark, out, mode), progress
+
+
+def stream_folders(spark: SparkSession, name: str) -> tuple[str, str]:
+    """New output and checkpoint folders for ``run_available_now``."""
+    return shared_dir(spark, f"stream-{name}"), shared_dir(spark, f"stream-{name}-checkpoint")
+
+
+class Reports(StreamingQueryListener):
+    """ST6: the progress reports of every micro-batch by run; a query itself
+    remembers its last hundred only. Each report is cut to its number, times,
+    rows and offsets, a few hundred bytes a micro-batch on the driver."""
+
+    KEEP = ("batchId", "timestamp", "numInputRows", "batchDuration")
+
+    def __init__(self):
+        self.runs: dict[str, list[dict]] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def _end(self, run: str) -> threading.Event:
+        return self.ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        report = {k: getattr(p, k) for k in self.KEEP}
+        report["sources"] = [{"startOffset": s.startOffset, "endOffset": s.endOffset, "numInputRows": s.numInputRows} for s in p.sources]
+        self.runs.setdefault(str(p.runId), []).append(report)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.runId)).set()
+
+    def of(self, run: str, timeout: float = 60) -> list[dict]:
+        """All reports of a run that has ended. Events arrive in order but later
+        than the query's end, so this waits for the run's last one."""
+        if not self._end(run).wait(timeout):
+            raise TimeoutError(f"no end of run {run} was reported in {timeout} s")
+        return self.runs.get(run, [])
 
 
 class ProgressLog(StreamingQueryListener):

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventfold.session import shared_dir
+from eventfold.sources.ndjson import exists
 from eventfold.sources.versions import Version, Versions
+from eventfold.streaming.stream import stream_folders
 
 PART = "rows"
 
@@ -46,10 +47,12 @@ class UpsertTable:
         return self.versions.next(seen, seen.tag, {PART: added}, {PART: set(seen.files.get(PART, ()))})
 
 
-def run_upserts(df: DataFrame, keys: list[str], name: str) -> UpsertTable:
-    """Run a streaming aggregation over all available input into a new table."""
-    table = UpsertTable(df.sparkSession, shared_dir(df.sparkSession, f"upserts-{name}"), df.schema, keys, create=True)
-    query = df.writeStream.outputMode("update").option("checkpointLocation", shared_dir(df.sparkSession, f"upserts-{name}-checkpoint")) \
+def run_upserts(df: DataFrame, keys: list[str], name: str, folders: tuple[str, str] | None = None) -> UpsertTable:
+    """Run a streaming aggregation over all available input into a table: a new
+    one, or that of an earlier run's ``folders`` (table, checkpoint)."""
+    root, checkpoint = folders or stream_folders(df.sparkSession, f"upserts-{name}")
+    table = UpsertTable(df.sparkSession, root, df.schema, keys, create=not exists(root))
+    query = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint) \
         .foreachBatch(table.upsert).trigger(availableNow=True).start()
     query.awaitTermination()
     return table

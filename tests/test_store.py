@@ -165,3 +165,22 @@ def test_one_hot_attribute_in_one_trigger(spark, tmpdir_fresh):
     store.merge(rows)
     assert store.last_change() == n
     assert store.changes(first=n).first()["value"] == str((n - 1) % 2)
+
+
+def test_vacuum_ends_an_erasure(spark, tmpdir_fresh):
+    rows = some()
+    store = fresh(spark, f"{tmpdir_fresh}/a folder", [rows[:150], rows[150:]])
+    store.versions.write("counts", spark.createDataFrame([(3, "lost", 1)], SCHEMAS["counts"]))  # of a writer that failed
+    _, removed = store.erase(spark.createDataFrame([(3,)], "id bigint"))
+    want = {p: rows_set(store.versions.read(p)) for p in SCHEMAS}
+    gone = store.vacuum(keep=2)
+    assert not set(gone) & {f.removeprefix("file://") for files in removed.values() for f in files}  # the version before still reads
+    gone += store.vacuum()
+    assert len(gone) == sum(map(len, removed.values())) and not any(os.path.exists(f) for f in gone)
+    assert {p: rows_set(Store(spark, f"{tmpdir_fresh}/a folder/store").versions.read(p)) for p in SCHEMAS} == want
+    lost = store.vacuum(lost=True)
+    assert len(lost) >= 1 and store.vacuum(lost=True) == []
+    stored = spark.read.option("recursiveFileLookup", "true").schema("user_id bigint").parquet(f"{tmpdir_fresh}/a folder/store/data")
+    assert stored.where("user_id = 3").count() == 0
+    store.merge(recs(spark, [event("late", 5, "n9", 1, 10**7)]))
+    assert store.read("counts").where("name = 'n9'").count() == 1

@@ -119,3 +119,18 @@ def test_long_running_stream_stops_and_resumes(spark, tmpdir_fresh):
     q.processAllAvailable()
     q.stop()
     assert rows_set(read_sink(spark, out)) == [(1, "click", 2), (2, "view", 1)]
+
+
+def test_every_micro_batch_is_reported(spark, tmpdir_fresh):
+    folder = f"{tmpdir_fresh}/in"
+    _write_files(folder, [[_rec(i, "event", 1, i, name="n")] for i in range(12)])
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")  # what the query itself remembers
+    try:
+        valid, _ = ndjson_stream(spark, folder, max_files_per_trigger=1)
+        out, progress = run_available_now(valid.select("id"), "append", "t-reports")
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    assert out.count() == 12
+    assert [p["batchId"] for p in progress if p["numInputRows"]] == list(range(12))
+    assert sum(p["numInputRows"] for p in progress) == 12

@@ -89,3 +89,18 @@ def test_summary_repeated_keys(spark):
     p = {r.id: r for r in summary_profiles(ids, long).collect()}
     assert p[1].attributes == {"a": "y"} and p[1].events == {"click": 2}
     assert p[2].attributes == {"b": "q", "c": "r"}
+
+
+def test_long_lines_keep_the_later_of_repeated_keys(spark):
+    fields = [f"k{i % 700}=v{i}" for i in range(20_000)] + [f"k{i}={i}" for i in range(5)] + ["k1=7", "", "k2=x"]
+    lines = spark.createDataFrame([("1," + ",".join(fields),), ("2,a=1,a=b,a=2",)], "value string")
+    _, long, bad = parse_summary(lines)
+    want = {}
+    for f in fields:
+        if f:
+            k, v = f.split("=")
+            want["event" if v.isdigit() else "attribute", k] = v
+    assert bad.count() == 0
+    got = long.collect()
+    assert sorted((r.kind, r.key, r.value) for r in got if r.id == 1) == sorted((*k, v) for k, v in want.items())
+    assert sorted((r.kind, r.key, r.value) for r in got if r.id == 2) == [("attribute", "a", "b"), ("event", "a", "2")]
