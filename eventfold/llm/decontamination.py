@@ -5,8 +5,10 @@ terms; the document frequencies are counted over all passages of the corpus.
 A randomised SVD, whose products run over the rows' partitions, gives a
 latent space. Every passage of every document is folded in, and the cosine
 with each item passage makes candidates. A candidate counts only if the
-longest common subsequence of words with the item is long: almost the whole
-item, or a good part of it together with most of its end (the answer).
+longest common subsequence of words with the item is long: most of the item,
+or a good part of it together with most of its end (the answer). Where parts
+of the item have changed places, most of its runs of three words in any order
+together with most of its end count as well.
 
 A latent space of fixed rank keeps less of a passage's length the more items
 a block holds. So the exact TF-IDF cosine makes candidates too, through
@@ -20,17 +22,22 @@ A term outside the benchmark's vocabulary adds to a passage's length with the
 weight of a term seen once. So a passage whose known terms carry too little of
 its length cannot reach the least cosine, and is passed over without a loss.
 
-Benchmark items go out in blocks of about a megabyte of text, which bounds
-what is broadcast and what the driver holds; the documents are not moved.
-Terms are 64-bit hashes of words (letters, digits; lower case).
-
-Rows: null or empty text has no passage and is clean; items of fewer than
-``SHORTEST`` words are no evidence and are not searched; repeated items or
-documents give a row each; a null id is passed through.
+Benchmark items go out in blocks of about a megabyte of text, ``GROUP`` of them
+at a time, which bounds what is broadcast and what the driver and a worker
+hold. One group's documents are not moved; between groups the rows and their
+hits so far are written to the shared folder, and the group's blocks dropped.
+Terms are 64-bit hashes of words (letters, digits; lower case; in scripts
+written without blanks each character is a word).
+
+Rows: null or empty text has no passage and is clean; an item of fewer than
+``SHORTEST`` words is found where all its words stand side by side, however few
+(``least_words`` can demand more of an item); an item without a word is not
+searched; repeated items or documents give a row each; a null id is passed through.
 """
 
 from __future__ import annotations
 
+import itertools
 import sys
 from collections.abc import Iterator
 
@@ -42,19 +49,26 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import by_bytes, mix, powers, prefix_hashes, text_buffers, word_hashes
+from eventfold.llm.common import by_bytes, mix, powers, prefix_hashes, staged, text_buffers, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words in a passage, and from one passage's start to the next one's.
 WINDOW, STEP = 32, 16
-#: Fewest words of an item that is searched.
+#: Fewest words of an item that is searched by passages; shorter ones are looked up word by word.
 SHORTEST = 8
 RANK, OVERSAMPLE, PASSES = 256, 16, 2
 COSINE = 0.35
 #: Shares of an item in the common subsequence: alone, or with its end.
-WHOLE, PART, END = 0.8, 0.6, 0.6
-BLOCK_BYTES = 1 << 20
+WHOLE, PART, END = 0.65, 0.6, 0.6
+#: Words of a run, and the share of an item's runs in any order that count with its end.
+RUN, RUNS = 3, 0.6
+#: Bytes of text in a block, and blocks that are searched in one pass.
+BLOCK_BYTES, GROUP = 1 << 20, 4
+#: Scripts written without blanks between words, and the first bytes their characters have in UTF-8.
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+UNSPACED_LEADS = [0xE0, 0xE1, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEF, 0xF0]
+MAY_BE_UNSPACED = np.isin(np.arange(256), UNSPACED_LEADS)
 #: Entries of postings that are added up at a time.
 POSTINGS = 1 << 21
 
@@ -69,7 +83,11 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a text column and each row's first word's number."""
     if column.null_count:
         column = column.fill_null("")
-    return word_hashes(*text_buffers(pc.utf8_lower(column)), word_bytes(), False)
+    column = pc.utf8_lower(column)
+    data, starts = text_buffers(column)
+    if MAY_BE_UNSPACED[data].any():
+        data, starts = text_buffers(pc.replace_substring_regex(column.cast(pa.large_string()), f"({UNSPACED})", r" \1 "))
+    return word_hashes(data, starts, word_bytes(), False)
 
 
 def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,9 +233,10 @@ def common_words(item: list[int], region: list[int]) -> int:
 class Block:
     """One block of items: their words, terms, latent passages."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], least_words: int = 1):
         h, first = words(pa.array(texts, pa.string()))
-        keep = [i for i in range(len(ids)) if first[i + 1] - first[i] >= SHORTEST]
+        self.short = sorted((h[first[i]:first[i + 1]].tolist(), ids[i]) for i in range(len(ids)) if least_words <= first[i + 1] - first[i] < SHORTEST)
+        keep = [i for i in range(len(ids)) if first[i + 1] - first[i] >= max(SHORTEST, least_words)]
         self.ids = [ids[i] for i in keep]
         self.words = [h[first[i]:first[i + 1]] for i in keep]
         flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
@@ -242,11 +261,12 @@ class Block:
         block = cls.__new__(cls)
         block.__dict__.update(state)
         block.terms = Terms(state["terms"])
+        block.runs = [runs(x) for x in block.lists]
         return block
 
     def state(self) -> dict:
-        return {**{k: self.__dict__[k] for k in (
-            "ids", "item", "at", "lists", "whole", "gram", "gram_item", "gram_at", "idf", "other", "latent", "fold",
+        return {**{k: self.__dict__.get(k) for k in (
+            "ids", "short", "item", "at", "lists", "whole", "gram", "gram_item", "gram_at", "idf", "other", "latent", "fold",
             "key", "weight", "rest", "heavy", "heavy_at")}, "terms": self.terms.hashes}
 
     def learn(self, docs: DataFrame) -> None:
@@ -330,9 +350,41 @@ class Block:
                     out.add((r, i))
         return sorted(out)
 
-    def search(self, column: pa.Array, cosine: float) -> list[dict[int, tuple[float, float]]]:
-        """For each text the contained items with cosine and share of common words."""
+    def short_copies(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, object]]:
+        """Row and id of the short items whose words stand side by side in the row."""
+        out = []
+        for n, group in itertools.groupby(sorted(self.short, key=lambda s: len(s[0])), key=lambda s: len(s[0])):
+            if len(h) < n:
+                continue
+            items = list(group)
+            key = run_hashes(np.array([w for ws, _ in items for w in ws], np.uint64), np.arange(len(items)) * n, np.arange(1, len(items) + 1) * n)
+            order = np.argsort(key, kind="stable")
+            at = np.arange(len(h) - n + 1)
+            gram = run_hashes(h, at, at + n)
+            low = np.searchsorted(key[order], gram)
+            at = at[key[order][np.minimum(low, len(key) - 1)] == gram]
+            row = np.searchsorted(first, at, side="right") - 1
+            inside = at + n <= first[row + 1]
+            at, row = at[inside], row[inside]
+            # a run is reported once a row, wherever it stands
+            _, once = np.unique(np.stack([row.astype(np.uint64), gram[at]]), axis=1, return_index=True)
+            for r, s in zip(row[once].tolist(), at[once].tolist(), strict=True):
+                found = h[s:s + n].tolist()
+                for k in order[np.searchsorted(key[order], gram[s]):np.searchsorted(key[order], gram[s], side="right")].tolist():
+                    if items[k][0] == found:
+                        out.append((r, items[k][1]))
+        return out
+
+    def found(self, column: pa.Array, cosine: float) -> list[list[dict]]:
+        """For each text its hits, short items included."""
         h, first = words(column)
+        hits = [[{"item_id": self.ids[i], "cosine": c, "common": s} for i, (c, s) in sorted(got.items())] for got in self.search(h, first, cosine)]
+        for r, i in self.short_copies(h, first):
+            hits[r].append({"item_id": i, "cosine": 1.0, "common": 1.0})
+        return hits
+
+    def search(self, h: np.ndarray, first: np.ndarray, cosine: float) -> list[dict[int, tuple[float, float]]]:
+        """For each text the contained items with cosine and share of common words."""
         out: list[dict[int, tuple[float, float]]] = [{} for _ in range(len(first) - 1)]
         row, start, end = passages(first)
         if not len(row) or not self.ids:
@@ -368,7 +420,10 @@ class Block:
             region = h[begin:min(int(first[r + 1]), int(start[w]) - int(self.at[p]) + len(item) + slack)].tolist()
             share = common_words(item, region) / len(item)
             if share < PART:
-                continue
+                wide = h[max(int(first[r]), begin - len(item)):min(int(first[r + 1]), begin + len(region) + len(item))]
+                region = wide.tolist()
+                if len(self.runs[i] & runs(region)) < RUNS * len(self.runs[i]):
+                    continue
             tail = item[-max(2, len(item) // 4):]
             if share >= WHOLE or common_words(tail, region) >= END * len(tail):
                 out[r][i] = (float(-minus), share)
@@ -377,6 +432,10 @@ class Block:
         return out
 
 
+def runs(words_: list[int]) -> set[tuple]:
+    return set(zip(*(words_[k:] for k in range(RUN)), strict=False))
+
+
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list[str]]]:
     """The items a block at a time; a block holds about BLOCK_BYTES of text."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
@@ -389,35 +448,48 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[l
 
 
 def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], cosine: float = COSINE, text_col: str = "text",
-           item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+           item_col: str = "item_id", item_text: str = "text", least_words: int = 1) -> DataFrame:
     """The columns ``keep`` as struct ``row`` with ``hits``, an array of
-    (item_id, cosine, common): the items that the document contains."""
+    (item_id, cosine, common): the items that the document contains. Items of
+    fewer than ``least_words`` words are not searched."""
     spark = docs.sparkSession
     fields = "array<struct<item_id:bigint,cosine:double,common:double>>"
     hit_type = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64())]))
-    shared = []
-    for ids, texts in blocks(benchmark, item_col, item_text):
-        block = Block(ids, texts)
-        if block.ids:
-            block.learn(docs.select(F.col(text_col).alias("text")))
-            shared.append(spark.sparkContext.broadcast(block.state()))
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(c) for c in keep]).alias("row"))
-    schema = rows.select("row").schema.add("hits", _parsed(spark, fields))
-
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(c) for c in keep]).alias("row"),
+                       F.array().cast(fields).alias("hits"))
+    corpus = docs.select(F.col(text_col).alias("text"))
+    groups = itertools.batched(blocks(benchmark, item_col, item_text), GROUP)
+    group = next(groups, None)
+    while group is not None:
+        shared = []
+        for ids, texts in group:
+            block = Block(ids, texts, least_words)
+            if block.ids:
+                block.learn(corpus)
+            if block.ids or block.short:
+                shared.append(spark.sparkContext.broadcast(block.state()))
+        group = next(groups, None)
+        if group is None:
+            return _pass(rows, shared, cosine, hit_type).select("row", "hits") if shared else rows.select("row", "hits")
+        if shared:  # another group follows: what this one found is written, so its blocks can go
+            rows = staged(_pass(rows, shared, cosine, hit_type), "decontamination")
+            for b in shared:
+                b.destroy()
+    return rows.select("row", "hits")
+
+
+def _pass(rows: DataFrame, shared: list, cosine: float, hit_type: pa.DataType) -> DataFrame:
+    """(text, row, hits) with the hits of the broadcast blocks added."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [Block.of(b.value) for b in shared]
         for batch in by_bytes(batches):
-            hits: list[list] = [[] for _ in range(batch.num_rows)]
+            hits = batch.column(2).to_pylist()
             for b in held:
-                for r, found in enumerate(b.search(batch.column(0), cosine)):
-                    hits[r] += [{"item_id": b.ids[i], "cosine": c, "common": s} for i, (c, s) in sorted(found.items())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(hits, hit_type)], ["row", "hits"])
-
-    return rows.mapInArrow(run, schema)
-
+                for r, found in enumerate(b.found(batch.column(0), cosine)):
+                    hits[r] += found
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, hit_type)], ["text", "row", "hits"])
 
-def _parsed(spark, text: str):
-    return spark.createDataFrame([], f"x {text}").schema["x"].dataType
+    return rows.mapInArrow(run, rows.schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

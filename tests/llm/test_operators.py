@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_tokens long, shard int, row string"
 
@@ -378,6 +379,39 @@ def test_decontamination_by_many_items(spark):
     assert got == [(k, k) for k in range(200)]
 
 
+def test_decontamination_of_short_unspaced_and_moved_items(spark, monkeypatch):
+    """Short items word by word, scripts without blanks, replaced and reordered items; the
+    same from several groups of blocks, with repeated rows and a column named as a result's."""
+    from eventfold.llm import decontamination as dc
+    r, w = random.Random(12), words(12, 900)
+    text = lambda n: " ".join(r.choice(w) for _ in range(n))
+    items = [(k, text(r.randint(24, 50))) for k in range(40)]
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(24))
+    items += [(50, "Zebra qualm vortex?"), (51, "quokka"), (52, "one-two"), (53, han), (54, "東京都"), (55, " ?! "), (55, "quokka")]
+    swapped, thirds, replaced = items[0][1].split(), items[1][1].split(), items[2][1].split()
+    replaced[3::5] = ["zz"] * len(replaced[3::5])
+    a, b = len(swapped) // 2, len(thirds) // 3
+    long = " ".join(text(4000) for _ in range(5))
+    docs = [(1, f"{text(40)} {' '.join(swapped[a:] + swapped[:a])} {text(40)}"), (2, f"{text(40)} {' '.join(thirds[2 * b:] + thirds[:2 * b])} {text(40)}"),
+            (3, f"{text(40)} {' '.join(replaced)} {text(40)}"), (4, f"{text(20)}, zebra QUALM: vortex {text(9)}"), (5, "quokka"), (5, "quokka"),
+            (6, "zebra qualm"), (7, "qualm vortex zebra"), (8, f"一二三{han}四五"), (9, "我住在東京都。"), (10, "東 京 都"), (11, "東京"), (12, None), (13, ""),
+            (14, "two one"), (15, f"{long} {items[5][1]} {long} quokka {long} one two"), (None, "a quokka b quokka"), *((100 + k, text(250)) for k in range(25))]
+    want = sorted([(1, 0), (2, 1), (3, 2), (4, 50), *[(5, 51), (5, 55)] * 2, (8, 53), (9, 54), (10, 54), (15, 5), (15, 51), (15, 52), (15, 55), (None, 51), (None, 55)], key=str)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame_ = frame(spark, docs).withColumn("hits", F.lit("mine"))
+    found = lambda: sorted(((x["doc_id"], x["item_id"]) for x in dc.contaminated(frame_, bench).collect()), key=str)
+    assert found() == want
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(dc, "GROUP", 1)
+    assert len(list(dc.blocks(bench, "item_id", "text"))) > 1
+    assert found() == want
+    monkeypatch.undo()
+    left = dc.clean(frame_, bench)
+    assert left.columns == frame_.columns and left.count() == len(docs) - len({d for d, _ in want}) - 1
+    only = dc.search(frame_, bench, ["doc_id"], least_words=3).select("row.doc_id", F.explode("hits.item_id").alias("i"))
+    assert sorted(((x["doc_id"], x["i"]) for x in only.collect()), key=str) == [x for x in want if x[1] not in (51, 52, 55)]
+
+
 def jaccard(rows):
     sets = []
     for _, t in rows:
