@@ -6,8 +6,8 @@ ST1 record stream: ``readStream`` over NDJSON text or the events parquet,
 ST2 dedup: ``dropDuplicates(["id"])`` keeps every id forever (the
     reference's keep-forever table); ``dropDuplicatesWithinWatermark``
     bounds the state by event time instead.
-ST3 changelog: ``transformWithStateInPandas`` keyed by (user_id, key),
-    a ValueState holding the last logged value.
+ST3 changelog: ``transformWithStateInPandas`` keyed by a bucket of (user_id,
+    key) pairs, a ValueState holding the last logged value of each pair.
 ST4 running counts and ST5 running latest attributes: streaming
     aggregations (a late, older value never overwrites: R3 holds).
 ST6 progress: listeners that see every micro-batch (``Reports``, ``ProgressLog``).
@@ -17,12 +17,14 @@ Streams carry no byte position for NDJSON input; there ``id`` breaks ties.
 
 from __future__ import annotations
 
+import json
 import sys
 import threading
 import uuid
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -102,31 +104,44 @@ def stream_latest_attributes(records: DataFrame) -> DataFrame:
             .select("user_id", "key", "_w.value", "_w.timestamp", "_w.position"))
 
 
+#: Buckets of (user_id, key) pairs of the changelog's state: fixed, as a stream
+#: goes on from its checkpoint. A trigger calls Python once a bucket that it
+#: touches, and rewrites that bucket's state, not once a pair.
+BUCKETS = 4096
+
+
 class ChangeLogger(StatefulProcessor):
     """ST3: per (user_id, key), log an assertion whose value differs from the
     last logged one. Rows of one micro-batch are taken in arrival order
-    (position, then id). A key's rows of one micro-batch are in one task, so the
-    trigger's size bounds them; ``operators.store.store_sink`` splits a hot key."""
+    (position, then id). A bucket's pairs are taken together; its state is the
+    JSON list of their (user_id, key, last value). A key's rows of one micro-batch
+    are in one task, so the trigger's size bounds them;
+    ``operators.store.store_sink`` splits a hot key."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "value string")
+        self.last = handle.getValueState("last", "pairs string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.sort_values(["position", "record_id"], na_position="first", kind="stable")
-        values = pdf["value"].astype(object).reset_index(drop=True)
+        if not len(pdf):
+            return
+        pdf = pdf.sort_values(["user_id", "key", "position", "record_id"], na_position="first", kind="stable")
+        users = pdf["user_id"].to_numpy()
+        names, values = (pdf[c].astype(object).to_numpy() for c in ("key", "value"))
+        last = {(u, k): v for u, k, v in json.loads(self.last.get()[0])} if self.last.exists() else {}
+        starts = np.concatenate(([True], (users[1:] != users[:-1]) | (names[1:] != names[:-1])))
         # The previous assertion's value is the last logged one (an
-        # unchanged value logs nothing); the first row compares with state.
-        prev = values.shift(1)
-        prev.iloc[0] = self.last.get()[0] if self.last.exists() else None
-        changed = prev.isna() | (values != prev)
-        if len(values):
-            self.last.update((values.iloc[-1],))
+        # unchanged value logs nothing); a pair's first row compares with state.
+        prev = np.concatenate(([None], values[:-1]))
+        for i in np.flatnonzero(starts).tolist():
+            prev[i] = last.get((int(users[i]), names[i]))
+        changed = values != prev
+        for i in np.flatnonzero(np.append(starts[1:], True)).tolist():
+            last[int(users[i]), names[i]] = values[i]
+        self.last.update((json.dumps([[u, k, v] for (u, k), v in last.items()], ensure_ascii=False, separators=(",", ":")),))
         out = pd.DataFrame({
-            "user_id": key[0], "name": key[1],
-            "old_value": prev[changed].to_numpy(), "value": values[changed].to_numpy(),
-            "timestamp": pdf["timestamp"].to_numpy()[changed.to_numpy()],
-            "position": pdf["position"].to_numpy()[changed.to_numpy()],
+            "user_id": users[changed], "name": names[changed], "old_value": prev[changed], "value": values[changed],
+            "timestamp": pdf["timestamp"].to_numpy()[changed], "position": pdf["position"].to_numpy()[changed],
         })
         if len(out):
             yield out[[f.name for f in CHANGE.fields]]
@@ -141,7 +156,8 @@ def stream_attribute_changes(records: DataFrame) -> DataFrame:
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     a = attribute_assertions(stream_dedup(records), with_id=True)
-    return (a.groupBy("user_id", "key")
+    bucket = F.pmod(F.xxhash64("user_id", "key"), F.lit(BUCKETS)).cast("int")
+    return (a.withColumn("bucket", bucket).groupBy("bucket")
             .transformWithStateInPandas(ChangeLogger(), CHANGE, "append", "None"))
 
 

@@ -134,3 +134,46 @@ def test_every_micro_batch_is_reported(spark, tmpdir_fresh):
     assert out.count() == 12
     assert [p["batchId"] for p in progress if p["numInputRows"]] == list(range(12))
     assert sum(p["numInputRows"] for p in progress) == 12
+
+
+def test_changelog_takes_a_bucket_of_pairs_at_once():
+    import random
+
+    import pandas as pd
+
+    from eventfold.streaming.stream import ChangeLogger
+
+    class Value:
+        held, calls = None, 0
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held, self.calls = value, self.calls + 1
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, *_):
+            return self.value
+
+    r, handle, last = random.Random(1), Handle(), {}
+    logger = ChangeLogger()
+    logger.init(handle)
+    columns = ["user_id", "key", "value", "timestamp", "position", "record_id"]
+    for trigger in range(3):
+        rows = [(r.randint(1, 40), r.choice(["k", "j", ""]), r.choice(["a", "b", "", "é\"\n"]), i, 1000 * trigger + i, f"r{i}") for i in range(400)]
+        want = []
+        for user, key, value, at, position, _ in rows:
+            if last.get((user, key)) != value:
+                want.append((user, key, last.get((user, key)), value, at, position))
+            last[user, key] = value
+        r.shuffle(rows)
+        parts = [pd.DataFrame(x, columns=columns) for x in (rows[:150], rows[150:])]
+        got = [tuple(x) for out in logger.handleInputRows((0,), iter(parts), None) for x in out.astype(object).itertuples(index=False)]
+        assert sorted(got, key=lambda x: x[-1]) == want
+    assert handle.value.calls == 3  # the state is written once a bucket and trigger, not once a pair
