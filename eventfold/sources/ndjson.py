@@ -1,9 +1,10 @@
 """S1, S2, S4, ST1: lines of text files as byte ranges, for batch and streams.
 
-A Python data source, ``eventfold_lines``. A partition is a byte range of one
-file: a line belongs to the range in which it starts, is read to its end, and
-carries its end offset, so lines of any split have exact positions without a
-second scan. Reading starts at given offsets by file: bytes before them are
+A Python data source, ``eventfold_lines``. Files are read in byte ranges: a line
+belongs to the range in which it starts, is read to its end, and carries its end
+offset, so lines of any split have exact positions without a second scan. A
+range reads its own bytes and what its last line needs beyond them; a partition
+takes small ranges, and small files, together. Reading starts at given offsets by file: bytes before them are
 never opened. As a stream, the offset is the map of files to bytes read, and a
 trigger reads what came since in ranges of bounded size; several files of one
 trigger keep their arrival order:
@@ -40,6 +41,9 @@ NAME = "eventfold_lines"
 SCHEMA = "value string, source string, position bigint, file_position bigint"
 #: Default bytes of a range, of a read, and of an Arrow batch.
 RANGE, READ = 128 << 20, 4 << 20
+#: Bytes of the ranges that one partition takes together, and of the first read
+#: behind a range's end (the next ones double).
+TASK, SEAM = 8 << 20, 4 << 10
 PACKED = re.compile(r"\.(gz|bz2|zst|lz4|snappy|deflate)\Z", re.IGNORECASE)
 
 
@@ -56,6 +60,15 @@ class Range(InputPartition):
     first: bool  # byte ``start`` starts a line
 
 
+@dataclass
+class Task(InputPartition):
+    """Runs of neighbouring ranges, one run a file, which one partition cuts into
+    ranges of ``size`` bytes when it reads them."""
+
+    runs: list[Range]
+    size: int
+
+
 def file_system(path: str):
     from pyarrow import fs
     if path.startswith("file:"):
@@ -103,68 +116,99 @@ def whole_lines(source: str, start: int, size: int) -> int:
     return start
 
 
+def cut(run: Range, size: int) -> Iterator[Range]:
+    """The ranges of ``size`` bytes of a run."""
+    for at in range(run.start, run.end, size):
+        yield Range(run.source, at, min(at + size, run.end), run.stop, run.base + at - run.start, run.first and at == run.start)
+
+
 def ranges(start: dict[str, int], end: dict[str, int], base: int, size: int) -> list[Range]:
     """What lies between two maps of offsets, in path order."""
     out = []
     for source in sorted(end):
         at, stop = start.get(source, 0), end[source]
-        first = True
-        while at < stop:
-            upto = min(at + size, stop)
-            out.append(Range(source, at, upto, stop, base, first))
-            base += upto - at
-            at, first = upto, False
+        out += cut(Range(source, at, stop, stop, base, True), size)
+        base += max(0, stop - at)
     return out
 
 
+def tasks(start: dict[str, int], end: dict[str, int], base: int, size: int) -> list[Task]:
+    """The same ranges in path order, small ones taken together: as many partitions
+    as the bytes need, whatever the size of a range."""
+    out, held = [], TASK
+    for run in ranges(start, end, base, max(1, TASK // size) * size):
+        if held + run.end - run.start > TASK:
+            out.append(Task([], size))
+            held = 0
+        out[-1].runs.append(run)
+        held += run.end - run.start
+    return out
+
+
+def task_lines(task: Task) -> Iterator[pa.RecordBatch]:
+    """The lines of a task's ranges; a file is opened once a run."""
+    for run in task.runs:
+        system, inner = file_system(run.source)
+        with system.open_input_file(inner) as f:
+            for part in cut(run, task.size):
+                yield from range_lines(part, f)
+
+
 def lines(part: Range) -> Iterator[pa.RecordBatch]:
     """The lines that start in a range, with their end offsets."""
-    system, inner = file_system(part.source)
-    with system.open_input_file(inner) as f:
-        # the byte before the range tells whether its first byte starts a line
-        at = part.start - (not part.first)
-        f.seek(at)
-        rest, skip = [], not part.first  # the unfinished line's pieces
-        while at < part.stop:
-            data = f.read(min(READ, part.stop - at))
-            if not data:
+    yield from task_lines(Task([part], max(1, part.end - part.start)))
+
+
+def range_lines(part: Range, f) -> Iterator[pa.RecordBatch]:
+    """The lines that start in a range of the open file ``f``."""
+    # the byte before the range tells whether its first byte starts a line
+    at = part.start - (not part.first)
+    f.seek(at)
+    rest, skip = [], not part.first  # the unfinished line's pieces
+    beyond = SEAM
+    while at < part.stop:
+        size = part.end - at
+        if size <= 0:  # the end of the range's last line
+            size, beyond = beyond, 2 * beyond
+        data = f.read(min(READ, size, part.stop - at))
+        if not data:
+            break
+        at += len(data)
+        rest.append(data)
+        if b"\n" not in data and at < part.stop:
+            if skip and at >= part.end:
+                return  # no line starts in this range
+            continue
+        buffer = b"".join(rest)
+        begin = at - len(buffer)  # offset of the buffer's first byte
+        pieces = buffer.split(b"\n")
+        rest = [pieces.pop()]
+        last = at >= part.stop and rest[0] != b""  # no newline at the end of the file
+        if last:
+            pieces += rest
+            rest = []
+        values, ends = [], []
+        done = False
+        for k, piece in enumerate(pieces):
+            over = begin + len(piece) + (0 if last and k == len(pieces) - 1 else 1)
+            if skip:
+                skip = False
+            elif begin >= part.end:
+                done = True
                 break
-            at += len(data)
-            rest.append(data)
-            if b"\n" not in data and at < part.stop:
-                if skip and at >= part.end:
-                    return  # no line starts in this range
-                continue
-            buffer = b"".join(rest)
-            begin = at - len(buffer)  # offset of the buffer's first byte
-            pieces = buffer.split(b"\n")
-            rest = [pieces.pop()]
-            last = at >= part.stop and rest[0] != b""  # no newline at the end of the file
-            if last:
-                pieces += rest
-                rest = []
-            values, ends = [], []
-            done = False
-            for k, piece in enumerate(pieces):
-                over = begin + len(piece) + (0 if last and k == len(pieces) - 1 else 1)
-                if skip:
-                    skip = False
-                elif begin >= part.end:
-                    done = True
-                    break
-                else:
-                    values.append(piece)
-                    ends.append(over)
-                begin = over
-            if values:
-                end = pa.array(ends, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v.removesuffix(b"\r").decode("utf-8", "replace") for v in values], pa.string()),
-                     pa.array([part.source] * len(values), pa.string()),
-                     pa.array([part.base + e - part.start for e in ends], pa.int64()), end],
-                    ["value", "source", "position", "file_position"])
-            if done or (begin >= part.end and not skip):
-                return
+            else:
+                values.append(piece)
+                ends.append(over)
+            begin = over
+        if values:
+            end = pa.array(ends, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v.removesuffix(b"\r").decode("utf-8", "replace") for v in values], pa.string()),
+                 pa.repeat(pa.scalar(part.source, pa.string()), len(values)),
+                 pa.array([part.base + e - part.start for e in ends], pa.int64()), end],
+                ["value", "source", "position", "file_position"])
+        if done or (begin >= part.end and not skip):
+            return
 
 
 class Reader(DataSourceReader):
@@ -174,12 +218,12 @@ class Reader(DataSourceReader):
         self.end = json.loads(options["until"]) if "until" in options else None
         self.base = int(options.get("base", sum(self.start.values())))
 
-    def partitions(self) -> list[Range]:
-        return ranges(self.start, listed(self.path) if self.end is None else self.end, self.base, self.size)
+    def partitions(self) -> list[Task]:
+        return tasks(self.start, listed(self.path) if self.end is None else self.end, self.base, self.size)
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Task | None) -> Iterator[pa.RecordBatch]:
         if partition is not None:  # Spark asks once where there is nothing to read
-            yield from lines(partition)
+            yield from task_lines(partition)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -201,12 +245,12 @@ class StreamReader(DataSourceStreamReader):
                 files[source] = self.known[source][1]
         return {"files": {s: n for s, n in files.items() if n}, "read": sum(files.values())}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return ranges(start["files"], end["files"], start["read"], self.size)
+    def partitions(self, start: dict, end: dict) -> list[Task]:
+        return tasks(start["files"], end["files"], start["read"], self.size)
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Task | None) -> Iterator[pa.RecordBatch]:
         if partition is not None:  # Spark asks once where there is nothing to read
-            yield from lines(partition)
+            yield from task_lines(partition)
 
     def commit(self, end: dict) -> None:
         pass

@@ -118,3 +118,34 @@ def test_same_records_as_the_text_scan(spark, tmpdir_fresh):
     a, _ = read_records(spark, f"{tmpdir_fresh}/in")
     b, _ = parse_lines(ndjson.read_lines(spark, f"{tmpdir_fresh}/in", range_bytes=100))
     assert rows_set(a, ["id", "name", "position"]) == rows_set(b, ["id", "name", "position"])
+
+
+def test_small_ranges_read_their_own_bytes_and_share_partitions(tmpdir_fresh, monkeypatch):
+    folder = f"{tmpdir_fresh}/in"
+    files = {f"p-{i:02d}": b"".join(b"%d-%d%s\n" % (i, j, b"x" * (j % 90)) for j in range(4000)) for i in range(5)} | {"long": b"y" * 300_000 + b"\nz\n"}
+    write(folder, files)
+    total = sum(map(len, files.values()))
+    read = 0
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            nonlocal read
+            data = self.f.read(n)
+            read += len(data)
+            return data
+
+    plain = ndjson.range_lines
+    monkeypatch.setattr(ndjson, "range_lines", lambda part, f: plain(part, Counted(f)))
+    monkeypatch.setattr(ndjson, "TASK", 400_000)
+    tasks = ndjson.Reader({"path": folder, "rangebytes": str(64 * 1024)}).partitions()
+    assert len(tasks) <= 2 * total // 400_000 + 1  # as many as the bytes need, not one a range
+    assert [p for t in tasks for run in t.runs for p in ndjson.cut(run, t.size)] == ndjson.ranges({}, ndjson.listed(folder), 0, 64 * 1024)
+    got = [x for t in tasks for b in ndjson.task_lines(t) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted((v, os.path.basename(s), p, f) for v, s, p, f in got) == expected(files)
+    assert read < 2 * total + 300_000  # READ, 4 MB, is more than the whole input
