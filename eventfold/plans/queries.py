@@ -398,9 +398,15 @@ def ndjson_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("id", "type", "name", "user_id", "timestamp", sorted_json(F.col("data")).alias("data_json"))
 
 
+# Events rows whose records one file of ordered lines holds, which one task sorts.
+ORDERED_EVENTS = 250_000
+
+
 def _ordered_ndjson_path(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
-    """The records as lines in order of arrival, in files whose names are in that order."""
+    """The records as lines in order of arrival, in files whose names are in that
+    order: at least ``parts``, and as many as their size needs."""
     path = shared_dir(spark, "ndjson-ordered")
+    parts = max(parts, -(-table(spark, sf_dir, "events").count() // ORDERED_EVENTS))
     body = F.to_json(F.struct("id", "type", "name", F.col("user_id").cast("string").alias("user_id"), "data", "timestamp"))
     records(spark, sf_dir).repartitionByRange(parts, "position").sortWithinPartitions("position") \
         .select(body.alias("value")).write.text(path)

@@ -149,3 +149,21 @@ def test_small_ranges_read_their_own_bytes_and_share_partitions(tmpdir_fresh, mo
     got = [x for t in tasks for b in ndjson.task_lines(t) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     assert sorted((v, os.path.basename(s), p, f) for v, s, p, f in got) == expected(files)
     assert read < 2 * total + 300_000  # READ, 4 MB, is more than the whole input
+
+
+def test_ordered_files_hold_a_bounded_number_of_rows(spark, tmpdir_fresh, monkeypatch):
+    from eventfold.plans import queries
+
+    spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-01' AS ts, id % 7 AS user_id, 'view' AS event_type, '{\"k\": 1}' AS props FROM range(2000)") \
+        .coalesce(1).write.parquet(f"{tmpdir_fresh}/events.parquet")
+    monkeypatch.setattr(queries, "ORDERED_EVENTS", 250)
+    path = queries._ordered_ndjson_path(spark, tmpdir_fresh)
+    files = ndjson.listed(path)
+    assert len(files) >= 8 and max(files.values()) < sum(files.values()) // 4
+    first, end = {}, {}
+    for r in ndjson.read_lines(spark, path).orderBy("position").collect():
+        if json.loads(r.value)["id"].startswith("a-"):
+            first.setdefault(r.source, int(json.loads(r.value)["id"][2:]))
+            end[r.source] = int(json.loads(r.value)["id"][2:])
+    order = sorted(first)
+    assert all(end[x] < first[y] for x, y in zip(order[:-1], order[1:], strict=True))
