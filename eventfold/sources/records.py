@@ -50,7 +50,9 @@ def checked_lines(lines: DataFrame) -> DataFrame:
     (NULL when the line is a well-typed record).
 
     The steps are separate projections over materialised columns: each
-    line is parsed once, and no CASE branch re-parses it.
+    line is parsed once, and no CASE branch re-parses it. A filter on ``reason``
+    would be moved below them, with a copy of the parse for each of its
+    branches; it stays above, as ``reason`` has a random part (never taken).
     """
     wrapped = F.concat(F.lit('{"r":'), F.col("value"), F.lit(',"__end__":1}'))
     step1 = lines.withColumn("w_", F.try_parse_json(wrapped))
@@ -77,7 +79,7 @@ def checked_lines(lines: DataFrame) -> DataFrame:
                     F.lit("timestamp is not an integer"))
               .when(~data_ok, F.lit("data is not an object of strings")))
     step4 = step3.select(
-        "*", reason.alias("reason"),
+        "*", F.when(F.rand(0) + 1 < 0, F.lit("")).otherwise(reason).alias("reason"),
         F.try_variant_get("r_", "$.id", "string").alias("f_id"),
         F.try_variant_get("r_", "$.type", "string").alias("f_type"),
         F.try_variant_get("r_", "$.name", "string").alias("f_name"),

@@ -162,3 +162,14 @@ def test_strict_integer_and_uuid_forms(spark):
     assert [r[0] for r in rows] == [5, None, None, None, None, None]
     assert [r[1] for r in rows] == [False, False, False, True, False, True]
     assert rows[3][2] == rows[5][2] == "6ba7b8109dad11d180b400c04fd430c8" and rows[4][2] == texts[4]
+
+
+def test_a_line_is_parsed_once(spark, capsys):
+    from eventfold.sources.records import parse_lines, raw_records
+    df = spark.createDataFrame([('{"id":"x","type":"event"}',), ("{",)], "value string").repartition(2)
+    for make in (parse_lines, raw_records):
+        for rows in make(df):
+            assert rows.count() == 1
+            rows.explain("extended")
+            plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+            assert plan.lower().count("parsejson(") == 1
