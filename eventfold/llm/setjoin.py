@@ -7,6 +7,8 @@ sets are one class from the start. The join is exact: classes link where
 1. Shingle frequencies. Each task packs its classes' shingles by bucket (a
    class once a chunk, however many copies it has); a bucket finds the shingles
    that two or more classes have, and sends only these back to their classes.
+   Buckets take turns (``TURNS``): the texts are read once a turn, and only one
+   turn's shingles are in a shuffle, whose files go before the next one.
 2. Index lists. A class orders its shingles rare first. Only if fewer than the
    quarter that may differ are its own can it have a partner; such a class
    enters the lists of the shared shingles in its prefix, with its size and
@@ -57,6 +59,8 @@ LEAST = 75
 PARTS = "part int, kind int, h binary, i binary, c binary, n binary"
 #: Bytes of text whose shingles are made at once; half of the default, for the arrays of a worker.
 SLICE = (2 << 20) - 2
+#: Turns in which the buckets of all shingles are shuffled, to bound the disk.
+TURNS = 2
 
 
 def separators() -> np.ndarray:
@@ -92,8 +96,18 @@ def class_id(s: np.ndarray) -> int:
     return int(mix((one ^ two * np.uint64(3)) + np.uint64(len(s)))[0])
 
 
-def emit(n: int):
-    """Documents to packed shingles by bucket, and the documents' own rows."""
+def class_table(c: np.ndarray, m: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending class numbers as differences, and their sizes; byte planes."""
+    return planes(np.diff(c, prepend=np.uint64(0))), planes(m.astype("<i4"))
+
+
+def class_numbers(c: bytes, m: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(unplane(c, "<u8"), dtype=np.uint64), unplane(m, "<i4")
+
+
+def emit(n: int, turn: int = 0, turns: int = 1):
+    """Documents to packed shingles by bucket, of one turn's buckets, and in the
+    first turn the documents' own rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "kind", "h", "i", "c", "n"]
         for batch in by_bytes(batches, limit=SLICE):
@@ -101,19 +115,24 @@ def emit(n: int):
             size = np.array([len(s) for s in sets], dtype=np.int32)
             cid = np.array([class_id(s) if len(s) else 0 for s in sets], dtype=np.uint64)
             ids = batch.column(0)
-            rows = [(int(cid[0] % np.uint64(n)) if len(cid) else 0, 1, ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(),
-                     np.asarray(ids.is_valid().to_numpy(zero_copy_only=False)).tobytes(), cid.tobytes(), size.tobytes())]
+            rows = []
+            if not turn:
+                rows.append((int(cid[0] % np.uint64(n)) if len(cid) else 0, 1, ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(),
+                             np.asarray(ids.is_valid().to_numpy(zero_copy_only=False)).tobytes(), cid.tobytes(), size.tobytes()))
             once = np.unique(cid, return_index=True)[1]
             once = once[size[once] > 0]
             if len(once):
                 h = np.concatenate([sets[i] for i in once])
                 who = np.repeat(np.arange(len(once), dtype="<u4"), size[once])
                 c, m = cid[once], size[once]
+                if turns > 1:
+                    mine = h % np.uint64(n) % np.uint64(turns) == turn
+                    h, who = h[mine], who[mine]
                 order, bucket, lo, hi = split(h, n)
                 h, who = h[order], who[order]
                 for b, x, y in zip(bucket.tolist(), lo.tolist(), hi.tolist(), strict=True):
                     own, at = np.unique(who[x:y], return_inverse=True)
-                    rows.append((b, 0, pack(h[x:y], n), planes(at.astype("<u2" if len(own) < 65536 else "<u4")), c[own].tobytes(), m[own].tobytes()))
+                    rows.append((b, 0, pack(h[x:y], n), planes(at.astype("<u2" if len(own) < 65536 else "<u4")), *class_table(c[own], m[own])))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k < 2 else pa.binary()) for k in range(6)], names)
     return run
 
@@ -129,7 +148,7 @@ def shared(n: int):
         out = [(int(r.part), 1, r.h, r.i, r.c, r.n) for r in group[group.kind == 1].itertuples()]
         hs, cs, ns = [], [], []
         for r in group[group.kind == 0].itertuples():
-            c, m = np.frombuffer(r.c, "<u8"), np.frombuffer(r.n, "<i4")
+            c, m = class_numbers(r.c, r.n)
             at = local(r.i, len(c))
             hs.append(unpack(r.h, bucket, n))
             cs.append(c[at])
@@ -156,8 +175,7 @@ def shared(n: int):
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 own, first, at = np.unique(c[x:y], return_index=True, return_inverse=True)
                 at = at.astype("<u2" if len(own) < 65536 else "<u4")
-                table = np.concatenate((own.view("<u1"), m[x:y][first].astype("<i4").view("<u1")))
-                out.append((int(to[x]), 0, planes(np.diff(h[x:y], prepend=np.uint64(0))), planes(at), table.tobytes(),
+                out.append((int(to[x]), 0, planes(np.diff(h[x:y], prepend=np.uint64(0))), planes(at), b"".join(class_table(own, m[x:y][first])),
                             planes(np.minimum(df[x:y], 65535).astype("<u2"))))
         hs = cs = ns = h = c = m = df = order = s = None
         tidy()
@@ -180,9 +198,10 @@ def ordered(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     for r in group[group.kind == 0].itertuples():
         k = len(r.c) // 12
         at = local(r.i, k)
+        c, m = class_numbers(r.c[:8 * k], r.c[8 * k:])
         hs.append(np.cumsum(unplane(r.h, "<u8"), dtype=np.uint64))
-        cs.append(np.frombuffer(r.c[:8 * k], "<u8")[at])
-        ms.append(np.frombuffer(r.c[8 * k:], "<i4")[at])
+        cs.append(c[at])
+        ms.append(m[at])
         ds.append(unplane(r.n, "<u2"))
     if hs:
         h, c, m, d = np.concatenate(hs), np.concatenate(cs), np.concatenate(ms), np.concatenate(ds)
@@ -355,8 +374,11 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Documents (doc_id, n, cid) and the linked classes (node, root)."""
     n = buckets(docs)
     rows = id_text(docs)
-    table = staged(rows.mapInArrow(emit(n), PARTS).groupBy("part").applyInPandas(shared(n), PARTS)
-                   .groupBy("part").applyInPandas(ordered, CLASSES), "join-classes")
+    found = None
+    for turn in range(TURNS):
+        some = staged(rows.mapInArrow(emit(n, turn, TURNS), PARTS).groupBy("part").applyInPandas(shared(n), PARTS), "join-shared")
+        found = some if found is None else found.union(some)
+    table = staged(found.groupBy("part").applyInPandas(ordered, CLASSES), "join-classes")
     classes = table.where("kind = 0").select("cid", "n", "own", "prefix", "shared")
     return table.where("kind = 1").select("doc_id", "n", "cid"), linked_classes(classes)
 

@@ -454,3 +454,26 @@ def test_pipeline_stages(spark, texts):
     assert kept.columns == frame(spark, texts).columns
     assert kept.count() == len({x[2] for x in want if x[1]}) + sum(1 for x in want if not x[1])
     assert setjoin.one_of_each(frame(spark, [])).count() == 0
+
+
+def test_setjoin_turns_shuffle_each_bucket_once():
+    import pyarrow as pa
+
+    from eventfold.llm import setjoin
+
+    r, n = random.Random(8), 64
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([" ".join(r.choices([f"w{k}" for k in range(99)], k=150)) for _ in range(300)])], ["doc_id", "text"])
+
+    def rows(turn, turns):
+        return [x for b in setjoin.emit(n, turn, turns)(iter([batch])) for x in b.to_pylist()]
+
+    whole, parts = rows(0, 1), [rows(k, 3) for k in range(3)]
+    key = lambda x: (x["kind"], x["part"], x["h"])
+    assert sorted((x for p in parts for x in p), key=key) == sorted(whole, key=key)
+    assert [sum(x["kind"] for x in p) for p in parts] == [1, 0, 0]
+    size = [sum(len(x["h"]) + len(x["i"]) for x in p if not x["kind"]) for p in parts]
+    assert 2 * max(size) < sum(size)
+    # upper planes of class numbers and sizes are zero, which the shuffle's compression drops
+    row = max((x for x in whole if not x["kind"]), key=lambda x: len(x["c"]))
+    c, m = setjoin.class_numbers(row["c"], row["n"])
+    assert len(c) > 100 and (c[1:] > c[:-1]).all() and not any(row["n"][2 * len(m):]) and set(row["c"][-len(c):][1:]) <= set(range(32))
