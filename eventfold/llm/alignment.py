@@ -10,13 +10,18 @@ irregular group behind it is resolved end by end, which gives the next shift.
 Links are all pairs of one token of each side in a group. How many documents
 hold an id pair linked is counted over the corpus:
 
-1. texts are taken in slices of bounded bytes; a slice is written as one row,
-   with its documents' figures, its distinct id pairs and how many of its
-   documents hold each;
+1. texts are taken in slices of bounded bytes, and aligned in chunks of fewer;
+   a slice is written as one row, with its documents' figures, its distinct id
+   pairs and how many of its documents hold each. What its documents hold is
+   packed in the fewest bytes, and a file holds ``TOGETHER`` slices, as a reader
+   takes all of a file's rows at once;
 2. the pairs of all slices are summed (combined before the shuffle), and each
    A id's highest sum is marked;
 3. the sums go back to the slices that hold the pair. A pair is one row a slice,
-   so a pair that every document holds is no hot key.
+   so a pair that every document holds is no hot key. They meet in partitions of
+   ``TOGETHER`` slices on average, however large the session makes its own.
+
+So no task holds more with more input, larger files or larger partitions.
 
 Rows: a text that is null or empty, or whose tokens' bytes of A or of B are not
 those of space+text, has no tokens: zeros and an empty ``groups_sha256``. Ids
@@ -42,11 +47,14 @@ from pyspark.sql import functions as F
 
 from eventfold.llm.bpe import byte_alphabet, read_text
 from eventfold.llm.common import by_bytes, id_text, staged, worker_state
+from eventfold.llm.packed import planes, unplane
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Text bytes of a slice, and the links of a group that are listed one by one.
 SLICE, SMALL = 4 << 20, 64
+#: Text bytes aligned at once, and slices of a file or, on average, a partition.
+CHUNK, TOGETHER = 1 << 19, 4
 MARK = "▁"
 
 
@@ -162,7 +170,7 @@ def cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Groups:
-    """The groups of a slice's texts, token numbers counting over all of them."""
+    """The groups of a chunk's texts, token numbers counting over all of them."""
 
     def __init__(self, ids_a: list[np.ndarray], ids_b: list[np.ndarray], cut: list[tuple[np.ndarray, np.ndarray]]):
         self.n_a, self.n_b, self.n = (np.array([len(x) for x in y], np.int64) for y in (ids_a, ids_b, [c[0] for c in cut]))
@@ -226,8 +234,55 @@ def decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
     return held["digits"], held["lengths"]
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 on as byte planes, each as wide as the largest needs."""
+    return planes(values.astype(np.min_scalar_type(int(values.max())))) if len(values) else b""
+
+
+def widen(data: bytes, n: int) -> np.ndarray:
+    return unplane(data, f"<u{len(data) // n}") if n else np.zeros(0, np.uint8)
+
+
+def steps(places: np.ndarray) -> bytes:
+    """Places as differences, which are small: each document's are in order.
+    Where the next document starts, they wrap around."""
+    kind = np.min_scalar_type(int(places.max(initial=0)))
+    return planes(np.diff(places.astype(kind), prepend=kind.type(0))) if len(places) else b""
+
+
+def unstep(data: bytes, n: int) -> np.ndarray:
+    by = widen(data, n)
+    return np.cumsum(by, dtype=by.dtype)
+
+
 FIGURES = "doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,held:int"
-SLICES = f"slice long, figures array<struct<{FIGURES}>>, held array<int>, times array<bigint>, pairs array<bigint>, documents array<int>"
+SLICES = f"slice long, figures array<struct<{FIGURES}>>, held binary, times binary, pairs array<bigint>, documents array<int>"
+
+
+def aligned(docs: pa.RecordBatch, a: Tokens, b: Tokens, many: int, fields: list[pa.Field]) -> tuple[pa.StructArray, np.ndarray, np.ndarray]:
+    """The figures of a chunk's documents, and their distinct pairs, one
+    document after the other, with how often each is linked."""
+    texts = [t or "" for t in docs.column(1).to_pylist()]
+    ids_a, ids_b, cut = [], [], []
+    none = np.zeros(0, np.int64)
+    for first in range(0, len(texts), 64):
+        some = texts[first:first + 64]
+        whole = [f" {t}" for t in some]
+        for text, spaced, x, y in zip(some, whole, a.ids(whole), b.ids(some), strict=True):
+            own = spaced.encode()
+            same = text and a.joined(x) == own and b.joined(y) == own
+            x, y = (np.array(x, np.int64), np.array(y, np.int64)) if same else (none, none)
+            ids_a.append(x)
+            ids_b.append(y)
+            cut.append(cuts(np.cumsum(a.size[x]).astype("<i4"), np.cumsum(b.size[y]).astype("<i4")) if same else (none, none))
+    groups = Groups(ids_a, ids_b, cut)
+    of, pair, times = groups.links(many)
+    sums = np.bincount(of, weights=times, minlength=len(texts)).astype(np.int64)
+    sha = [hashlib.sha256(x).hexdigest() if x else "" for x in groups.text()]
+    figures = pa.StructArray.from_arrays(
+        [docs.column(0), pa.array(groups.n_a), pa.array(groups.n_b), pa.array(groups.n), pa.array(sums), pa.array(sha, pa.string()),
+         pa.array(np.bincount(of, minlength=len(texts)).astype(np.int32))], fields=fields)
+    return figures, pair, times
 
 
 def slices(docs: DataFrame, vocabulary: str, model: str, many: int, id_col: str, text_col: str) -> DataFrame:
@@ -244,34 +299,18 @@ def slices(docs: DataFrame, vocabulary: str, model: str, many: int, id_col: str,
         made = TaskContext.get().partitionId() << 32
         a, b = worker_state(("alignment", vocabulary, model), lambda: (ByteLevel(sources.value[0]), Pieces(base64.b64decode(sources.value[1]))))
         for batch in by_bytes(batches, limit=SLICE):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids_a, ids_b, cut = [], [], []
-            none = np.zeros(0, np.int64)
-            for first in range(0, len(texts), 64):
-                some = texts[first:first + 64]
-                whole = [f" {t}" for t in some]
-                for text, spaced, x, y in zip(some, whole, a.ids(whole), b.ids(some), strict=True):
-                    own = spaced.encode()
-                    same = text and a.joined(x) == own and b.joined(y) == own
-                    x, y = (np.array(x, np.int64), np.array(y, np.int64)) if same else (none, none)
-                    ids_a.append(x)
-                    ids_b.append(y)
-                    cut.append(cuts(np.cumsum(a.size[x]).astype("<i4"), np.cumsum(b.size[y]).astype("<i4")) if same else (none, none))
-            groups = Groups(ids_a, ids_b, cut)
-            of, pair, times = groups.links(many)
-            pairs, held, documents = np.unique(pair, return_inverse=True, return_counts=True)
-            sums = np.bincount(of, weights=times, minlength=len(texts)).astype(np.int64)
-            sha = [hashlib.sha256(x).hexdigest() if x else "" for x in groups.text()]
-            figures = pa.StructArray.from_arrays(
-                [batch.column(0), pa.array(groups.n_a), pa.array(groups.n_b), pa.array(groups.n), pa.array(sums), pa.array(sha, pa.string()),
-                 pa.array(np.bincount(of, minlength=len(texts)).astype(np.int32))], fields=list(struct))
+            figures, pair, times = zip(*(aligned(x, a, b, many, list(struct)) for x in by_bytes(iter([batch]), limit=CHUNK)), strict=True)
+            pairs, held, documents = np.unique(np.concatenate(pair), return_inverse=True, return_counts=True)
             one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([made], pa.int64()), one(figures), one(held.astype(np.int32)), one(times.astype(np.int64)), one(pairs), one(documents.astype(np.int32))],
+                [pa.array([made], pa.int64()), one(pa.concat_arrays(figures)), pa.array([steps(held)], pa.binary()),
+                 pa.array([narrow(np.concatenate(times))], pa.binary()), one(pairs), one(documents.astype(np.int32))],
                 ["slice", "figures", "held", "times", "pairs", "documents"])
             made += 1
 
-    return staged(id_text(docs, id_col, text_col).mapInArrow(run, SLICES), "alignment-slices")
+    # a batch is about a slice (the last text of a batch is over its limit)
+    settings = {"spark.sql.execution.arrow.maxBytesPerBatch": str(SLICE * 15 // 16), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+    return staged(id_text(docs, id_col, text_col).mapInArrow(run, SLICES), "alignment-slices", settings, TOGETHER)
 
 
 def pair_counts(parts: DataFrame, many: int) -> DataFrame:
@@ -290,8 +329,9 @@ def align(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id",
     many = sentencepiece.SentencePieceProcessor(model_file=model).get_piece_size()
     parts = slices(docs, vocabulary, model, many, id_col, text_col)
     pairs = staged(pair_counts(parts, many), "alignment-counts")
+    meet = max(1, -(-parts.count() // TOGETHER))
     # a slice's pairs are sorted, so what comes back is found by value
-    back = parts.select("slice", F.explode("pairs").alias("pair")).join(pairs, "pair").groupBy("slice") \
+    back = parts.select("slice", F.explode("pairs").alias("pair")).join(pairs, "pair").repartition(meet, "slice").groupBy("slice") \
         .agg(F.sort_array(F.collect_list(F.struct("pair", "n", "best"))).alias("known")) \
         .select("slice", F.col("known.n").alias("n"), F.col("known.best").alias("best"))
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -299,10 +339,10 @@ def align(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                figures, held, times, n, best = (batch.column(i).slice(k, 1).flatten() for i in range(5))
-                places, often = held.to_numpy(), times.to_numpy()
-                size = figures.field("held").to_numpy()
-                ends = np.append(0, np.cumsum(size))
+                figures, n, best = (batch.column(i).slice(k, 1).flatten() for i in (0, 3, 4))
+                ends = np.append(0, np.cumsum(figures.field("held").to_numpy(), dtype=np.int64))
+                places = unstep(batch.column(1)[k].as_py(), int(ends[-1]))
+                often = widen(batch.column(2)[k].as_py(), int(ends[-1])).astype(np.int64)
                 sums = []
                 for values in (best.to_numpy(zero_copy_only=False).astype(np.int64), n.to_numpy(zero_copy_only=False)):
                     running = np.append(0, np.cumsum(values[places] * often)) if len(places) else np.zeros(1, np.int64)
@@ -310,6 +350,6 @@ def align(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([figures.field(i) for i in range(5)] + sums + [figures.field(5)],
                                                  ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    out = parts.drop("pairs", "documents").join(back, "slice", "left").select(
+    out = parts.drop("pairs", "documents").repartition(meet, "slice").join(back, "slice", "left").select(
         "figures", "held", "times", F.coalesce("n", F.array().cast("array<bigint>")).alias("n"), F.coalesce("best", F.array().cast("array<boolean>")).alias("best"))
     return out.mapInArrow(run, schema), pairs.select(F.expr(f"pair div {many}").alias("a"), (F.col("pair") % many).alias("b"), "n", "best")

@@ -85,6 +85,42 @@ def test_query_against_brute_force(spark, monkeypatch, size, small):
     assert sum(w[1] > 0 for w in want) > 150 and any(w[4] > w[3] for w in want)
 
 
+def test_a_task_of_many_slices_is_written_and_joined_in_bounded_parts(spark, monkeypatch):
+    """A reader takes all rows of a file at once: a file holds four slices at
+    most, however many its task makes, and texts are aligned a chunk at a time."""
+    from eventfold.llm import alignment
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(alignment, "SLICE", 700)
+    rows = texts()
+    docs = frame(spark, rows).coalesce(1)
+    a, b = public_tokenizers.path(A), public_tokenizers.path(B)
+    parts = alignment.slices(docs, a, b, 32000, "doc_id", "text")
+    most = max(r["count"] for r in parts.groupBy(F.input_file_name()).count().collect())
+    assert parts.count() > 20 and most <= 4
+    monkeypatch.setattr(alignment, "SLICE", 4000)
+    monkeypatch.setattr(alignment, "CHUNK", 300)
+    assert sorted(map(tuple, alignment.align(docs, a, b)[0].collect()), key=str) == sorted(brute(rows), key=str)
+
+
+def test_packed_places_and_times():
+    from eventfold.llm import alignment
+    r = np.random.default_rng(3)
+    for most in (1, 255, 256, 65535, 65536, 1 << 31, 1 << 40):
+        for n in (0, 1, 7, 500):
+            x = r.integers(0, most + 1, n)
+            x[:1] = most
+            assert alignment.widen(alignment.narrow(x), n).tolist() == x.tolist() == alignment.unstep(alignment.steps(x), n).tolist()
+    assert len(alignment.steps(np.arange(200))) == 200 and len(alignment.narrow(np.array([1, 65536]))) == 8
+
+
+def test_settings_of_a_staged_write_end_with_it(spark):
+    from eventfold.llm.common import staged
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key, None)
+    assert staged(spark.range(10).coalesce(1), "settings", {key: "7"}, 4).count() == 10
+    assert spark.conf.get(key, None) == before
+
+
 def test_cuts_against_sets():
     from eventfold.llm import alignment
     r = random.Random(5)
